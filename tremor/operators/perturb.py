@@ -79,5 +79,5 @@ def perturb(df: DataFrame, grid: DataFrame, text_cols=("text",), perturber: Pert
         x = x.withColumns({f"original_{c}": F.col(c) for c in text_cols})
     clean = x.filter(F.col("perturbation") == "clean")
     noisy = x.filter(F.col("perturbation") != "clean").withColumns(
-        {c: perturb_col(p, c, side=c) for c in text_cols})
+        {c: F.when(F.col(c).isNotNull(), perturb_col(p, c, side=c)) for c in text_cols})
     return clean.unionByName(noisy)

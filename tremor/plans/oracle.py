@@ -119,9 +119,10 @@ def perturb_ctes(src: str, out: str, steps=None) -> list[str]:
     """
     ctes = [
         f"""{out}_ch AS (
-  SELECT rid, ptype, level, vl, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS pos,
-         len(string_split(t, '')) AS n, {key_sql("side || ':' || ptype", 'id')} AS k
-  FROM (SELECT *, {vowel_lang_sql('lang')} AS vl FROM {src}) WHERE ptype IN ('char_delete', 'char_swap', 'vowel_drop'))""",
+  SELECT rid, ptype, level, vl, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS pos, len(cs) AS n, k
+  FROM (SELECT rid, ptype, level, {vowel_lang_sql('lang')} AS vl, string_split(t, '') AS cs,
+               {key_sql("side || ':' || ptype", 'id')} AS k
+        FROM {src} WHERE ptype IN ('char_delete', 'char_swap', 'vowel_drop') AND t <> '' AND level > 0))""",
         f"""{out}_u AS (SELECT rid, ptype, level, vl, c, pos, n, {draw_cols('k', 'pos')} FROM {out}_ch)""",
         f"""{out}_del AS (
   SELECT rid, coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE u >= {thr('level')}), '') AS t_out
@@ -143,12 +144,12 @@ def perturb_ctes(src: str, out: str, steps=None) -> list[str]:
   FROM (SELECT *, first_value(c) OVER (PARTITION BY rid, seg ORDER BY pos) AS first_c FROM {out}_sw2)
   GROUP BY rid)""",
         f"""{out}_tok AS (
-  SELECT rid, id, side, ptype, level, lang, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS pos
-  FROM (SELECT *, list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '') AS w FROM {src}
-        WHERE ptype IN ('codemix', 'paraphrase') AND t <> ''))""",
+  SELECT rid, ptype, level, lang, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS pos, k, kp
+  FROM (SELECT *, list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '') AS w,
+               {key_sql("side || ':' || ptype", 'id')} AS k, {key_sql("side || ':' || ptype || '.pick'", 'id')} AS kp
+        FROM {src} WHERE ptype IN ('codemix', 'paraphrase') AND t <> ''))""",
         f"""{out}_tu AS (
-  SELECT rid, ptype, level, lang, w, pos, {draw_cols(key_sql("side || ':' || ptype", 'id'), 'pos')},
-         {draw_cols(key_sql("side || ':' || ptype || '.pick'", 'id'), 'pos', 'v')}
+  SELECT rid, ptype, level, lang, w, pos, {draw_cols('k', 'pos')}, {draw_cols('kp', 'pos', 'v')}
   FROM {out}_tok)""",
         f"""{out}_cm AS (
   SELECT s.rid, coalesce(m.t_out, '') AS t_out
