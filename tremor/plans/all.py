@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from tremor.plans import experiment, q_text  # noqa: F401
+from tremor.plans import experiment, q_analysis, q_text  # noqa: F401
