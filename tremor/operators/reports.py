@@ -123,8 +123,8 @@ def bootstrap_ci(df: DataFrame, keys, value: str, row_id, replicates: int = 200,
     w = sum((d >= F.lit(t)).cast("int") for t in poisson_thresholds())
     reps = (x.withColumn("_w", w)
             .groupBy(*keys, "_b")
-            .agg((F.sum(F.col("_w") * F.col("_x")) / F.sum(F.when(F.col("_x").isNotNull(), F.col("_w"))))
-                 .alias("_m")))
+            .agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")),
+                              F.sum(F.when(F.col("_x").isNotNull(), F.col("_w")))).alias("_m")))
     lo, hi = alpha / 2, 1 - alpha / 2
     ci = reps.groupBy(*keys).agg(F.percentile("_m", lo).alias("ci_low"), F.percentile("_m", hi).alias("ci_high"))
     mean = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.col(value)).alias("n"))

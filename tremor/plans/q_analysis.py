@@ -441,7 +441,7 @@ def _boot_sql(keys: list[str], value: str, filt: str = "") -> str:
     round(any_value(hi), 6) AS ci_high FROM (
   SELECT r.*, {value} AS x FROM report r {filt}) base LEFT JOIN (
   SELECT {k}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (
-    SELECT {k}, b, sum(wt * x) / sum(CASE WHEN x IS NOT NULL THEN wt END) AS m FROM (
+    SELECT {k}, b, sum(wt * x) / nullif(sum(CASE WHEN x IS NOT NULL THEN wt END), 0) AS m FROM (
       SELECT *, {w} AS wt FROM (
         SELECT {k}, x, b, {O.draw_cols('kk', 'b')} FROM (
           SELECT {k}, {value} AS x, {O.key_sql("'boot'", rid)} AS kk, unnest(range(1, {BOOT_B + 1})) AS b
