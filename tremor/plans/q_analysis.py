@@ -331,9 +331,13 @@ def consistency_all(spark, sf_dir):
     return rounded(M.flip_stats(PR.pair_join(stored_runs(spark, sf_dir)), ["task", "language", "perturbation"]))
 
 
-@register("consistency_detail", lambda: _runs_sql("""SELECT model, task, language, perturbation, level, id,
+def _detail_body() -> str:
+    return """SELECT model, task, language, perturbation, level, id,
     label_clean AS label, prediction_clean, prediction_pert,
-    coalesce(prediction_clean = prediction_pert, false) AS is_consistent FROM pj""", [PJ]))
+    coalesce(prediction_clean = prediction_pert, false) AS is_consistent FROM pj"""
+
+
+@register("consistency_detail", lambda: _runs_sql(_detail_body(), [PJ]))
 def consistency_detail(spark, sf_dir):
     """Every compared example with both predictions and its consistency flag (F8)."""
     pj = PR.pair_join(stored_runs(spark, sf_dir))
