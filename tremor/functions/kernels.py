@@ -163,3 +163,14 @@ class Perturber:
             elif self.strict:
                 raise ValueError(f"unknown perturbation step {step!r}")
         return text
+
+
+def stopword_stats(text, words: frozenset, strip: str = fixed.RULE_TOKEN_STRIP) -> tuple[int, int]:
+    """(tokens, stop-word hits) of the rule model: lower-cased, split on single spaces, `strip` trimmed."""
+    toks = (text or "").lower().split(" ")
+    return len(toks), sum(1 for w in toks if w.strip(strip) in words)
+
+
+def join_fields(premise, hypothesis, text) -> str:
+    """Model input: the present fields joined by one space (as concat_ws)."""
+    return " ".join(x for x in (premise, hypothesis, text) if x is not None)

@@ -10,10 +10,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tremor.functions import fixed
-from tremor.functions.kernels import Perturber
+from tremor.functions.kernels import Perturber, join_fields, stopword_stats
 
 MAX_LEXICON_ENTRIES = 200_000  # closure-shipped lexicons must stay small
 
@@ -49,6 +49,54 @@ def perturb_udf(perturber: Perturber, side: str = "text"):
     return _perturb
 
 
+FIELDS = ("text", "premise", "hypothesis")
+STATS_TYPE = StructType([StructField("n_tokens", LongType()), StructField("n_hits", LongType())])
+FUSED_TYPE = StructType([StructField(f"p_{c}", StringType()) for c in FIELDS] + list(STATS_TYPE.fields))
+
+
+def stats_udf(words=None):
+    """Arrow UDF (premise, hypothesis, text) -> (n_tokens, n_hits) of the rule model on the joined input."""
+    ws = frozenset(words or fixed.RULE_STOPWORDS)
+
+    @F.pandas_udf(STATS_TYPE)
+    def _stats(premise: pd.Series, hypothesis: pd.Series, text: pd.Series) -> pd.DataFrame:
+        out = [stopword_stats(join_fields(p, h, t), ws) for p, h, t in zip(premise, hypothesis, text)]
+        return pd.DataFrame(out, columns=["n_tokens", "n_hits"], dtype="int64")
+
+    return _stats
+
+
+def perturb_score_udf(perturber: Perturber, words=None, with_text: bool = True):
+    """One Arrow pass: perturb every present field (own key per side) and compute the rule-model statistics
+    of the perturbed input while the text is in Python; perturbed texts come back only if `with_text`."""
+    ws = frozenset(words or fixed.RULE_STOPWORDS)
+
+    @F.pandas_udf(FUSED_TYPE)
+    def _fused(ids: pd.Series, texts: pd.Series, premises: pd.Series, hypotheses: pd.Series, langs: pd.Series,
+               perts: pd.Series, levels: pd.Series) -> pd.DataFrame:
+        rows = []
+        for i, t, p, h, lg, pt, lv in zip(ids, texts, premises, hypotheses, langs, perts, levels):
+            lv = float(lv)
+            out = {}
+            for side, v in (("text", t), ("premise", p), ("hypothesis", h)):
+                out[side] = None if v is None else perturber.apply(v, i, lg, pt, lv, side)
+            n, k = stopword_stats(join_fields(out["premise"], out["hypothesis"], out["text"]), ws)
+            if with_text:
+                rows.append((out["text"], out["premise"], out["hypothesis"], n, k))
+            else:
+                rows.append((None, None, None, n, k))
+        return pd.DataFrame(rows, columns=[f.name for f in FUSED_TYPE.fields]).astype(
+            {"n_tokens": "int64", "n_hits": "int64"})
+
+    return _fused
+
+
+def perturb_score_col(perturber: Perturber, with_text: bool = True, words=None) -> Column:
+    return perturb_score_udf(perturber, words, with_text)(
+        F.col("id").cast("string"), *[F.col(c) for c in FIELDS], F.col("language"), F.col("perturbation"),
+        F.col("level").cast("double"))
+
+
 def perturb_col(perturber: Perturber, text="text", side: str = "text", id_col="id", lang="language",
                 perturbation="perturbation", level="level") -> Column:
     c = lambda x: F.col(x) if isinstance(x, str) else x

@@ -1,6 +1,7 @@
 """Model scoring surface.
 
-* rule model (E3a): JVM-side column expressions, no Python on the hot path;
+* rule model (E3a): stop-word statistics from one Python split per text (fused with the perturbation
+  kernel on the perturbed side), thresholds as JVM expressions per model;
 * Spark ML model (E3b): RegexTokenizer -> HashingTF -> LogisticRegression fitted on the train split;
 * plug-in predictor (E1/E2): any `list[str] -> list[(label, score)]` factory, run in an iterator Arrow
   UDF so the model is loaded once per Python worker and fed Arrow batches;
@@ -24,20 +25,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _stopword_pattern(words=None, strip=fixed.RULE_TOKEN_STRIP) -> str:
-    # one space-delimited token, optionally wrapped in strip characters, equal to a stop word
-    alts = "|".join(sorted(words or fixed.RULE_STOPWORDS, key=lambda w: (-len(w), w)))
-    chars = "".join("\\" + c for c in strip)
-    return f"(?<![^ ])[{chars}]*(?:{alts})[{chars}]*(?![^ ])"
+def rule_stats(text, words=None) -> dict[str, Column]:
+    """Stop-word hits and token count of a text (tokens: lower-cased, split on single spaces, '.,' trimmed).
 
+    Computed in an Arrow UDF: a JVM regex over every token costs more than a Python split, and on the perturbed
+    side the text is already in Python (see `perturb.perturb_score_udf`), so both sides share one kernel.
+    """
+    from tremor.operators.perturb import stats_udf
 
-def rule_stats(text, words=None) -> dict[str, Column]:
-    """Stop-word hits and token count of a text; tokens = split on single spaces, lower-cased."""
-    t = F.lower(F.coalesce(_col(text), F.lit("")))
-    return {
-        "n_tokens": (F.regexp_count(t, F.lit(" ")) + 1).cast("bigint"),
-        "n_hits": F.regexp_count(t, F.lit(_stopword_pattern(words))).cast("bigint"),
-    }
+    none = F.lit(None).cast("string")
+    s = stats_udf(words)(none, none, _col(text))
+    return {"n_tokens": s["n_tokens"], "n_hits": s["n_hits"]}
 
 
 def rule_predict(hits, tokens, threshold) -> tuple[Column, Column]:
@@ -57,9 +55,15 @@ def default_models(spark) -> DataFrame:
 def score_rule(df: DataFrame, models: DataFrame, text="input", prefix: str = "") -> DataFrame:
     """Score `text` with every rule model of `models` (small, broadcast)."""
     s = rule_stats(text)
-    x = df.withColumns({"_hits": s["n_hits"], "_tok": s["n_tokens"]}).crossJoin(F.broadcast(models))
-    pred, score = rule_predict("_hits", "_tok", F.col("threshold"))
-    return x.withColumns({f"{prefix}prediction": pred, f"{prefix}score": score}).drop("_hits", "_tok", "threshold")
+    x = df.withColumns({"_hits": s["n_hits"], "_tok": s["n_tokens"]})
+    return score_stats(x, models, "_hits", "_tok", prefix).drop("_hits", "_tok")
+
+
+def score_stats(x: DataFrame, models: DataFrame, hits: str, tokens: str, prefix: str = "") -> DataFrame:
+    """Apply every model threshold to precomputed statistics (the model grid is small and broadcast)."""
+    x = x.crossJoin(F.broadcast(models))
+    pred, score = rule_predict(hits, tokens, F.col("threshold"))
+    return x.withColumns({f"{prefix}prediction": pred, f"{prefix}score": score}).drop("threshold")
 
 
 # ---- raw model output ----------------------------------------------------------

@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from tremor.plans import experiment, q_analysis, q_files, q_score, q_text  # noqa: F401
+from tremor.plans import experiment, q_analysis, q_files, q_score, q_stream, q_text  # noqa: F401

@@ -78,15 +78,15 @@ def paired(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, m
     p = perturber or P.make_perturber()
     st = S.rule_stats(format_input())
     x = base.withColumns({"hits_clean": st["n_hits"], "tok_clean": st["n_tokens"]})
-    x = x.crossJoin(F.broadcast(g.select("perturbation", "level")))
     if keep_text:
         x = x.withColumn("text_clean", format_input())
-    x = x.withColumns(_perturbed(p))
-    st2 = S.rule_stats(format_input())
-    x = x.withColumns({"hits_pert": st2["n_hits"], "tok_pert": st2["n_tokens"]})
+    x = x.crossJoin(F.broadcast(g.select("perturbation", "level")))
+    fused = P.perturb_score_col(p, with_text=keep_text)
+    x = x.withColumn("_f", fused)
     if keep_text:
-        x = x.withColumn("text_pert", format_input())
-    x = x.drop("text", "premise", "hypothesis").crossJoin(F.broadcast(models))
+        x = x.withColumn("text_pert", F.concat_ws(" ", "_f.p_premise", "_f.p_hypothesis", "_f.p_text"))
+    x = x.withColumns({"hits_pert": F.col("_f.n_hits"), "tok_pert": F.col("_f.n_tokens")})
+    x = x.drop("text", "premise", "hypothesis", "_f").crossJoin(F.broadcast(models))
     pc, sc = S.rule_predict("hits_clean", "tok_clean", F.col("threshold"))
     pp, sp = S.rule_predict("hits_pert", "tok_pert", F.col("threshold"))
     return x.select(*RUN_KEYS, "id", "label",
@@ -113,8 +113,12 @@ def runs(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, mod
     models = models if models is not None else S.default_models(spark)
     p = perturber or P.make_perturber()
     clean = base.withColumns({"perturbation": F.lit("clean"), "level": F.lit(0.0)})
-    noisy = base.crossJoin(F.broadcast(g)).withColumns(_perturbed(p))
-    x = clean.unionByName(noisy)
-    x = x.withColumns({"input": format_input(), "stored": stored_text()})
-    scored = S.score_rule(x, models, text="input")
+    st = S.rule_stats(format_input())
+    clean = clean.withColumns({"_hits": st["n_hits"], "_tok": st["n_tokens"]})
+    noisy = base.crossJoin(F.broadcast(g)).withColumn("_f", P.perturb_score_col(p, with_text=True))
+    noisy = noisy.withColumns({"text": F.col("_f.p_text"), "premise": F.col("_f.p_premise"),
+                               "hypothesis": F.col("_f.p_hypothesis"), "_hits": F.col("_f.n_hits"),
+                               "_tok": F.col("_f.n_tokens")}).drop("_f")
+    x = clean.unionByName(noisy).withColumn("stored", stored_text())
+    scored = S.score_stats(x, models, "_hits", "_tok")
     return scored.select(*RUN_KEYS, "id", F.col("stored").alias("text"), "label", "prediction", "score")
