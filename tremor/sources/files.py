@@ -40,6 +40,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 CSV_OPTS = {"header": "true", "quote": "\"", "escape": "\"", "multiLine": "true", "encoding": "UTF-8",
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# On read, only an unquoted empty field is null (as a pandas NaN); a quoted "" stays the empty string.
+CSV_READ = {**CSV_OPTS, "nullValue": "\u0000"}
 
 
 def write_predictions(runs: DataFrame, path: str, fmt: str = "csv") -> str:
@@ -56,7 +58,7 @@ def write_predictions(runs: DataFrame, path: str, fmt: str = "csv") -> str:
 def read_predictions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Partition-discovery scan: model/task/perturbation come from the directories (typed by the schema)."""
     r = spark.read.schema(PRED_SCHEMA)
-    return r.options(**CSV_OPTS).csv(path) if fmt == "csv" else r.parquet(path)
+    return r.options(**CSV_READ).csv(path) if fmt == "csv" else r.parquet(path)
 
 
 def _dir_value(path: Column, key: str) -> Column:
@@ -66,7 +68,7 @@ def _dir_value(path: Column, key: str) -> Column:
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Recursive scan of stored prediction CSVs (no partition inference); id forced to string and metadata
     recovered from each file's path via the hidden `_metadata.file_path` column."""
-    df = (spark.read.schema(PRED_DATA).options(**CSV_OPTS).option("recursiveFileLookup", "true")
+    df = (spark.read.schema(PRED_DATA).options(**CSV_READ).option("recursiveFileLookup", "true")
           .option("pathGlobFilter", "*.csv").csv(path))
     fp = F.col("_metadata.file_path")
     return df.select("*", *[_dir_value(fp, k).alias(k) for k in ("model", "task", "perturbation")])
@@ -150,4 +152,4 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTS).csv(path)
+    return spark.read.schema(schema).options(**CSV_READ).csv(path)
