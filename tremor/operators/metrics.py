@@ -45,13 +45,37 @@ def f1_from_counts(cnt: DataFrame, keys, label: str, pred: str, name: str = "f1_
     return per_class.groupBy(*keys).agg(F.avg(f1).alias(name))
 
 
+def _class_rows(label: str, pred: str, side: str | None = None, extra: dict | None = None) -> list:
+    """Per-class contributions of one count row: (class=label: tp, support) and (class=pred: predicted)."""
+    tag = [] if side is None else [F.lit(side).alias("side")]
+    ex = extra or {}
+    on_label = F.struct(*tag, F.col(label).alias("cls"),
+                        F.when(_eq_null_safe(label, pred), F.col("n")).otherwise(0).alias("tp"),
+                        F.col("n").alias("sup"), F.lit(0).cast("bigint").alias("prd"),
+                        *[v.alias(k) for k, v in ex.items()])
+    on_pred = F.struct(*tag, F.col(pred).alias("cls"), F.lit(0).cast("bigint").alias("tp"),
+                       F.lit(0).cast("bigint").alias("sup"), F.col("n").alias("prd"),
+                       *[F.lit(0).cast("bigint").alias(k) for k in ex])
+    return [on_label, on_pred]
+
+
+def _f1_class():
+    return F.when(F.col("sup") + F.col("prd") > 0, 2.0 * F.col("tp") / (F.col("sup") + F.col("prd"))).otherwise(0.0)
+
+
 def classification_metrics(df: DataFrame, keys, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """accuracy, f1_macro, n per group (F1, F2); empty groups do not exist, so the 0.0 default never fires."""
+    """accuracy, f1_macro, n per group (F1, F2) in one lineage: counts -> per-class rows -> per group.
+
+    No branch re-reads the input, so an expensive upstream (perturbation, scoring) runs exactly once.
+    """
     cnt = counts(df, keys, label, pred)
-    acc = accuracy_from_counts(cnt, keys, label, pred)
-    f1 = f1_from_counts(cnt, keys, label, pred)
-    n = cnt.groupBy(*keys).agg(F.sum("n").alias("n"))
-    return acc.join(f1, list(keys)).join(n, list(keys))
+    per_class = (cnt.select(*keys, F.explode(F.array(*_class_rows(label, pred))).alias("c"))
+                 .select(*keys, "c.*")
+                 .groupBy(*keys, "cls").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("sup"),
+                                            F.sum("prd").alias("prd")))
+    return per_class.groupBy(*keys).agg(
+        (F.sum("tp") / F.sum("sup")).alias("accuracy"), F.avg(_f1_class()).alias("f1_macro"),
+        F.sum("sup").alias("n"))
 
 
 def confusion(df: DataFrame, keys, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -106,18 +130,26 @@ SUMMARY_COLUMNS = ["acc_clean", "acc_perturbed", "abs_drop_acc", "rel_drop_acc",
 def paired_report(paired: DataFrame, keys) -> DataFrame:
     """Robustness summary per group from the paired table (fast path, F19-F21).
 
-    One shuffle: (keys, label, pred_clean, pred_pert) counts.  Everything else is on that table.
+    One lineage, no branches: (keys, label, pred_clean, pred_pert) counts -> per side and class contributions
+    -> per (side, class) sums -> per group.  The first aggregate is the only shuffle whose input grows with
+    the data (partially aggregated map-side); the later ones see at most groups x 2 x classes rows.
     """
     cnt = counts(paired, keys, "label", "pred_clean", "pred_pert")
-    c_clean = cnt.groupBy(*keys, "label", "pred_clean").agg(F.sum("n").alias("n"))
-    c_pert = cnt.groupBy(*keys, "label", "pred_pert").agg(F.sum("n").alias("n"))
-    base = cnt.groupBy(*keys).agg(
-        (F.sum(F.when(_eq_null_safe("label", "pred_clean"), F.col("n")).otherwise(0)) / F.sum("n")).alias("acc_clean"),
-        (F.sum(F.when(_eq_null_safe("label", "pred_pert"), F.col("n")).otherwise(0)) / F.sum("n")).alias("acc_perturbed"),
-        (F.sum(F.when(_eq_null_safe("pred_clean", "pred_pert"), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"),
-        F.sum("n").alias("n"))
-    rep = (base.join(f1_from_counts(c_clean, keys, "label", "pred_clean", "f1_clean"), list(keys))
-           .join(f1_from_counts(c_pert, keys, "label", "pred_pert", "f1_perturbed"), list(keys)))
+    agree = {"agree": F.when(_eq_null_safe("pred_clean", "pred_pert"), F.col("n")).otherwise(0)}
+    rows = (_class_rows("label", "pred_clean", "clean", agree)
+            + _class_rows("label", "pred_pert", "pert", {"agree": F.lit(0).cast("bigint")}))
+    per_class = (cnt.select(*keys, F.explode(F.array(*rows)).alias("c")).select(*keys, "c.*")
+                 .groupBy(*keys, "side", "cls")
+                 .agg(F.sum("tp").alias("tp"), F.sum("sup").alias("sup"), F.sum("prd").alias("prd"),
+                      F.sum("agree").alias("agree")))
+    clean, pert = F.col("side") == "clean", F.col("side") == "pert"
+    rep = per_class.groupBy(*keys).agg(
+        (F.sum(F.when(clean, F.col("tp"))) / F.sum(F.when(clean, F.col("sup")))).alias("acc_clean"),
+        (F.sum(F.when(pert, F.col("tp"))) / F.sum(F.when(pert, F.col("sup")))).alias("acc_perturbed"),
+        F.avg(F.when(clean, _f1_class())).alias("f1_clean"),
+        F.avg(F.when(pert, _f1_class())).alias("f1_perturbed"),
+        (F.sum("agree") / F.sum(F.when(clean, F.col("sup")))).alias("consistency"),
+        F.sum(F.when(clean, F.col("sup"))).alias("n"))
     return rep.withColumns(robustness_columns()).select(*keys, *SUMMARY_COLUMNS, "n")
 
 

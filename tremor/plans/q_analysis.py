@@ -13,8 +13,7 @@ from tremor.operators import score as S
 from tremor.plans import oracle as O
 from tremor.plans import views as V
 from tremor.plans.catalog import register, rounded
-from tremor.plans.experiment import experiment_report
-from tremor.plans.stored import stored_runs
+from tremor.plans.stored import stored_report, stored_runs
 from tremor.sources import tables
 
 RUN5 = ["model", "task", "perturbation", "level", "language"]
@@ -383,20 +382,20 @@ def _avg_cols(prefix="") -> str:
 @register("summary_model", lambda: _report_sql(f"SELECT model, {_avg_cols()} FROM report GROUP BY model"))
 def summary_model(spark, sf_dir):
     """Mean clean/perturbed accuracy, relative drop and consistency per model."""
-    return rounded(RP.summary(experiment_report(spark, sf_dir), ["model"]))
+    return rounded(RP.summary(stored_report(spark, sf_dir), ["model"]))
 
 
 @register("summary_language", lambda: _report_sql(f"SELECT model, language, {_avg_cols()} FROM report GROUP BY ALL"))
 def summary_language(spark, sf_dir):
     """Same per (model, language)."""
-    return rounded(RP.summary(experiment_report(spark, sf_dir), ["model", "language"]))
+    return rounded(RP.summary(stored_report(spark, sf_dir), ["model", "language"]))
 
 
 @register("summary_perturbation", lambda: _report_sql(
     f"SELECT model, perturbation, {_avg_cols()} FROM report GROUP BY ALL"))
 def summary_perturbation(spark, sf_dir):
     """Same per (model, perturbation)."""
-    return rounded(RP.summary(experiment_report(spark, sf_dir), ["model", "perturbation"]))
+    return rounded(RP.summary(stored_report(spark, sf_dir), ["model", "perturbation"]))
 
 
 @register("summary_sets", lambda: _report_sql(
@@ -404,7 +403,7 @@ def summary_perturbation(spark, sf_dir):
     "GROUP BY GROUPING SETS ((model), (model, language))"))
 def summary_sets(spark, sf_dir):
     """Per-model and per-(model, language) summaries fused in one GROUPING SETS aggregate (F11 + F12)."""
-    return rounded(RP.summary_sets(experiment_report(spark, sf_dir)))
+    return rounded(RP.summary_sets(stored_report(spark, sf_dir)))
 
 
 @register("drop_pivot", lambda: _report_sql(
@@ -413,7 +412,7 @@ def summary_sets(spark, sf_dir):
     + " FROM report GROUP BY model, language"))
 def drop_pivot(spark, sf_dir):
     """Relative accuracy drop in percent per (model, language), one column per perturbation family (F12 table)."""
-    return rounded(RP.drop_pivot(experiment_report(spark, sf_dir), FAMILIES))
+    return rounded(RP.drop_pivot(stored_report(spark, sf_dir), FAMILIES))
 
 
 @register("cross_lingual_gap", lambda: _report_sql(
@@ -423,14 +422,14 @@ def drop_pivot(spark, sf_dir):
        AND r.perturbation = e.perturbation AND r.level = e.level"""))
 def cross_lingual_gap(spark, sf_dir):
     """Perturbed accuracy and relative drop of each language minus English, same run."""
-    return rounded(RP.cross_lingual_gap(experiment_report(spark, sf_dir)))
+    return rounded(RP.cross_lingual_gap(stored_report(spark, sf_dir)))
 
 
 @register("sorted_summary", lambda: _report_sql(
     f"SELECT model, language, {_avg_cols()} FROM report GROUP BY ALL ORDER BY model, language"))
 def sorted_summary(spark, sf_dir):
     """Group keys in sorted order, as the pandas roll-ups emit them (ordering on the output only)."""
-    return rounded(RP.summary(experiment_report(spark, sf_dir), ["model", "language"])).orderBy("model", "language")
+    return rounded(RP.summary(stored_report(spark, sf_dir), ["model", "language"])).orderBy("model", "language")
 
 
 BOOT_B = 200
@@ -455,7 +454,7 @@ def _boot_sql(keys: list[str], value: str, filt: str = "") -> str:
 
 
 def _boot(spark, sf_dir, keys, value_col, filt=None):
-    rep = experiment_report(spark, sf_dir)
+    rep = stored_report(spark, sf_dir)
     if filt is not None:
         rep = rep.filter(filt)
     rid = F.concat_ws("|", "model", "task", "perturbation", F.col("level").cast("string"), "language")

@@ -16,7 +16,7 @@ from tremor.plans import q_analysis as QA
 from tremor.plans import views as V
 from tremor.plans.catalog import register, rounded
 from tremor.plans.experiment import experiment_report
-from tremor.plans.stored import stored_runs
+from tremor.plans.stored import stored_report, stored_runs
 from tremor.session import scratch_path
 from tremor.sources import files, tables
 
@@ -124,7 +124,7 @@ def _metric_cols_sql() -> str:
     f"SELECT model, task, perturbation, level, language, {_metric_cols_sql()} FROM report"))
 def scan_reports(spark, sf_dir):
     """Report files `{language: {metrics}}` scanned recursively, one row per (file, language)."""
-    path = files.write_report_files(experiment_report(spark, sf_dir), scratch_path(spark, "reports"))
+    path = files.write_report_files(stored_report(spark, sf_dir), scratch_path(spark, "reports"))
     rows = files.scan_report_files(spark, path)
     meta = files.parse_report_path(F.col("file_path"))
     return rounded(rows.select(*[v.alias(k) for k, v in meta.items()], "language", *files.METRIC_FIELDS))
@@ -136,7 +136,7 @@ def scan_reports(spark, sf_dir):
        AS consistency FROM report"""))
 def report_long(spark, sf_dir):
     """Plot-ready long table from the report files: accuracy, relative drop and consistency in percent (A10)."""
-    path = files.write_report_files(experiment_report(spark, sf_dir), scratch_path(spark, "reports"))
+    path = files.write_report_files(stored_report(spark, sf_dir), scratch_path(spark, "reports"))
     return rounded(files.report_long(files.scan_report_files(spark, path)))
 
 
@@ -168,7 +168,7 @@ def _parse_paths_sql() -> str:
 def parse_paths(spark, sf_dir):
     """Metadata from legacy report paths `{model}/{task}_{perturbation}_{level}.json`; perturbation names with
     underscores stay whole; `*_clean_*` names give level 0 (A9)."""
-    p = _legacy_paths(experiment_report(spark, sf_dir))
+    p = _legacy_paths(stored_report(spark, sf_dir))
     meta = files.parse_report_path(F.col("path"))
     return p.select("path", *[v.alias(k) for k, v in meta.items()])
 
@@ -180,7 +180,7 @@ SUMMARY_SCHEMA = "model string, acc_clean double, acc_perturbed double, rel_drop
     "SELECT model, " + ", ".join(O.r6(f"avg({c})", c) for c in RP.ROLLUP) + " FROM report GROUP BY model"))
 def sink_summary(spark, sf_dir):
     """Per-model summary written as CSV with a header and read back."""
-    s = RP.summary(experiment_report(spark, sf_dir), ["model"])
+    s = RP.summary(stored_report(spark, sf_dir), ["model"])
     path = files.write_csv(s, scratch_path(spark, "summary"))
     return rounded(files.read_csv(spark, path, SUMMARY_SCHEMA))
 

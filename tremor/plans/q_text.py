@@ -8,6 +8,7 @@ from tremor.functions import fixed
 from tremor.functions import text as T
 from tremor.operators import perturb as P
 from tremor.operators import sampling
+from tremor.operators.partitioning import balance
 from tremor.plans import oracle as O
 from tremor.plans import views as V
 from tremor.plans.catalog import register, rounded
@@ -16,9 +17,8 @@ from tremor.sources import tables
 
 def documents(spark, sf_dir):
     """Every document, normalized: id, language, text."""
-    d = tables.table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("language"),
-                    T.normalize("text").alias("text"))
+    d = balance(tables.table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string")))
+    return d.select("id", F.col("lang").alias("language"), T.normalize("text").alias("text"))
 
 
 def _docs_cte() -> str:
@@ -180,7 +180,7 @@ def lang_alias(spark, sf_dir):
        UNION ALL SELECT id, task, language, 'clean', 0.0::DOUBLE, text, premise, hypothesis FROM tasks"""))
 def perturb_all(spark, sf_dir):
     """Dispatcher over the whole grid for both tasks; clean rows pass through."""
-    base = V.task_examples(spark, sf_dir)
+    base = balance(V.task_examples(spark, sf_dir))
     g = V.grid(spark, include_clean=True)
     x = P.perturb(base, g, text_cols=("text", "premise", "hypothesis"), keep_original=False)
     return x.select("id", "task", "language", "perturbation", "level", "text", "premise", "hypothesis")

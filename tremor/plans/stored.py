@@ -31,3 +31,22 @@ def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _written:
         _written[key] = write_runs(V.runs(spark, sf_dir), scratch_path(spark, "runs"))
     return spark.read.schema(RUNS_SCHEMA).parquet(_written[key]).select(*[c.split()[0] for c in RUNS_SCHEMA.split(", ")])
+
+
+REPORT_SCHEMA = ("model string, task string, perturbation string, level double, language string, "
+                 "acc_clean double, acc_perturbed double, abs_drop_acc double, rel_drop_acc double, f1_clean double, "
+                 "f1_perturbed double, abs_drop_f1 double, rel_drop_f1 double, consistency double, n long")
+_reports: dict[tuple, str] = {}
+
+
+def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The robustness report (one row per model/task/perturbation/level/language) written once under the
+    shared folder; roll-ups read it as the original reads its report files."""
+    from tremor.plans.experiment import experiment_report
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _reports:
+        path = scratch_path(spark, "report")
+        experiment_report(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _reports[key] = path
+    return spark.read.schema(REPORT_SCHEMA).parquet(_reports[key])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tremor.functions import fixed
 from tremor.functions.text import format_input, normalize, pair_json
 from tremor.operators import perturb as P
+from tremor.operators.partitioning import balance
 from tremor.operators import score as S
 from tremor.sources import tables
 
@@ -45,12 +46,12 @@ def grid(spark: SparkSession, perturbations=None, include_clean: bool = False) -
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized classification examples (documents with a quality label)."""
-    return tables.scan_task(spark, sf_dir, "quality").withColumn("text", normalize("text"))
+    return balance(tables.scan_task(spark, sf_dir, "quality")).withColumn("text", normalize("text"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized pair examples (user turn -> following assistant turn)."""
-    return tables.scan_task(spark, sf_dir, "dialog").withColumns(
+    return balance(tables.scan_task(spark, sf_dir, "dialog")).withColumns(
         {"premise": normalize("premise"), "hypothesis": normalize("hypothesis")})
 
 
@@ -72,7 +73,7 @@ def paired(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, m
     one Arrow UDF perturbs text/premise/hypothesis -> perturbed stats -> texts dropped ->
     broadcast model cross join -> predictions.  No shuffle of text after the label join.
     """
-    base = base if base is not None else task_examples(spark, sf_dir)
+    base = balance(base if base is not None else task_examples(spark, sf_dir))
     g = grid_df if grid_df is not None else grid(spark)
     models = models if models is not None else S.default_models(spark)
     p = perturber or P.make_perturber()
@@ -107,7 +108,7 @@ def runs(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, mod
 
     Clean is scored once per example (level 0.0), each perturbation once per (example, level).
     """
-    base = base if base is not None else task_examples(spark, sf_dir)
+    base = balance(base if base is not None else task_examples(spark, sf_dir))
     g = grid(spark) if grid_df is None else grid_df
     g = g.filter(F.col("perturbation") != "clean").select("perturbation", "level")
     models = models if models is not None else S.default_models(spark)
