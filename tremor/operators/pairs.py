@@ -73,9 +73,10 @@ def coverage(runs: DataFrame) -> DataFrame:
 def map_labels(df: DataFrame, label_map: DataFrame, model_col: str = "model", raw: str = "prediction") -> DataFrame:
     """Model label -> dataset label through a (model, raw, label) table; unknown raw labels pass through.
 
-    The map has one row per (model, label) and is broadcast.
+    The map has one row per (model, label); no broadcast hint: its size is the caller's, so the planner
+    (and AQE at run time) picks a broadcast only when the statistics show it is small.
     """
     m = label_map.select(F.col("model").alias(model_col), F.col("raw").alias("_raw"), F.col("label").alias("_mapped"))
-    return (df.join(F.broadcast(m), (df[model_col] == m[model_col]) & (df[raw] == m["_raw"]), "left")
+    return (df.join(m, (df[model_col] == m[model_col]) & (df[raw] == m["_raw"]), "left")
             .drop(m[model_col])
             .withColumn(raw, F.coalesce(F.col("_mapped"), F.col(raw))).drop("_raw", "_mapped"))

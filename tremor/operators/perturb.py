@@ -116,12 +116,12 @@ def perturb(df: DataFrame, grid: DataFrame, text_cols=("text",), perturber: Pert
             keep_original: bool = True) -> DataFrame:
     """Every example under every (perturbation, level) of `grid`.
 
-    The grid is a small, size-checked table (types x levels), broadcast into a cross join; the clean
+    The grid is a small table (types x levels; `views.grid` checks its size and marks it for broadcast); the clean
     rows skip the UDF entirely (filter + union, since `when` would not skip a Python UDF).
     Pair tasks perturb both sides with independent keys.
     """
     p = perturber or make_perturber()
-    g = F.broadcast(grid.select("perturbation", "level"))
+    g = grid.select("perturbation", "level")
     x = df.crossJoin(g)
     if keep_original:
         x = x.withColumns({f"original_{c}": F.col(c) for c in text_cols})

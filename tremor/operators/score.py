@@ -47,9 +47,20 @@ def rule_predict(hits, tokens, threshold) -> tuple[Column, Column]:
     return pred, score
 
 
+DEFAULT_MODELS = [("stopword-t20", 0.2), ("stopword-t30", 0.3)]
+MAX_MODELS = 10_000
+
+
+def models_table(spark, models=None) -> DataFrame:
+    """Grid of rule models (model, threshold) from a config list; its size is checked, so it is broadcast."""
+    rows = list(models if models is not None else DEFAULT_MODELS)
+    if len(rows) > MAX_MODELS:
+        raise ValueError("model grid too large to broadcast")
+    return F.broadcast(spark.createDataFrame(rows, "model string, threshold double"))
+
+
 def default_models(spark) -> DataFrame:
-    """Grid of rule models: (model, threshold)."""
-    return spark.createDataFrame([("stopword-t20", 0.2), ("stopword-t30", 0.3)], "model string, threshold double")
+    return models_table(spark)
 
 
 def score_rule(df: DataFrame, models: DataFrame, text="input", prefix: str = "") -> DataFrame:
@@ -60,8 +71,8 @@ def score_rule(df: DataFrame, models: DataFrame, text="input", prefix: str = "")
 
 
 def score_stats(x: DataFrame, models: DataFrame, hits: str, tokens: str, prefix: str = "") -> DataFrame:
-    """Apply every model threshold to precomputed statistics (the model grid is small and broadcast)."""
-    x = x.crossJoin(F.broadcast(models))
+    """Apply every model threshold to precomputed statistics (`models_table` marks the grid for broadcast)."""
+    x = x.crossJoin(models)
     pred, score = rule_predict(hits, tokens, F.col("threshold"))
     return x.withColumns({f"{prefix}prediction": pred, f"{prefix}score": score}).drop("threshold")
 

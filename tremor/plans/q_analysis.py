@@ -233,7 +233,7 @@ def grid_expand(spark, sf_dir):
     t = V.task_examples(spark, sf_dir).groupBy("task").agg(F.count(F.lit(1)).alias("n_examples"))
     g = V.grid(spark, include_clean=True)
     m = S.default_models(spark).select("model")
-    return t.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(g)).select(
+    return t.crossJoin(m).crossJoin(g).select(
         "task", "model", "perturbation", "level", "n_examples")
 
 

@@ -28,11 +28,11 @@ def _share(t: str) -> str:
                ELSE 1.0 - {_share(O.input_sql('t.'))} END, 6) AS score
   FROM tasks t CROSS JOIN models m"""))
 def score_rule(spark, sf_dir):
-    """Rule model over both tasks, every model of the grid: JVM expressions only."""
+    """Rule model over both tasks and every model of the grid: one Python split per text, thresholds in the JVM."""
     t = V.task_examples(spark, sf_dir).withColumn("input", T.format_input())
     st = S.rule_stats("input")
     t = t.withColumns({"n_tokens": st["n_tokens"], "n_hits": st["n_hits"]})
-    out = S.score_rule(t, S.default_models(spark), text="input")
+    out = S.score_stats(t, S.default_models(spark), "n_hits", "n_tokens")
     return rounded(out.select("model", "task", "id", "n_tokens", "n_hits", "prediction", "score"))
 
 

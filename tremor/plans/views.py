@@ -41,7 +41,8 @@ def grid(spark: SparkSession, perturbations=None, include_clean: bool = False) -
         rows.insert(0, ("clean", 0.0))
     if len(rows) > MAX_GRID_ROWS:
         raise ValueError("grid too large to broadcast")
-    return spark.createDataFrame(rows, "perturbation string, level double")
+    # size checked above, so the broadcast hint is safe; a caller's own grid DataFrame is left to the planner
+    return F.broadcast(spark.createDataFrame(rows, "perturbation string, level double"))
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +82,13 @@ def paired(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, m
     x = base.withColumns({"hits_clean": st["n_hits"], "tok_clean": st["n_tokens"]})
     if keep_text:
         x = x.withColumn("text_clean", format_input())
-    x = x.crossJoin(F.broadcast(g.select("perturbation", "level")))
+    x = x.crossJoin(g.select("perturbation", "level"))
     fused = P.perturb_score_col(p, with_text=keep_text)
     x = x.withColumn("_f", fused)
     if keep_text:
         x = x.withColumn("text_pert", F.concat_ws(" ", "_f.p_premise", "_f.p_hypothesis", "_f.p_text"))
     x = x.withColumns({"hits_pert": F.col("_f.n_hits"), "tok_pert": F.col("_f.n_tokens")})
-    x = x.drop("text", "premise", "hypothesis", "_f").crossJoin(F.broadcast(models))
+    x = x.drop("text", "premise", "hypothesis", "_f").crossJoin(models)
     pc, sc = S.rule_predict("hits_clean", "tok_clean", F.col("threshold"))
     pp, sp = S.rule_predict("hits_pert", "tok_pert", F.col("threshold"))
     return x.select(*RUN_KEYS, "id", "label",
@@ -116,7 +117,7 @@ def runs(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, mod
     clean = base.withColumns({"perturbation": F.lit("clean"), "level": F.lit(0.0)})
     st = S.rule_stats(format_input())
     clean = clean.withColumns({"_hits": st["n_hits"], "_tok": st["n_tokens"]})
-    noisy = base.crossJoin(F.broadcast(g)).withColumn("_f", P.perturb_score_col(p, with_text=True))
+    noisy = base.crossJoin(g).withColumn("_f", P.perturb_score_col(p, with_text=True))
     noisy = noisy.withColumns({"text": F.col("_f.p_text"), "premise": F.col("_f.p_premise"),
                                "hypothesis": F.col("_f.p_hypothesis"), "_hits": F.col("_f.n_hits"),
                                "_tok": F.col("_f.n_tokens")}).drop("_f")
