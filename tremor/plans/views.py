@@ -110,17 +110,20 @@ def runs(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, mod
     Clean is scored once per example (level 0.0), each perturbation once per (example, level).
     """
     base = balance(base if base is not None else task_examples(spark, sf_dir))
-    g = grid(spark) if grid_df is None else grid_df
-    g = g.filter(F.col("perturbation") != "clean").select("perturbation", "level")
+    g = grid(spark, include_clean=True) if grid_df is None else with_clean(spark, grid_df)
     models = models if models is not None else S.default_models(spark)
     p = perturber or P.make_perturber()
-    clean = base.withColumns({"perturbation": F.lit("clean"), "level": F.lit(0.0)})
-    st = S.rule_stats(format_input())
-    clean = clean.withColumns({"_hits": st["n_hits"], "_tok": st["n_tokens"]})
-    noisy = base.crossJoin(g).withColumn("_f", P.perturb_score_col(p, with_text=True))
-    noisy = noisy.withColumns({"text": F.col("_f.p_text"), "premise": F.col("_f.p_premise"),
-                               "hypothesis": F.col("_f.p_hypothesis"), "_hits": F.col("_f.n_hits"),
-                               "_tok": F.col("_f.n_tokens")}).drop("_f")
-    x = clean.unionByName(noisy).withColumn("stored", stored_text())
+    # clean is one more grid row (identity in the kernel): the base is read, joined and normalized once
+    x = base.crossJoin(g).withColumn("_f", P.perturb_score_col(p, with_text=True))
+    x = x.withColumns({"text": F.col("_f.p_text"), "premise": F.col("_f.p_premise"),
+                       "hypothesis": F.col("_f.p_hypothesis"), "_hits": F.col("_f.n_hits"),
+                       "_tok": F.col("_f.n_tokens")}).drop("_f")
+    x = x.withColumn("stored", stored_text())
     scored = S.score_stats(x, models, "_hits", "_tok")
     return scored.select(*RUN_KEYS, "id", F.col("stored").alias("text"), "label", "prediction", "score")
+
+
+def with_clean(spark: SparkSession, grid_df: DataFrame) -> DataFrame:
+    """A caller's grid plus the clean row (level 0.0), each exactly once."""
+    clean = spark.createDataFrame([("clean", 0.0)], "perturbation string, level double")
+    return clean.unionByName(grid_df.filter(F.col("perturbation") != "clean").select("perturbation", "level"))
