@@ -39,3 +39,14 @@ def test_filters_pushed_to_scan(spark, sf_small):
     r = stored_runs(spark, sf_small).filter((F.col("perturbation") != "clean") & (F.col("level") > 0))
     p = plan(r)
     assert "PartitionFilters" in p and "PushedFilters" in p
+
+
+def test_low_cardinality_joins_are_broadcast(spark, sf_small):
+    from tremor.plans import q_analysis as QA
+    from tremor.plans import q_text as QT
+
+    for df in (QA.label_map(spark, sf_small), QA.split_exact(spark, sf_small), QT.split_pick(spark, sf_small),
+               QA.pair_coverage(spark, sf_small)):
+        df.collect()
+        p = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [model" not in p and "SortMergeJoin [task" not in p

@@ -52,29 +52,43 @@ def pair_join(runs: DataFrame, check_unique: bool = True) -> DataFrame:
 
 
 def coverage(runs: DataFrame) -> DataFrame:
-    """Per comparison: ids on both sides, only clean, only perturbed (C10) via semi/anti joins."""
+    """Per comparison: ids on both sides, only clean, only perturbed.
+
+    One id join (perturbed left-join clean, keyed by (model, task, language, id): no hot key) gives matched
+    and perturbed-only counts; clean-only = clean ids of the group - matched.  The inner join with the
+    per-group clean counts keeps only groups that have a clean run, as `run_pairs` does.
+    """
     keys = [*PAIR_KEYS, "id"]
+    cmp_keys = [*PAIR_KEYS, "perturbation", "level"]
     c = clean_side(runs).select(*keys).distinct()
     p = perturbed_side(runs).select(*keys, "perturbation", "level").distinct()
-    comps = run_pairs(runs)
-    matched = p.join(c, keys, "left_semi").groupBy(*PAIR_KEYS, "perturbation", "level").agg(
-        F.count(F.lit(1)).alias("n_matched"))
-    pert_only = p.join(c, keys, "left_anti").groupBy(*PAIR_KEYS, "perturbation", "level").agg(
-        F.count(F.lit(1)).alias("n_pert_only"))
-    clean_only = (comps.join(c, PAIR_KEYS)
-                  .join(p, [*keys, "perturbation", "level"], "left_anti")
-                  .groupBy(*PAIR_KEYS, "perturbation", "level").agg(F.count(F.lit(1)).alias("n_clean_only")))
-    out = comps
-    for t in (matched, clean_only, pert_only):
-        out = out.join(t, [*PAIR_KEYS, "perturbation", "level"], "left")
-    return out.na.fill(0, ["n_matched", "n_clean_only", "n_pert_only"])
+    hit = F.col("_clean").isNotNull()
+    m = (p.join(c.withColumn("_clean", F.lit(True)), keys, "left")
+         .groupBy(*cmp_keys).agg(F.count_if(hit).alias("n_matched"), F.count_if(~hit).alias("n_pert_only")))
+    n_clean = c.groupBy(*PAIR_KEYS).agg(F.count(F.lit(1)).alias("_n_clean"))
+    # one row per (model, task, language) on both sides: aggregated, configuration-sized
+    return (m.join(F.broadcast(n_clean), PAIR_KEYS)
+            .select(*cmp_keys, "n_matched", (F.col("_n_clean") - F.col("n_matched")).alias("n_clean_only"),
+                    "n_pert_only"))
+
+
+MAX_LABEL_MAP = 100_000
+
+
+def label_map_table(spark, rows) -> DataFrame:
+    """(model, raw, label) rows from configuration, size-checked and marked for broadcast."""
+    rows = list(rows)
+    if len(rows) > MAX_LABEL_MAP:
+        raise ValueError("label map too large to broadcast")
+    return F.broadcast(spark.createDataFrame(rows, "model string, raw string, label string"))
 
 
 def map_labels(df: DataFrame, label_map: DataFrame, model_col: str = "model", raw: str = "prediction") -> DataFrame:
     """Model label -> dataset label through a (model, raw, label) table; unknown raw labels pass through.
 
-    The map has one row per (model, label); no broadcast hint: its size is the caller's, so the planner
-    (and AQE at run time) picks a broadcast only when the statistics show it is small.
+    The map has one row per (model, label) and is built by `label_map_table`, which checks its size and
+    marks it for broadcast: joined on (model, raw label), a shuffle join would put every row of one hot
+    model/label pair into one task.
     """
     m = label_map.select(F.col("model").alias(model_col), F.col("raw").alias("_raw"), F.col("label").alias("_mapped"))
     return (df.join(m, (df[model_col] == m[model_col]) & (df[raw] == m["_raw"]), "left")

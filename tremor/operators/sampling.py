@@ -37,7 +37,8 @@ def split_exact(df: DataFrame, fraction: float = fixed.VALIDATION_FRACTION, seed
            .select(group, F.col("m._b").alias("_cut"), (F.col("m._need") - (F.col("m._cum") - F.col("m._c")))
                    .alias("_take")))
     # groups with need 0 have no cut row: everything is train
-    x = x.join(cut, group, "left")  # one row per group: AQE broadcasts it when small
+    # one row per group (a configuration-level key such as task): broadcast, never a shuffle join on a hot key
+    x = x.join(F.broadcast(cut), group, "left")
     in_cut = x.filter(F.col("_b") == F.col("_cut"))
     ranked = in_cut.withColumn("_r", F.row_number().over(
         Window.partitionBy(group, "_b").orderBy("_u", id_col)))

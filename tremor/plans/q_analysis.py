@@ -74,7 +74,7 @@ def pair_coverage(spark, sf_dir):
 
 def _label_map_df(spark):
     rows = [(m, f"LABEL_{i}", str(i)) for m in ("stopword-t20", "stopword-t30") for i in (0, 1)]
-    return spark.createDataFrame(rows, "model string, raw string, label string")
+    return PR.label_map_table(spark, rows)
 
 
 @register("label_map", lambda: _runs_sql("""SELECT model, task, perturbation, level, language, id,

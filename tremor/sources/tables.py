@@ -95,9 +95,10 @@ def scan_task(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
 def pick_split(df: DataFrame) -> DataFrame:
     """Evaluation split: 'validation' where present, else 'train' (A2), decided per task.
 
-    Presence is one aggregate per task joined back (AQE broadcasts it when small): no collect to the driver.
+    Presence is one aggregate row per task, broadcast back (tasks are configuration, a handful): a shuffle
+    join on `task` would send a whole hot task to one reducer.  No collect to the driver.
     """
     has_val = (df.groupBy("task").agg(F.max((F.col("split") == "validation").cast("int")).alias("_hv")))
-    return (df.join(has_val, "task")
+    return (df.join(F.broadcast(has_val), "task")
             .filter(F.col("split") == F.when(F.col("_hv") == 1, F.lit("validation")).otherwise(F.lit("train")))
             .drop("_hv"))
