@@ -2,8 +2,11 @@
 
 Perturbation costs far more per byte than scanning, so the task count of that stage should follow the
 available cores, not the number of input splits.  A table stored as one large row group yields a single
-non-empty split, which would leave every other core idle.  `balance` hash-partitions by id when the inputs
-are stored in fewer files than `factor` x the default parallelism.
+non-empty split, which would leave every other core idle.  `balance` spreads rows round-robin when the
+inputs are stored in fewer files than `factor` x the default parallelism.  Round-robin, not a hash of the
+id: rows sharing one id (a constant fallback id may cover a third of a table) must not land in one task.
+Spark sorts each input partition before a round-robin repartition, so a retried task sends every row to
+the same place (and the perturbations depend on ids, never on placement).
 
 The decision reads file metadata only (`inputFiles`, the listing the planner already holds): asking the
 DataFrame for its partition count would make adaptive execution run the upstream shuffle and broadcast
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def balance(df: DataFrame, key: str = "id", factor: int = 2) -> DataFrame:
+def balance(df: DataFrame, factor: int = 2) -> DataFrame:
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     try:
         n_files = len(df.inputFiles())
@@ -24,4 +27,4 @@ def balance(df: DataFrame, key: str = "id", factor: int = 2) -> DataFrame:
         n_files = 0
     if n_files >= target:
         return df
-    return df.repartition(target, key)
+    return df.repartition(target)
