@@ -99,3 +99,17 @@ def test_partition_invariance(spark, sf_small):
 def test_bootstrap_weights_poisson(spark):
     ths = RP.poisson_thresholds()
     assert ths == sorted(ths) and ths[0] == int(0.36787944117144233 * rng.P)
+
+
+def test_outer_metrics_missing_sides(spark):
+    met = spark.createDataFrame(
+        [("m", "t", "clean", 0.0, "en", 0.8, 0.7), ("m", "t", "clean", 0.0, "hi", 0.6, 0.5),
+         ("m", "t", "char_swap", 0.1, "en", 0.4, 0.3), ("m", "t", "char_swap", 0.1, "bn", 0.2, 0.1),
+         ("m", "t", "codemix", 0.5, "hi", 0.3, 0.3)],
+        "model string, task string, perturbation string, level double, language string, accuracy double, "
+        "f1_macro double")
+    got = {(r.perturbation, r.language): (r.acc_clean, r.acc_perturbed)
+           for r in M.outer_metrics(met).collect()}
+    assert got == {("char_swap", "en"): (0.8, 0.4), ("char_swap", "hi"): (0.6, 0.0),
+                   ("char_swap", "bn"): (0.0, 0.2), ("codemix", "en"): (0.8, 0.0),
+                   ("codemix", "hi"): (0.6, 0.3)}

@@ -7,7 +7,7 @@ a third of all rows costs no more than any other: map-side combine shrinks it be
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,16 +81,19 @@ def classification_metrics(df: DataFrame, keys, label: str = "label", pred: str
 def confusion(df: DataFrame, keys, label: str = "label", pred: str = "prediction") -> DataFrame:
     """Confusion counts over the sorted union of classes of each group, zeros filled.
 
-    The class list per group is small (number of labels); its square is built per group on the count table.
+    One lineage: counts (the shuffle that sees the data), then one aggregate per group holding its class list
+    and its non-zero cells (at most classes^2 entries: bounded by the label vocabulary), then the full
+    classes x classes grid is generated per group and looked up.
     """
     cnt = counts(df, keys, label, pred)
-    classes = (cnt.select(*keys, F.col(label).alias("cls"))
-               .unionByName(cnt.select(*keys, F.col(pred).alias("cls"))).distinct())
-    cells = (classes.withColumnRenamed("cls", "true_label")
-             .join(classes.withColumnRenamed("cls", "pred_label"), list(keys)))
-    got = cnt.select(*keys, F.col(label).alias("true_label"), F.col(pred).alias("pred_label"), "n")
-    return (cells.join(got, [*keys, "true_label", "pred_label"], "left")
-            .select(*keys, "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    cell = F.concat_ws("\u0001", F.col(label), F.col(pred))
+    per_group = cnt.groupBy(*keys).agg(
+        F.array_sort(F.array_union(F.collect_set(label), F.collect_set(pred))).alias("_classes"),
+        F.map_from_entries(F.collect_list(F.struct(cell, F.col("n")))).alias("_cells"))
+    grid = (per_group.select(*keys, "_cells", F.explode("_classes").alias("true_label"), "_classes")
+            .select(*keys, "_cells", "true_label", F.explode("_classes").alias("pred_label")))
+    n = F.coalesce(F.element_at("_cells", F.concat_ws("\u0001", "true_label", "pred_label")), F.lit(0))
+    return grid.select(*keys, "true_label", "pred_label", n.cast("bigint").alias("n"))
 
 
 def consistency(df: DataFrame, keys, a: str = "pred_clean", b: str = "pred_pert") -> DataFrame:
@@ -153,6 +156,30 @@ def paired_report(paired: DataFrame, keys) -> DataFrame:
     return rep.withColumns(robustness_columns()).select(*keys, *SUMMARY_COLUMNS, "n")
 
 
+def outer_metrics(met: DataFrame, keys=("model", "task", "perturbation", "level", "language"),
+                  clean_value: str = "clean") -> DataFrame:
+    """Clean and perturbed metrics of each run over the union of their language keys (C6), one lineage.
+
+    `met` holds one row per (model, task, perturbation, level, language) with accuracy and f1_macro, clean runs
+    included.  A window over (model, task) on this small table lists the perturbed runs of the group; each clean
+    row is replicated to every such run, each perturbed row stays itself, and one aggregate per run and language
+    merges the two sides; a side that is missing counts as 0.0.
+    """
+    model, task, pert, level, lang = keys
+    is_clean = F.col(pert) == clean_value
+    run = F.struct(F.col(pert).alias("p"), F.col(level).alias("l"))
+    runs_of_group = F.array_distinct(F.collect_list(F.when(~is_clean, run)).over(Window.partitionBy(model, task)))
+    x = met.withColumn("_runs", runs_of_group).withColumn(
+        "_to", F.explode(F.when(is_clean, F.col("_runs")).otherwise(F.array(run))))
+    side = lambda c, s: F.max(F.when(is_clean == s, F.col(c)))
+    return (x.groupBy(model, task, F.col("_to.p").alias(pert), F.col("_to.l").alias(level), lang)
+            .agg(F.coalesce(side("accuracy", True), F.lit(0.0)).alias("acc_clean"),
+                 F.coalesce(side("f1_macro", True), F.lit(0.0)).alias("f1_clean"),
+                 F.coalesce(side("accuracy", False), F.lit(0.0)).alias("acc_perturbed"),
+                 F.coalesce(side("f1_macro", False), F.lit(0.0)).alias("f1_perturbed"))
+            .withColumns(robustness_columns()))
+
+
 def outer_summary(clean: DataFrame, pert: DataFrame, keys, consistency_df: DataFrame | None = None) -> DataFrame:
     """Union of the language keys of clean and perturbed metrics; a missing side counts as 0.0 (C6 + F5)."""
     c = clean.select(*keys, F.col("accuracy").alias("acc_clean"), F.col("f1_macro").alias("f1_clean"))

@@ -34,17 +34,26 @@ def high_confidence_failures(paired: DataFrame, threshold: float = fixed.HIGH_CO
 
 def error_cases(paired: DataFrame, threshold: float = fixed.HIGH_CONF_THRESHOLD,
                 per_group: int = fixed.ERROR_CASES_PER_GROUP) -> DataFrame:
-    """First `per_group` flips and confident failures per run group, in one heterogeneous table."""
-    f = sampling.first_per_group(flips(paired), GROUP, [F.col("id")], per_group).select(
-        F.lit("prediction_flip").alias("type"), *GROUP, "id",
-        F.col("text_clean"), F.col("text_pert").alias("text_perturbed"),
-        F.col("prediction_clean").alias("pred_clean"), F.col("prediction_pert").alias("pred_perturbed"),
-        F.col("label_clean").alias("ground_truth"))
-    h = sampling.first_per_group(high_confidence_failures(paired, threshold), GROUP, [F.col("id")], per_group).select(
-        F.lit("high_confidence_failure").alias("type"), *GROUP, "id",
-        F.col("text_pert").alias("text_perturbed"), F.col("prediction_pert").alias("prediction"),
-        F.col("score_pert").alias("confidence"), F.col("label_pert").alias("ground_truth"))
-    return f.unionByName(h, allowMissingColumns=True)
+    """First `per_group` flips and confident failures per run group, in one heterogeneous table.
+
+    One lineage: each paired row is tagged with the error types it matches (it may match both), then one
+    bounded top-k per (group, type); the id join upstream runs once, not once per error type.
+    """
+    flip = _differs("prediction_clean", "prediction_pert")
+    high = _differs("prediction_pert", "label_pert") & (F.col("score_pert") > F.lit(float(threshold)))
+    types = F.filter(F.array(F.when(flip, F.lit("prediction_flip")), F.when(high, F.lit("high_confidence_failure"))),
+                     lambda t: t.isNotNull())
+    tagged = paired.filter(flip | high).withColumn("type", F.explode(types))
+    top = sampling.first_per_group(tagged, [*GROUP, "type"], [F.col("id")], per_group)
+    is_flip = F.col("type") == "prediction_flip"
+    return top.select(
+        "type", *GROUP, "id",
+        F.when(is_flip, F.col("text_clean")).alias("text_clean"), F.col("text_pert").alias("text_perturbed"),
+        F.when(is_flip, F.col("prediction_clean")).alias("pred_clean"),
+        F.when(is_flip, F.col("prediction_pert")).alias("pred_perturbed"),
+        F.when(is_flip, F.col("label_clean")).otherwise(F.col("label_pert")).alias("ground_truth"),
+        F.when(~is_flip, F.col("prediction_pert")).alias("prediction"),
+        F.when(~is_flip, F.col("score_pert")).alias("confidence"))
 
 
 def flip_counts(paired: DataFrame, keys=GROUP) -> DataFrame:

@@ -164,12 +164,7 @@ def _metrics_outer_ctes() -> list[str]:
 
 def _spark_outer(spark, sf_dir):
     r = stored_runs(spark, sf_dir)
-    met = M.classification_metrics(r, RUN5)
-    runs_k = met.filter(F.col("perturbation") != "clean").select("model", "task", "perturbation", "level").distinct()
-    clean = (met.filter(F.col("perturbation") == "clean").drop("perturbation", "level")
-             .join(runs_k, ["model", "task"]))
-    pert = met.filter(F.col("perturbation") != "clean")
-    return r, M.outer_summary(clean, pert, RUN5)
+    return r, M.outer_metrics(M.classification_metrics(r, RUN5))
 
 
 @register("metrics_outer", lambda: _runs_sql(
@@ -195,7 +190,7 @@ def robustness_summary(spark, sf_dir):
     """Robustness summary from stored predictions: metrics outer join plus id-joined consistency."""
     r, j = _spark_outer(spark, sf_dir)
     cons = M.consistency(PR.pair_join(r), RUN5, "prediction_clean", "prediction_pert")
-    out = j.drop("consistency").join(cons.select(*RUN5, "consistency"), RUN5, "left")
+    out = j.join(cons.select(*RUN5, "consistency"), RUN5, "left")
     return rounded(out.select(*RUN5, "acc_clean", "acc_perturbed", "f1_clean", "f1_perturbed", "abs_drop_acc",
                               "rel_drop_acc", "abs_drop_f1", "rel_drop_f1", "consistency"))
 
