@@ -113,3 +113,13 @@ def test_outer_metrics_missing_sides(spark):
     assert got == {("char_swap", "en"): (0.8, 0.4), ("char_swap", "hi"): (0.6, 0.0),
                    ("char_swap", "bn"): (0.0, 0.2), ("codemix", "en"): (0.8, 0.0),
                    ("codemix", "hi"): (0.6, 0.3)}
+
+
+def test_comparison_without_overlap_reports_zeros(spark):
+    rows = [("m", "t", "clean", 0.0, "en", "1", "x", "1", "1", 0.9),
+            ("m", "t", "char_swap", 0.1, "en", "2", "x", "1", "0", 0.9)]
+    r = _runs(spark, rows)
+    st = M.flip_stats(PR.pair_join(r), RP.GROUP, comparisons=PR.run_pairs(r)).collect()[0]
+    assert (st.total_samples, st.consistency, st.flip_rate) == (0, 0.0, 0.0)
+    fc = RP.flip_counts(PR.pair_join(r), comparisons=PR.run_pairs(r)).collect()[0]
+    assert (fc.total_samples, fc.flip_count, fc.flip_rate) == (0, 0, 0.0)

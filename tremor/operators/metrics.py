@@ -103,15 +103,25 @@ def consistency(df: DataFrame, keys, a: str = "pred_clean", b: str = "pred_pert"
         F.count(F.lit(1)).alias("n_pairs"))
 
 
-def flip_stats(df: DataFrame, keys, a: str = "prediction_clean", b: str = "prediction_pert") -> DataFrame:
-    """total, consistent, flipped, consistency, flip_rate; two nulls are a flip (stored-table rule, F7)."""
+def flip_stats(df: DataFrame, keys, a: str = "prediction_clean", b: str = "prediction_pert",
+               comparisons: DataFrame | None = None) -> DataFrame:
+    """total, consistent, flipped, consistency, flip_rate; two nulls are a flip (stored-table rule, F7).
+
+    With `comparisons` (one row per clean/perturbed pair of runs, configuration-sized), a comparison whose
+    runs share no id still gets a row: all counts 0, consistency 0.0 and flip rate 0.0.
+    """
     same = F.coalesce(F.col(a) == F.col(b), F.lit(False))
-    return (df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("total_samples"),
-                 F.count_if(same).alias("consistent_count"),
-                 F.count_if(~same).alias("flipped_count"))
-            .withColumn("consistency", F.col("consistent_count") / F.col("total_samples"))
-            .withColumn("flip_rate", F.lit(1.0) - F.col("consistency")))
+    st = (df.groupBy(*keys)
+          .agg(F.count(F.lit(1)).alias("total_samples"),
+               F.count_if(same).alias("consistent_count"),
+               F.count_if(~same).alias("flipped_count"))
+          .withColumn("consistency", F.col("consistent_count") / F.col("total_samples"))
+          .withColumn("flip_rate", F.lit(1.0) - F.col("consistency")))
+    if comparisons is None:
+        return st
+    return (comparisons.select(*keys).distinct().join(st, list(keys), "left")
+            .na.fill(0, ["total_samples", "consistent_count", "flipped_count"])
+            .na.fill(0.0, ["consistency", "flip_rate"]))
 
 
 def robustness_columns(acc_c="acc_clean", acc_p="acc_perturbed", f1_c="f1_clean", f1_p="f1_perturbed") -> dict:

@@ -56,13 +56,16 @@ def error_cases(paired: DataFrame, threshold: float = fixed.HIGH_CONF_THRESHOLD,
         F.when(~is_flip, F.col("score_pert")).alias("confidence"))
 
 
-def flip_counts(paired: DataFrame, keys=GROUP) -> DataFrame:
-    """total_samples, flip_count, flip_rate (0.0 when empty) per group."""
+def flip_counts(paired: DataFrame, keys=GROUP, comparisons: DataFrame | None = None) -> DataFrame:
+    """total_samples, flip_count, flip_rate (0.0 when empty) per group (F10); with `comparisons`, a comparison
+    without overlapping ids reports zeros."""
     d = _differs("prediction_clean", "prediction_pert")
-    return (paired.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("total_samples"), F.count_if(d).alias("flip_count"))
-            .withColumn("flip_rate", F.when(F.col("total_samples") > 0,
-                                            F.col("flip_count") / F.col("total_samples")).otherwise(0.0)))
+    st = paired.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_samples"), F.count_if(d).alias("flip_count"))
+    if comparisons is not None:
+        st = (comparisons.select(*keys).distinct().join(st, list(keys), "left")
+              .na.fill(0, ["total_samples", "flip_count"]))
+    return st.withColumn("flip_rate", F.when(F.col("total_samples") > 0,
+                                             F.col("flip_count") / F.col("total_samples")).otherwise(0.0))
 
 
 def sampled_flips(paired: DataFrame, n: int = fixed.ERROR_CASES_PER_GROUP, seed=fixed.DEFAULT_SEED,

@@ -295,34 +295,50 @@ def sample_flips(spark, sf_dir):
     return RP.sampled_flips(PR.pair_join(stored_runs(spark, sf_dir)))
 
 
-@register("flip_report", lambda: _runs_sql(f"""SELECT model, task, language, perturbation, level,
-    count(*) AS total_samples, count_if({DIFF.format(a='prediction_clean', b='prediction_pert')}) AS flip_count,
-    round(count_if({DIFF.format(a='prediction_clean', b='prediction_pert')}) / count(*), 6) AS flip_rate,
-    least(count_if({DIFF.format(a='prediction_clean', b='prediction_pert')}), 5) AS n_sampled
-  FROM pj GROUP BY ALL""", [PJ]))
+@register("flip_report", lambda: _runs_sql(f"""SELECT k.model, k.task, k.language, k.perturbation, k.level,
+    coalesce(s.total_samples, 0) AS total_samples, coalesce(s.flip_count, 0) AS flip_count,
+    coalesce(round(s.flip_count / s.total_samples, 6), 0.0) AS flip_rate,
+    least(coalesce(s.flip_count, 0), 5) AS n_sampled
+  FROM cmp k LEFT JOIN (SELECT model, task, language, perturbation, level, count(*) AS total_samples,
+    count_if({DIFF.format(a='prediction_clean', b='prediction_pert')}) AS flip_count FROM pj GROUP BY ALL) s
+  USING (model, task, language, perturbation, level)""", [PJ, CMP]))
 def flip_report(spark, sf_dir):
     """Flip counts and rate per run group, with the number of sampled flips reported."""
-    c = RP.flip_counts(PR.pair_join(stored_runs(spark, sf_dir)))
+    r = stored_runs(spark, sf_dir)
+    c = RP.flip_counts(PR.pair_join(r), comparisons=PR.run_pairs(r))
     return rounded(c.withColumn("n_sampled", F.least(F.col("flip_count"), F.lit(5)).cast("bigint")))
 
 
+CMP = """cmp AS (SELECT DISTINCT c.model, c.task, c.language, p.perturbation, p.level
+  FROM (SELECT DISTINCT model, task, language FROM runs WHERE perturbation = 'clean') c
+  JOIN (SELECT DISTINCT model, task, language, perturbation, level FROM runs WHERE perturbation <> 'clean') p
+  USING (model, task, language))"""
+
+
 def _stats_sql(keys: str) -> str:
+    """Flip statistics per comparison; a comparison without overlapping ids reports zeros."""
     same = "coalesce(prediction_clean = prediction_pert, false)"
-    return f"""SELECT {keys}, count(*) AS total_samples, count_if({same}) AS consistent_count,
-    count_if(NOT {same}) AS flipped_count, round(count_if({same}) / count(*), 6) AS consistency,
-    round(1.0 - count_if({same}) / count(*), 6) AS flip_rate FROM pj GROUP BY ALL"""
+    return f"""SELECT {keys}, coalesce(s.total_samples, 0) AS total_samples,
+    coalesce(s.consistent_count, 0) AS consistent_count, coalesce(s.flipped_count, 0) AS flipped_count,
+    coalesce(s.consistency, 0.0) AS consistency, coalesce(s.flip_rate, 0.0) AS flip_rate
+  FROM (SELECT DISTINCT {keys} FROM cmp) LEFT JOIN (
+    SELECT {keys}, count(*) AS total_samples, count_if({same}) AS consistent_count,
+      count_if(NOT {same}) AS flipped_count, round(count_if({same}) / count(*), 6) AS consistency,
+      round(1.0 - count_if({same}) / count(*), 6) AS flip_rate FROM pj GROUP BY ALL) s USING ({keys})"""
 
 
-@register("consistency_stats", lambda: _runs_sql(_stats_sql("model, task, language, perturbation, level"), [PJ]))
+@register("consistency_stats", lambda: _runs_sql(_stats_sql("model, task, language, perturbation, level"), [PJ, CMP]))
 def consistency_stats(spark, sf_dir):
     """total, consistent, flipped, consistency, flip rate per clean/perturbed file pair."""
-    return rounded(M.flip_stats(PR.pair_join(stored_runs(spark, sf_dir)), GROUP))
+    r = stored_runs(spark, sf_dir)
+    return rounded(M.flip_stats(PR.pair_join(r), GROUP, comparisons=PR.run_pairs(r)))
 
 
-@register("consistency_all", lambda: _runs_sql(_stats_sql("task, language, perturbation"), [PJ]))
+@register("consistency_all", lambda: _runs_sql(_stats_sql("task, language, perturbation"), [PJ, CMP]))
 def consistency_all(spark, sf_dir):
     """Batch consistency over every (task, language, perturbation), all models and levels pooled."""
-    return rounded(M.flip_stats(PR.pair_join(stored_runs(spark, sf_dir)), ["task", "language", "perturbation"]))
+    r = stored_runs(spark, sf_dir)
+    return rounded(M.flip_stats(PR.pair_join(r), ["task", "language", "perturbation"], comparisons=PR.run_pairs(r)))
 
 
 def _detail_body() -> str:

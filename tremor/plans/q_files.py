@@ -207,14 +207,15 @@ STATS_SCHEMA = ("model string, task string, language string, perturbation string
 @register("sink_consistency", lambda: QA._runs_sql(
     "SELECT d.*, s.total_samples, s.flip_rate FROM (" + QA._detail_body() + ") d JOIN ("
     + QA._stats_sql("model, task, language, perturbation, level") + ") s USING (model, task, language, perturbation, level)",
-    [QA.PJ]))
+    [QA.PJ, QA.CMP]))
 def sink_consistency(spark, sf_dir):
     """Consistency report: summary table and every compared example, two writes, joined back on read."""
     pj = PR.pair_join(stored_runs(spark, sf_dir))
     detail = pj.select(*QA.GROUP, "id", F.col("label_clean").alias("label"), "prediction_clean", "prediction_pert",
                        F.coalesce(F.col("prediction_clean") == F.col("prediction_pert"), F.lit(False))
                        .alias("is_consistent"))
-    stats = M.flip_stats(pj, QA.GROUP)
+    r = stored_runs(spark, sf_dir)
+    stats = M.flip_stats(pj, QA.GROUP, comparisons=PR.run_pairs(r))
     root = scratch_path(spark, "consistency")
     files.write_jsonl(detail, f"{root}/details")
     files.write_jsonl(stats, f"{root}/summary")
