@@ -46,3 +46,14 @@ def test_stream_restart_emits_nothing_new(spark, sf_small):
     first = run()
     assert first == labels.join(tables.table(spark, sf_small, "documents"), "doc_id").count()
     assert run() == first
+
+
+def test_split_exact_with_a_hot_group_of_copies(spark):
+    rows = [("t", "dup", f"copy{i % 3}") for i in range(900)] + [("t", f"u{i}", "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "task string, id string, text string").repartition(5)
+    for frac in (0.05, 0.5, 0.95):
+        out = sampling.split_exact(df, fraction=frac)
+        assert out.count() == 1000
+        assert out.filter("split = 'validation'").count() == math.ceil(frac * 1000)
+    out = sampling.split_exact(df, fraction=0.5)
+    assert sorted(map(tuple, out.select("id", "text").collect())) == sorted((r[1], r[2]) for r in rows)

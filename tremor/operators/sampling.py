@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import fixed, rng
+from tremor.session import shared_dir
 
 BUCKETS = 1 << 16
 
@@ -22,9 +23,16 @@ def split_exact(df: DataFrame, fraction: float = fixed.VALIDATION_FRACTION, seed
                 group: str = "task", id_col: str = "id") -> DataFrame:
     """Exactly ceil(fraction * N) rows per group go to 'validation': the smallest (u, id).
 
-    A 2^16-bucket histogram of u (small, per group) locates the cut bucket by a cumulative sum; only the rows of
-    that one bucket are ranked.  u is uniform, so the cut bucket holds about N / 65536 rows: no global sort,
-    no single-partition window.
+    A 2^16-bucket histogram of u (small, per group) locates the cut bucket by a cumulative sum; rows below it are
+    validation, above it train, and only the cut bucket needs more work.  u is uniform, so that bucket holds about
+    N / 65536 rows -- unless a group of copies (one id repeated, possibly a third of all rows) lands in it, so
+    nothing below ranks rows one by one in a single task:
+
+    * per-id counts of the cut bucket (copies collapse map-side) and a cumulative sum over its distinct ids give
+      how many copies of each id are validation (all, none, or -- for one boundary id -- some);
+    * the cut-bucket rows are checkpointed into the shared folder (stable partitions), and each copy gets an
+      ordinal from (input partition, position): per-partition counts give offsets, and the local rank runs
+      within one input partition, never over all copies of an id.
     """
     k = rng.row_key(seed, "split", id_col)
     x = df.withColumn("_u", rng.draw(k, 0)).withColumn("_b", (F.col("_u") * BUCKETS / rng.P).cast("int"))
@@ -39,14 +47,29 @@ def split_exact(df: DataFrame, fraction: float = fixed.VALIDATION_FRACTION, seed
     # groups with need 0 have no cut row: everything is train
     # one row per group (a configuration-level key such as task): broadcast, never a shuffle join on a hot key
     x = x.join(F.broadcast(cut), group, "left")
-    in_cut = x.filter(F.col("_b") == F.col("_cut"))
-    ranked = in_cut.withColumn("_r", F.row_number().over(
-        Window.partitionBy(group, "_b").orderBy("_u", id_col)))
-    rest = x.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut"))).withColumn("_r", F.lit(None).cast("int"))
-    val = (F.col("_cut").isNotNull() & ((F.col("_b") < F.col("_cut"))
-                                         | ((F.col("_b") == F.col("_cut")) & (F.col("_r") <= F.col("_take")))))
-    out = ranked.unionByName(rest).withColumn("split", F.when(val, F.lit("validation")).otherwise(F.lit("train")))
-    return out.drop("_u", "_b", "_cut", "_take", "_r")
+    below = F.col("_cut").isNotNull() & (F.col("_b") < F.col("_cut"))
+    rest = (x.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut")))
+            .withColumn("split", F.when(below, F.lit("validation")).otherwise(F.lit("train"))))
+
+    key = [group, "_u", id_col]
+    shared_dir(df.sparkSession)  # checkpoint target: the cluster's shared folder (set locally only if unset)
+    in_cut = (x.filter(F.col("_b") == F.col("_cut"))
+              .withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
+    per_pid = in_cut.groupBy(*key, "_take", "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before_key = Window.partitionBy(group).orderBy("_u", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    per_key = (per_pid.groupBy(*key, "_take").agg(F.sum("_n").alias("_m"))
+               .withColumn("_v", F.greatest(F.lit(0), F.least(
+                   F.col("_m"), F.col("_take") - F.coalesce(F.sum("_m").over(before_key), F.lit(0))))))
+    before_pid = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (per_pid.withColumn("_off", F.coalesce(F.sum("_n").over(before_pid), F.lit(0)))
+               .join(per_key.select(*key, "_v"), key).select(*key, "_pid", "_off", "_v"))
+    local = F.row_number().over(Window.partitionBy(*key, "_pid").orderBy("_pos"))
+    cut_rows = (in_cut.join(offsets, [*key, "_pid"])
+                .withColumn("split", F.when(F.col("_off") + local <= F.col("_v"), F.lit("validation"))
+                            .otherwise(F.lit("train")))
+                .drop("_pid", "_pos", "_off", "_v"))
+    return rest.unionByName(cut_rows).drop("_u", "_b", "_cut", "_take")
 
 
 def first_per_group(df: DataFrame, keys, order, n: int) -> DataFrame:
