@@ -123,3 +123,11 @@ def test_comparison_without_overlap_reports_zeros(spark):
     assert (st.total_samples, st.consistency, st.flip_rate) == (0, 0.0, 0.0)
     fc = RP.flip_counts(PR.pair_join(r), comparisons=PR.run_pairs(r)).collect()[0]
     assert (fc.total_samples, fc.flip_count, fc.flip_rate) == (0, 0, 0.0)
+
+
+def test_unlabelled_rows_default_and_drop(spark, sf_small):
+    from tremor.sources import tables
+
+    kept = tables.scan_task(spark, sf_small, "benchmark")
+    assert kept.count() > 0 and kept.filter("label = '-1' AND language = 'unknown'").count() == kept.count()
+    assert tables.scan_task(spark, sf_small, "benchmark", drop_unlabeled=True).count() == 0

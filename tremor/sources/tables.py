@@ -81,15 +81,21 @@ def raw_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("sentence"))
 
 
-def scan_task(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
-    """Load one named task, standardized (A1)."""
+def scan_task(spark: SparkSession, sf_dir: str, task: str, drop_unlabeled: bool = False) -> DataFrame:
+    """Load one named task, standardized (A1).
+
+    A missing label becomes '-1' and is scored as an ordinary class, as the original does; `drop_unlabeled`
+    removes those rows instead.
+    """
     if task == "quality":
-        return standardize(raw_quality(spark, sf_dir), "quality", "classification")
-    if task == "dialog":
-        return standardize(raw_dialog(spark, sf_dir), "dialog", "nli")
-    if task == "benchmark":
-        return standardize(raw_benchmark(spark, sf_dir), "benchmark", "classification")
-    raise ValueError(f"unknown task {task!r}")
+        out = standardize(raw_quality(spark, sf_dir), "quality", "classification")
+    elif task == "dialog":
+        out = standardize(raw_dialog(spark, sf_dir), "dialog", "nli")
+    elif task == "benchmark":
+        out = standardize(raw_benchmark(spark, sf_dir), "benchmark", "classification")
+    else:
+        raise ValueError(f"unknown task {task!r}")
+    return out.filter(F.col("label") != "-1") if drop_unlabeled else out
 
 
 def pick_split(df: DataFrame) -> DataFrame:
