@@ -141,3 +141,16 @@ def bootstrap_ci(df: DataFrame, keys, value: str, row_id, replicates: int = 200,
     ci = reps.groupBy(*keys).agg(F.percentile("_m", lo).alias("ci_low"), F.percentile("_m", hi).alias("ci_high"))
     mean = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.col(value)).alias("n"))
     return mean.join(ci, list(keys), "left")
+
+
+def report_from_runs(runs: DataFrame, keys=("model", "task", "perturbation", "level", "language")) -> DataFrame:
+    """Robustness report from a stored prediction table (the post-hoc path): per-run metrics merged over the
+    union of languages (`metrics.outer_metrics`) plus consistency over the id-joined pairs; n = paired ids."""
+    from tremor.operators import metrics as M
+    from tremor.operators import pairs as PR
+
+    keys = list(keys)
+    out = M.outer_metrics(M.classification_metrics(runs, keys))
+    cons = M.consistency(PR.pair_join(runs), keys, "prediction_clean", "prediction_pert")
+    return (out.join(cons.select(*keys, "consistency", F.col("n_pairs").alias("n")), keys, "left")
+            .select(*keys, *M.SUMMARY_COLUMNS, "n"))

@@ -187,10 +187,9 @@ def metrics_outer(spark, sf_dir):
     "FROM pj GROUP BY ALL) cs USING (model, task, perturbation, level, language)",
     _metrics_outer_ctes() + [PJ]))
 def robustness_summary(spark, sf_dir):
-    """Robustness summary from stored predictions: metrics outer join plus id-joined consistency."""
-    r, j = _spark_outer(spark, sf_dir)
-    cons = M.consistency(PR.pair_join(r), RUN5, "prediction_clean", "prediction_pert")
-    out = j.join(cons.select(*RUN5, "consistency"), RUN5, "left")
+    """Robustness summary from stored predictions: metrics over the union of languages plus id-joined
+    consistency (F5)."""
+    out = RP.report_from_runs(stored_runs(spark, sf_dir))
     return rounded(out.select(*RUN5, "acc_clean", "acc_perturbed", "f1_clean", "f1_perturbed", "abs_drop_acc",
                               "rel_drop_acc", "abs_drop_f1", "rel_drop_f1", "consistency"))
 

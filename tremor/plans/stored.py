@@ -40,13 +40,14 @@ _reports: dict[tuple, str] = {}
 
 
 def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The robustness report (one row per model/task/perturbation/level/language) written once under the
-    shared folder; roll-ups read it as the original reads its report files."""
-    from tremor.plans.experiment import experiment_report
+    """The robustness report (one row per model/task/perturbation/level/language), computed from the stored
+    run table (no second perturbation pass) and written once under the shared folder; roll-ups read it as the
+    original reads its report files.  Its values equal the fast path's (`experiment`)."""
+    from tremor.operators.reports import report_from_runs
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _reports:
         path = scratch_path(spark, "report")
-        experiment_report(spark, sf_dir).write.mode("overwrite").parquet(path)
+        report_from_runs(stored_runs(spark, sf_dir)).write.mode("overwrite").parquet(path)
         _reports[key] = path
     return spark.read.schema(REPORT_SCHEMA).parquet(_reports[key])
