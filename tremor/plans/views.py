@@ -74,7 +74,8 @@ def paired(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, m
     one Arrow UDF perturbs text/premise/hypothesis -> perturbed stats -> texts dropped ->
     broadcast model cross join -> predictions.  No shuffle of text after the label join.
     """
-    base = balance(base if base is not None else task_examples(spark, sf_dir))
+    # task_examples is balanced per task at its source; a caller's own base is balanced here
+    base = task_examples(spark, sf_dir) if base is None else balance(base)
     g = grid_df if grid_df is not None else grid(spark)
     models = models if models is not None else S.default_models(spark)
     p = perturber or P.make_perturber()
@@ -109,7 +110,8 @@ def runs(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, mod
 
     Clean is scored once per example (level 0.0), each perturbation once per (example, level).
     """
-    base = balance(base if base is not None else task_examples(spark, sf_dir))
+    # task_examples is balanced per task at its source; a caller's own base is balanced here
+    base = task_examples(spark, sf_dir) if base is None else balance(base)
     g = grid(spark, include_clean=True) if grid_df is None else with_clean(spark, grid_df)
     models = models if models is not None else S.default_models(spark)
     p = perturber or P.make_perturber()
