@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tremor.operators import metrics as M
 from tremor.plans import oracle as O

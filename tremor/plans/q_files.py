@@ -13,7 +13,6 @@ from tremor.operators import sampling
 from tremor.operators.stats import dataset_stats
 from tremor.plans import oracle as O
 from tremor.plans import q_analysis as QA
-from tremor.plans import views as V
 from tremor.plans.catalog import register, rounded
 from tremor.plans.experiment import experiment_report
 from tremor.plans.stored import stored_report, stored_runs

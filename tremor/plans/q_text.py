@@ -11,7 +11,7 @@ from tremor.operators import sampling
 from tremor.operators.partitioning import balance
 from tremor.plans import oracle as O
 from tremor.plans import views as V
-from tremor.plans.catalog import register, rounded
+from tremor.plans.catalog import register
 from tremor.sources import tables
 
 
@@ -225,5 +225,3 @@ def format_truncate(spark, sf_dir):
     """Model input v2: pair or text, cut to 100 code points before crossing into Python."""
     return V.task_examples(spark, sf_dir).select("id", "task", T.format_truncate().alias("input"))
 
-
-_ = rounded  # re-exported for symmetry with the other query modules
