@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from tremor.operators import metrics as M
 from tremor.plans import oracle as O
 from tremor.plans import views as V
