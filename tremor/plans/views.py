@@ -60,12 +60,6 @@ def task_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples(spark, sf_dir).unionByName(pairs(spark, sf_dir))
 
 
-def _perturbed(p) -> dict:
-    """Perturb each present text field; an absent (null) field stays null."""
-    return {c: F.when(F.col(c).isNotNull(), P.perturb_col(p, c, side=c))
-            for c in ("text", "premise", "hypothesis")}
-
-
 def paired(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, models: DataFrame | None = None,
            base: DataFrame | None = None, perturber=None, keep_text: bool = False) -> DataFrame:
     """One row per (model, example, perturbation, level) with clean and perturbed prediction side by side.
