@@ -6,19 +6,27 @@ rounded to 6 places in both engines so the value hashes agree.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from tremor.shipping import ship
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, Callable[[], str]] = {}
 
 
 def register(name: str, oracle: Callable[[], str] | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def query(spark, sf_dir):
+            ship(spark)  # executors import this package for the UDFs
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
