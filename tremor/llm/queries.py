@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tremor.llm.common import table
+from tremor.llm.common import table, written
 from tremor.llm.piece_codec import digests, encode_decode
+from tremor.llm.simhash import fingerprints, near_duplicates
 from tremor.plans.catalog import register
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,3 +18,10 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every whole document, as digests."""
     return digests(encode_decode(table(spark, sf_dir, "documents", ["doc_id", "text"]), PIECE_MODEL))
+
+
+@register("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 3-word shingles, links at two or fewer differing bits."""
+    prints = written(spark, fingerprints(table(spark, sf_dir, "documents", ["doc_id", "text"])).drop("text"), "prints")
+    return near_duplicates(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
