@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from tremor.llm.common import table, written
 from tremor.llm.piece_codec import digests, encode_decode
 from tremor.llm.simhash import fingerprints, near_duplicates
+from tremor.llm.token_files import read_token_files, token_digests, write_token_files
 from tremor.plans.catalog import register
+from tremor.session import scratch_path
 
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -25,3 +28,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at two or fewer differing bits."""
     prints = written(spark, fingerprints(table(spark, sf_dir, "documents", ["doc_id", "text"])).drop("text"), "prints")
     return near_duplicates(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to ORC in document order, then read back: start, length and checksum."""
+    path = scratch_path(spark, "llm-tokens")
+    write_token_files(table(spark, sf_dir, "documents", ["doc_id", "text"]), path, BYTE_TOKENIZER, end_id=2)
+    return token_digests(read_token_files(spark, path))
