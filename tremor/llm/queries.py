@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.llm import toxicity
 from tremor.llm.common import table, written
 from tremor.llm.piece_codec import digests, encode_decode
 from tremor.llm.simhash import fingerprints, near_duplicates
@@ -36,3 +37,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "llm-tokens")
     write_token_files(table(spark, sf_dir, "documents", ["doc_id", "text"]), path, BYTE_TOKENIZER, end_id=2)
     return token_digests(read_token_files(spark, path))
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole document; labels outside the held-out fold train the two models."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+    return toxicity.score(docs, model).select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
