@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,19 +26,44 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from tremor.llm.common import slices
 
 #: Words a worker remembers in each of its two generations; results do not depend on it.
-MEMORY_WORDS = 120_000
+MEMORY_WORDS = 200_000
 MEMORY_WORD_CHARS = 48
-#: A space next to another blank (or at an end) may belong to a blank run: such a text is cut more carefully.
-_BLANK = r"[\s\x1c-\x1f\x85᠎​]"
-_RUN = re.compile(rf" (?:{_BLANK}|$)|(?:{_BLANK}|^) ")
+#: Where blanks stand alone a text is cut at every space and line feed; elsewhere only at lone spaces.
+_BLANK = r"[\s\x1c-\x1f\x85\u180e\u200b]"
 _CUT = re.compile(rf"(?<!^)(?<!{_BLANK}) (?!{_BLANK}|$)")
+_MARKS = ".,!?;:"
+#: Letters below are letters in every version of Unicode.
+_LATIN = "\u0250"
+
+
+def _byte_table() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+class Memory(dict):
+    """Word to its ids; a word that is not there is encoded.  `before`: the generation before this one."""
+
+    def __init__(self, encode, before: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= MEMORY_WORD_CHARS:
+            self[word] = ids
+        return ids
 
 
 class WordEncoder:
     """The tokenizers library over words, each distinct word encoded once while it is remembered.
 
-    Cutting a text before a single space between two non-blanks changes no id: the byte-level pre-tokenizer
-    always begins a token there.
+    The byte-level pre-tokenizer always begins a token at a space, or ends one at a line feed, that stands alone
+    between two non-blanks, so cutting a text there changes no id.  Nor does cutting between a letter and the
+    marks that end a word.  A word of letters is one pre-token: the library's model is asked for it directly.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -48,41 +74,59 @@ class WordEncoder:
         pre = getattr(self.tokenizer.pre_tokenizer, "__getstate__", lambda: b"")()
         if b"ByteLevel" not in bytes(pre) or b'"use_regex":true' not in bytes(pre) or self.tokenizer.normalizer is not None:
             raise ValueError("a byte-level tokenizer without normalisation is needed")
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.model, self.byte_table = self.tokenizer.model.tokenize, _byte_table()
+        self.space = chr(self.byte_table[ord(" ")])
+        self.marks: dict[str, bytes] = {}
+        self.memory = Memory(self._word, {})
 
     @staticmethod
     def words(text: str) -> list[str]:
-        """Parts of the text; all but the first begin with a space, which is left out."""
-        return text.split(" ") if not _RUN.search(text) else _CUT.split(text)
+        """Parts of the text; all but the first begin with a line feed, or with a space that is left out."""
+        parts = text.replace("\n", " ").split(" ")
+        if parts != text.split() or "\u180e" in text or "\u200b" in text:
+            return _CUT.split(text)
+        return text.replace("\n", " \n").split(" ") if "\n" in text else parts
 
     def encode_texts(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of whole texts (little-endian 32-bit), `end_id` behind each."""
-        per_text = [self.words(t) for t in texts]
-        if len(self.now) > MEMORY_WORDS:
-            self.before, self.now = self.now, {}
-        known = self.now
-        wanted = {w for words in per_text for w in words[1:]}
-        new = []
-        for w in wanted:
-            if w not in known:
-                old = self.before.get(w)
-                if old is None:
-                    new.append(w)
-                else:
-                    known[w] = old
-        found = dict(zip(new, self._ids([" " + w for w in new]), strict=True))
-        known.update((w, v) for w, v in found.items() if len(w) <= MEMORY_WORD_CHARS)
-        found = {w: v for w, v in found.items() if len(w) > MEMORY_WORD_CHARS}
-        tail, get = np.array([end_id], "<i4").tobytes(), known.__getitem__
-        out = []
-        for head, words in zip(self._ids([words[0] for words in per_text]), per_text, strict=True):
-            rest = map(get, words[1:]) if not found else [found[w] if w in found else known[w] for w in words[1:]]
-            out.append(head + b"".join(rest) + tail)
+        if len(self.memory) > MEMORY_WORDS:
+            self.memory.before = {}
+            self.memory = Memory(self._word, self.memory)
+        tail, get, out = np.array([end_id], "<i4").tobytes(), self.memory.__getitem__, []
+        for text in texts:
+            words = self.words(text)
+            head = self._whole(words[0])
+            out.append(head + b"".join(map(get, words[1:])) + tail)
         return out
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        """Ids of a word and the space before it, or of a line feed and the word behind it."""
+        if word.isalpha():
+            if word.isascii():
+                return self._run(self.space + word)
+            if max(word) < _LATIN:
+                return self._run((" " + word).encode().decode("latin-1").translate(self.byte_table))
+        base = word.rstrip(_MARKS)
+        if base and len(base) < len(word) and base[-1] < _LATIN and base[-1].isalpha():
+            return self.memory[base] + self._mark(word[len(base):])
+        if word[0] == "\n":
+            rest = word[1:]
+            return self._mark("\n") + (self._run(rest) if rest.isalpha() and rest.isascii() else self._whole(rest))
+        return self._whole(" " + word)
+
+    def _run(self, letters: str) -> bytes:
+        """Ids of one pre-token, given in the byte-level alphabet."""
+        return array("i", [t.id for t in self.model(letters)]).tobytes()
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > MEMORY_WORDS:
+                self.marks.clear()
+            self.marks[marks] = self._whole(marks)
+        return self.marks[marks]
+
+    def _whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
