@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tremor.llm import toxicity
 from tremor.llm.common import table, written
+from tremor.llm.line_dedup import dedup_lines
 from tremor.llm.piece_codec import digests, encode_decode
 from tremor.llm.simhash import fingerprints, near_duplicates
 from tremor.llm.token_files import read_token_files, token_digests, write_token_files
@@ -45,3 +46,32 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
     return toxicity.score(docs, model).select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
+
+
+_LINE_SQL = """
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+worded as (select doc_id, pos, line, list_filter(string_split(line, ' '), lambda x: x <> '') as words from lines),
+uniq as (select words, min(doc_id * 1048576 + pos) as spot from worded where len(words) > 0 group by words),
+places as (select spot, words, unnest(range(1, len(words) + 1)) as i from uniq where len(words) >= 5),
+variants as (select spot, i, list_concat(words[1:i - 1], words[i + 1:]) as rest from places),
+near as (
+  select a.spot from variants a join (select i, rest, min(spot) as spot from variants group by i, rest) b on a.i = b.i and a.rest = b.rest where a.spot > b.spot
+  union select v.spot from variants v join uniq u on v.rest = u.words where v.spot > u.spot
+  union select u.spot from variants v join uniq u on v.rest = u.words where u.spot > v.spot),
+marked as (
+  select doc_id, pos, line, len(words) = 0 as blank,
+         doc_id * 1048576 + pos in (select spot from uniq) and doc_id * 1048576 + pos not in (select spot from near) as kept
+  from worded),
+cleaned as (
+  select doc_id, count(*) as n_lines, count(*) filter (kept) as n_kept, coalesce(string_agg(line, chr(10) order by pos) filter (kept or blank), '') as text
+  from marked group by doc_id)
+select d.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_kept, 0) as bigint) as n_kept, c.text
+from documents d left join cleaned c using (doc_id)
+"""
+
+
+@register("op9_line_dedup", lambda: _LINE_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line equals or nearly equals."""
+    return dedup_lines(table(spark, sf_dir, "documents", ["doc_id", "text"]), lines="n_lines", kept="n_kept").select("doc_id", "n_lines", "n_kept", "text")
