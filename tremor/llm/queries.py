@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tremor.llm import toxicity
 from tremor.llm.common import table, written
+from tremor.llm.decontaminate import contaminated
+from tremor.llm.hilbert_search import nearest
 from tremor.llm.line_dedup import dedup_lines
 from tremor.llm.piece_codec import digests, encode_decode
 from tremor.llm.simhash import fingerprints, near_duplicates
@@ -75,3 +77,15 @@ from documents d left join cleaned c using (doc_id)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier line equals or nearly equals."""
     return dedup_lines(table(spark, sf_dir, "documents", ["doc_id", "text"]), lines="n_lines", kept="n_kept").select("doc_id", "n_lines", "n_kept", "text")
+
+
+@register("op3_hilbert_search")
+def op3_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all others."""
+    return nearest(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), F.col("vec_id") % 50 == 0)
+
+
+@register("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within a fifth of its words in edits."""
+    return contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
