@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import toxicity
+from tremor.llm import pii, toxicity
 from tremor.llm.common import table, written
 from tremor.llm.decontaminate import contaminated
 from tremor.llm.hilbert_search import nearest
@@ -89,3 +89,10 @@ def op3_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within a fifth of its words in edits."""
     return contaminated(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document: the patterns' spans and the field's."""
+    field = pii.train(pii.labelled_table(spark))
+    return pii.digests(pii.find_pii(table(spark, sf_dir, "documents", ["doc_id", "text"]), field))
