@@ -13,7 +13,8 @@ edit distance is verified on the words.
 Lines that can have no neighbour emit nothing: of two lines one edit apart either the first or the last half (of
 the shorter one's length) is equal, so only lines whose half occurs in another line take part.  The halves'
 hashes are counted with map-side aggregation; those that two lines share set bits in a table of at most
-2048 x 4 KB, which is broadcast.  A bit set by another half only costs a line that finds no partner.
+2048 x 4 KB, which is broadcast.  A bit set by another half only costs a line that finds no partner.  Variants
+that only one line has are left out of the joins in the same way.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tremor.llm.common import fresh, written
 
 MIN_WORDS = 5
 _BITS, _BUCKET = 1 << 26, 1 << 15
+_LONG = 400
 #: Two independent 64-bit hashes name a line.
 _LINE = ["h1", "h2"]
 
@@ -51,20 +53,30 @@ def _with_halves(lines: DataFrame, min_words: int, *columns: str) -> DataFrame:
     return lines.filter(n >= min_words - 1).select(*columns, F.explode(keys).alias("half"))
 
 
-def _shared_halves(lines: DataFrame, min_words: int) -> DataFrame:
-    """(bucket, bits): a bitmap of the half keys that two different lines have; at most 2048 rows of 4 KB."""
-    shared = (_with_halves(lines, min_words, "h1").groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b"))
-    bit = F.pmod("half", F.lit(_BITS))
-    return (shared.groupBy(F.floor(bit / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(bit % _BUCKET).alias("bits")))
+def _bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """(bucket, bits): a bitmap of 64-bit keys folded to 2**26 bits; at most 2048 rows of 4 KB."""
+    bit = F.pmod(key, F.lit(_BITS))
+    bits = keys.groupBy(F.floor(bit / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(bit % _BUCKET).alias("bits"))
+    return written(keys.sparkSession, bits, "bitmap")
 
 
-def _live(lines: DataFrame, halves: DataFrame, min_words: int) -> DataFrame:
-    """Distinct lines that share a half with another: hashes, earliest place, words."""
-    bit = F.pmod("half", F.lit(_BITS))
-    asked = (_with_halves(lines, min_words, *_LINE, "at", "words").withColumn("bucket", F.floor(bit / _BUCKET))
-             .withColumn("place", (bit % _BUCKET).cast("int")).drop("half"))
+def _marked(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose key's bit is set (all that have the key, and a few more)."""
+    bit = F.pmod(key, F.lit(_BITS))
+    asked = rows.withColumn("bucket", F.floor(bit / _BUCKET)).withColumn("place", (bit % _BUCKET).cast("int"))
     byte = "cast(conv(hex(substring(bits, place div 8 + 1, 1)), 16, 10) as int)"
-    hit = asked.join(F.broadcast(halves), "bucket").filter(f"shiftright({byte}, place % 8) & 1 = 1")
+    return asked.join(F.broadcast(bitmap), "bucket").filter(f"shiftright({byte}, place % 8) & 1 = 1").drop("bucket", "place", "bits")
+
+
+def _shared(rows: DataFrame, key: str, line: str) -> DataFrame:
+    """Keys that two different lines have."""
+    return rows.groupBy(key).agg(F.min(line).alias("a"), F.max(line).alias("b")).filter("a < b").select(key)
+
+
+def _live(lines: DataFrame, min_words: int) -> DataFrame:
+    """Distinct lines that share a half with another: hashes, earliest place, words."""
+    halves = _bitmap(_shared(_with_halves(lines, min_words, "h1"), "half", "h1"), "half")
+    hit = _marked(_with_halves(lines, min_words, *_LINE, "at", "words"), "half", halves)
     return hit.groupBy(*_LINE).agg(F.min("at").alias("at"), F.first("words").alias("words"))
 
 
@@ -77,36 +89,54 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), equal_length).when(F.size(a) == F.size(b) + 1, rest).otherwise(False)
 
 
+def _running(hashes: Column) -> Column:
+    """0 and the running xors of an array of hashes."""
+    return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda seen, x: F.concat(seen, F.array(F.element_at(seen, -1).bitwiseXOR(x))))
+
+
+def _variants(live: DataFrame, min_words: int) -> DataFrame:
+    """(h1, at, drop, swap): every deletion variant's hash, alone and together with its place.
+
+    A sequence's hash is the xor of its (word, place) hashes, so a variant's is the running xor before the place
+    and that behind it, of the words moved by one.  Lines beyond `_LONG` words take the running xors from a
+    window, for arrays that grow by one are copied.
+    """
+    n = F.size("words")
+    here, left = F.transform("words", lambda w, i: F.xxhash64(w, i)), F.transform("words", lambda w, i: F.xxhash64(w, i - 1))
+    ahead, behind = F.slice(_running(here), F.lit(1), n), F.reverse(F.slice(_running(F.reverse(left)), F.lit(1), n))
+    drops = F.zip_with(ahead, behind, lambda a, b: a.bitwiseXOR(b))
+    short = live.filter((n >= min_words) & (n <= _LONG)).select("h1", "at", F.posexplode(drops).alias("i", "drop"))
+    each = (live.filter((n >= min_words) & (n > _LONG)).select("h1", "at", F.posexplode("words").alias("i", "w"))
+            .select("h1", "at", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("left")))
+    line = Window.partitionBy("at")
+    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drop = (F.bit_xor("here").over(upto).bitwiseXOR(F.col("here")).bitwiseXOR(F.bit_xor("left").over(upto))
+            .bitwiseXOR(F.bit_xor("left").over(line)))
+    return short.union(each.select("h1", "at", "i", drop.alias("drop"))).select("h1", "at", "drop", F.xxhash64("i", "drop").alias("swap"))
+
+
 def _near(live: DataFrame, min_words: int) -> DataFrame:
-    """Hashes of the lines that an earlier line is one edit away from."""
-    spark, xor = live.sparkSession, (lambda a, b: a.bitwiseXOR(b))
-    # a sequence's hash is the xor of its (word, place) hashes: running xors give every variant of a line in one pass
-    words = live.select(*_LINE, "at", "words", F.size("words").alias("n"),
-                        F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), xor).alias("whole"),
-                        F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i - 1)), F.lit(0).cast("long"), xor).alias("moved"))
-    each = words.filter(F.col("n") >= min_words).select(*_LINE, "at", "moved", F.posexplode("words").alias("i", "w"))
-    each = each.select(*_LINE, "at", "i", "moved", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("left"))
-    upto = Window.partitionBy(*_LINE).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.bit_xor("here").over(upto).bitwiseXOR(F.col("here"))
-    behind = F.bit_xor("left").over(upto).bitwiseXOR(F.col("moved"))
-    variants = each.select(*_LINE, "at", "i", before.bitwiseXOR(behind).alias("drop")).withColumn("swap", F.xxhash64("i", "drop"))
-    variants = written(spark, variants.drop("i"), "variants")
+    """(row, pos): first places of the lines that an earlier line is one edit away from."""
+    spark, variants = live.sparkSession, _variants(live, min_words)
+    whole = F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
     # one word replaced: everyone against the earliest of the key
-    first = written(spark, variants.groupBy("swap").agg(F.min(F.struct("at", *_LINE)).alias("e"), F.count("*").alias("n"))
-                    .filter("n > 1").select("swap", "e.*").toDF("swap", "e_at", "e_h1", "e_h2"), "swap")
-    swapped = variants.join(first, "swap").filter("at > e_at").select(*_LINE, "e_h1", "e_h2")
+    common = written(spark, _marked(variants, "swap", _bitmap(_shared(variants, "swap", "h1"), "swap")).select("at", "swap"), "swaps")
+    first = written(spark, common.groupBy("swap").agg(F.min("at").alias("e")), "first")
+    swapped = common.join(first, "swap").filter("at > e").select("at", "e")
     # one word deleted: every longer line against the shorter line it contains
-    shorter = words.select(F.col("h1").alias("s_h1"), F.col("h2").alias("s_h2"), F.col("at").alias("s_at"), F.col("whole").alias("drop"))
-    contained = variants.join(shorter, "drop")
-    longer_goes = contained.filter("at > s_at").select(*_LINE, F.col("s_h1").alias("e_h1"), F.col("s_h2").alias("e_h2"))
-    shorter_goes = (contained.filter("s_at > at").groupBy("s_h1", "s_h2").agg(F.min(F.struct("at", *_LINE)).alias("e"))
-                    .select(F.col("s_h1").alias("h1"), F.col("s_h2").alias("h2"), F.col("e.h1").alias("e_h1"), F.col("e.h2").alias("e_h2")))
-    pairs = swapped.union(longer_goes).union(shorter_goes).distinct()
-    one = live.select(*_LINE, F.col("words").alias("a"))
-    other = live.select(F.col("h1").alias("e_h1"), F.col("h2").alias("e_h2"), F.col("words").alias("b"))
-    longer, short = F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b")), F.when(F.size("a") >= F.size("b"), F.col("b")).otherwise(F.col("a"))
-    both = pairs.join(one, _LINE).join(other, ["e_h1", "e_h2"]).select(*_LINE, longer.alias("long"), short.alias("short"))
-    return both.filter(_one_edit(F.col("long"), F.col("short"))).select(*_LINE).distinct()
+    complete = live.select(F.col("at").alias("s"), whole.alias("drop"))
+    longer = written(spark, _marked(variants, "drop", _bitmap(complete, "drop")).select("at", "drop"), "drops")
+    contained = longer.join(complete, "drop")
+    longer_goes = contained.filter("at > s").select("at", F.col("s").alias("e"))
+    shorter_goes = contained.filter("s > at").groupBy("s").agg(F.min("at").alias("e")).select(F.col("s").alias("at"), "e")
+    pairs = (swapped.union(longer_goes).union(shorter_goes)
+             .select(F.col("at.row").alias("row"), F.col("at.pos").alias("pos"), F.col("e.row").alias("e_row"), F.col("e.pos").alias("e_pos")).distinct())
+    one = live.select(F.col("at.row").alias("row"), F.col("at.pos").alias("pos"), F.col("words").alias("a"))
+    other = live.select(F.col("at.row").alias("e_row"), F.col("at.pos").alias("e_pos"), F.col("words").alias("b"))
+    a_longer = F.size("a") >= F.size("b")
+    both = pairs.join(one, ["row", "pos"]).join(other, ["e_row", "e_pos"]).select(
+        "row", "pos", F.when(a_longer, F.col("a")).otherwise(F.col("b")).alias("long"), F.when(a_longer, F.col("b")).otherwise(F.col("a")).alias("short"))
+    return both.filter(_one_edit(F.col("long"), F.col("short"))).select("row", "pos").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
@@ -122,11 +152,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     spark = docs.sparkSession
     narrow = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
     all_lines = _lines(narrow, "id", "text")
-    halves = written(spark, _shared_halves(all_lines, min_words), "halves")
-    live = written(spark, _live(all_lines, halves, min_words), "live")
+    live = written(spark, _live(all_lines, min_words), "live")
     near = written(spark, _near(live, min_words), "near")
-    firsts = all_lines.groupBy(*_LINE).agg(F.min("at").alias("at")).join(near, _LINE, "left_anti")
-    keep = firsts.groupBy(F.col("at.row").alias("kept_row")).agg(F.collect_list("at.pos").alias("places"))
+    firsts = all_lines.groupBy(*_LINE).agg(F.min("at").alias("at")).select("at.row", "at.pos").join(near, ["row", "pos"], "left_anti")
+    keep = firsts.groupBy(F.col("row").alias("kept_row")).agg(F.collect_list("pos").alias("places"))
     row, parts, blank, places = fresh(docs, "row", "parts", "blank", "places")
     split = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(parts, F.split(F.col(f"`{text}`"), "\n"))
     keep = keep.select(F.col("kept_row").alias(f"{row}_kept"), F.col("places").alias(places))
