@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import pii, toxicity
+from tremor.llm import pii, toxicity, url_filter
 from tremor.llm.common import table, written
 from tremor.llm.decontaminate import contaminated
 from tremor.llm.hilbert_search import nearest
 from tremor.llm.line_dedup import dedup_lines
 from tremor.llm.piece_codec import digests, encode_decode
 from tremor.llm.simhash import fingerprints, near_duplicates
+from tremor.llm.token_counts import count_tokens
 from tremor.llm.token_files import read_token_files, token_digests, write_token_files
 from tremor.plans.catalog import register
 from tremor.session import scratch_path
@@ -96,3 +97,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole document: the patterns' spans and the field's."""
     field = pii.train(pii.labelled_table(spark))
     return pii.digests(pii.find_pii(table(spark, sf_dir, "documents", ["doc_id", "text"]), field))
+
+
+@register("op6_url_filter")
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages", ["page_id", "url", "html"])).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every whole document."""
+    return count_tokens(table(spark, sf_dir, "documents", ["doc_id", "text"]), PIECE_MODEL).select("doc_id", "n_tokens")
