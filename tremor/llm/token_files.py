@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from tremor.llm.common import slices
 
 #: Words a worker remembers in each of its two generations; results do not depend on it.
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 450_000
 MEMORY_WORD_CHARS = 48
 #: Where blanks stand alone a text is cut at every space and line feed; elsewhere only at lone spaces.
 _BLANK = r"[\s\x1c-\x1f\x85\u180e\u200b]"
@@ -95,28 +95,35 @@ class WordEncoder:
         tail, get, out = np.array([end_id], "<i4").tobytes(), self.memory.__getitem__, []
         for text in texts:
             words = self.words(text)
-            head = self._whole(words[0])
+            head = self._first(words[0])
             out.append(head + b"".join(map(get, words[1:])) + tail)
         return out
 
     def _word(self, word: str) -> bytes:
         """Ids of a word and the space before it, or of a line feed and the word behind it."""
-        if word.isalpha():
-            if word.isascii():
-                return self._run(self.space + word)
-            if max(word) < _LATIN:
-                return self._run((" " + word).encode().decode("latin-1").translate(self.byte_table))
+        if word.isalpha() and (word.isascii() or max(word) < _LATIN):
+            return self._run(" " + word)
         base = word.rstrip(_MARKS)
         if base and len(base) < len(word) and base[-1] < _LATIN and base[-1].isalpha():
             return self.memory[base] + self._mark(word[len(base):])
         if word[0] == "\n":
-            rest = word[1:]
-            return self._mark("\n") + (self._run(rest) if rest.isalpha() and rest.isascii() else self._whole(rest))
+            return self._mark("\n") + self._first(word[1:])
         return self._whole(" " + word)
 
+    def _first(self, word: str) -> bytes:
+        """Ids of a word without a space before it."""
+        base = word.rstrip(_MARKS)
+        if base and base.isalpha() and (base.isascii() or max(base) < _LATIN):
+            return self._run(base) + (self._mark(word[len(base):]) if len(base) < len(word) else b"")
+        return self._whole(word)
+
     def _run(self, letters: str) -> bytes:
-        """Ids of one pre-token, given in the byte-level alphabet."""
-        return array("i", [t.id for t in self.model(letters)]).tobytes()
+        """Ids of one pre-token: letters, with or without a space before them."""
+        if letters.isascii():
+            shown = self.space + letters[1:] if letters[0] == " " else letters
+        else:
+            shown = letters.encode().decode("latin-1").translate(self.byte_table)
+        return array("i", [t.id for t in self.model(shown)]).tobytes()
 
     def _mark(self, marks: str) -> bytes:
         if marks not in self.marks:
