@@ -26,31 +26,39 @@ from tremor.llm.common import fresh, written
 
 MIN_WORDS = 5
 _BITS, _BUCKET = 1 << 26, 1 << 15
-_LONG = 400
+_LONG = 4096
 #: Two independent 64-bit hashes name a line.
 _LINE = ["h1", "h2"]
 
 
-def _half_keys(words: Column, n: Column, base: Column) -> list[Column]:
-    """Hashes of the first and of the last half (of `base` words) of a line of n words."""
-    head = F.floor(base / 2).cast("int")
-    tail = base - head
-    return [F.xxhash64(F.lit(0), base, F.slice(words, F.lit(1), head)), F.xxhash64(F.lit(1), base, F.slice(words, n - tail + 1, tail))]
-
-
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line with words: at (id, row, line number), words, n, and the line's two hashes."""
-    lines = docs.select(F.col(key).alias("id"), F.col("row"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    words = lines.select(F.struct("id", "row", "pos").alias("at"), F.array_remove(F.split("line", " "), "").alias("words"))
-    return (words.withColumn("n", F.size("words")).filter("n > 0")
-            .withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit("line"), F.col("words"))))
+    """One row per line with words: at (id, row, line number), its words with single spaces, its two hashes."""
+    lines = docs.select(F.struct(F.col(key).alias("id"), F.col("row")).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    inner = F.trim("line")
+    plain = F.when(F.instr(inner, "  ") == 0, inner).otherwise(F.array_join(F.array_remove(F.split(inner, " "), ""), " "))
+    lines = lines.select(F.struct("doc.id", "doc.row", "pos").alias("at"), plain.alias("line")).filter("line <> ''")
+    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("line"), F.col("line")))
 
 
 def _with_halves(lines: DataFrame, min_words: int, *columns: str) -> DataFrame:
-    """A row per half key of each line that is long enough to have a neighbour."""
-    words, n = F.col("words"), F.col("n")
-    keys = F.array(*_half_keys(words, n, n), *_half_keys(words, n, n - 1))
-    return lines.filter(n >= min_words - 1).select(*columns, F.explode(keys).alias("half"))
+    """A row per half key of each line that is long enough to have a neighbour.
+
+    A line of n words has the halves of n words (to meet lines as long, and longer ones) and of n - 1 words (to
+    meet shorter ones): n div 2 words of either end, and n div 2 - 1 of the first or n div 2 + 1 of the last.
+    """
+    n, half = F.size("words"), F.size("words").bitwiseAND(-2) / 2
+    half = half.cast("int")
+    even = n == half * 2
+
+    def first(k: Column) -> Column:
+        return F.xxhash64(F.lit(0), F.slice("words", F.lit(1), k))
+
+    def last(k: Column) -> Column:
+        return F.xxhash64(F.lit(1), F.slice("words", n - k + 1, k))
+
+    keys = F.array(first(half), last(half), F.when(even, first(half - 1)).otherwise(last(half + 1)))
+    worded = lines.withColumn("words", F.split("line", " ")).filter(n >= min_words - 1)
+    return worded.select(*columns, F.explode(keys).alias("half"))
 
 
 def _bitmap(keys: DataFrame, key: str) -> DataFrame:
@@ -76,8 +84,8 @@ def _shared(rows: DataFrame, key: str, line: str) -> DataFrame:
 def _live(lines: DataFrame, min_words: int) -> DataFrame:
     """Distinct lines that share a half with another: hashes, earliest place, words."""
     halves = _bitmap(_shared(_with_halves(lines, min_words, "h1"), "half", "h1"), "half")
-    hit = _marked(_with_halves(lines, min_words, *_LINE, "at", "words"), "half", halves)
-    return hit.groupBy(*_LINE).agg(F.min("at").alias("at"), F.first("words").alias("words"))
+    hit = _marked(_with_halves(lines, min_words, *_LINE, "at", "line"), "half", halves)
+    return hit.groupBy(*_LINE).agg(F.min("at").alias("at"), F.first("line").alias("line")).select(*_LINE, "at", F.split("line", " ").alias("words"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
