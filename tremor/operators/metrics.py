@@ -79,21 +79,22 @@ def classification_metrics(df: DataFrame, keys, label: str = "label", pred: str
 
 
 def confusion(df: DataFrame, keys, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Confusion counts over the sorted union of classes of each group, zeros filled.
+    """Confusion counts over the union of classes of each group, zeros filled.
 
-    One lineage: counts (the shuffle that sees the data), then one aggregate per group holding its class list
-    and its non-zero cells (at most classes^2 entries: bounded by the label vocabulary), then the full
-    classes x classes grid is generated per group and looked up.
+    A null label or prediction is a class of its own, so every row is in some cell.  The counts (the only shuffle
+    that sees the data) are joined null-safely to the group's class grid; nothing is collected per group.
     """
-    cnt = counts(df, keys, label, pred)
-    cell = F.concat_ws("\u0001", F.col(label), F.col(pred))
-    per_group = cnt.groupBy(*keys).agg(
-        F.array_sort(F.array_union(F.collect_set(label), F.collect_set(pred))).alias("_classes"),
-        F.map_from_entries(F.collect_list(F.struct(cell, F.col("n")))).alias("_cells"))
-    grid = (per_group.select(*keys, "_cells", F.explode("_classes").alias("true_label"), "_classes")
-            .select(*keys, "_cells", "true_label", F.explode("_classes").alias("pred_label")))
-    n = F.coalesce(F.element_at("_cells", F.concat_ws("\u0001", "true_label", "pred_label")), F.lit(0))
-    return grid.select(*keys, "true_label", "pred_label", n.cast("bigint").alias("n"))
+    keys = list(keys)
+    cnt = counts(df, keys, label, pred).select(*keys, F.col(label).alias("_l"), F.col(pred).alias("_p"), "n")
+    cls = cnt.select(*keys, F.explode(F.array("_l", "_p")).alias("true_label")).distinct()
+    other = cls.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("true_label").alias("pred_label"))
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    grid = cls.join(other, same) if same else cls.crossJoin(other)
+    cells = cnt.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], "_l", "_p", "n")
+    hit = [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)]
+    hit += [F.col("true_label").eqNullSafe(F.col("_l")), F.col("pred_label").eqNullSafe(F.col("_p"))]
+    return (grid.join(cells, hit, "left")
+            .select(*keys, "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
 def consistency(df: DataFrame, keys, a: str = "pred_clean", b: str = "pred_pert") -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremor.operators.config import config_table
+
 PAIR_KEYS = ["model", "task", "language"]
 ROW_COLS = ["text", "label", "prediction", "score"]
 
@@ -66,21 +68,14 @@ def coverage(runs: DataFrame) -> DataFrame:
     m = (p.join(c.withColumn("_clean", F.lit(True)), keys, "left")
          .groupBy(*cmp_keys).agg(F.count_if(hit).alias("n_matched"), F.count_if(~hit).alias("n_pert_only")))
     n_clean = c.groupBy(*PAIR_KEYS).agg(F.count(F.lit(1)).alias("_n_clean"))
-    # one row per (model, task, language) on both sides: aggregated, configuration-sized
-    return (m.join(F.broadcast(n_clean), PAIR_KEYS)
+    return (m.join(n_clean, PAIR_KEYS)
             .select(*cmp_keys, "n_matched", (F.col("_n_clean") - F.col("n_matched")).alias("n_clean_only"),
                     "n_pert_only"))
 
 
-MAX_LABEL_MAP = 100_000
-
-
 def label_map_table(spark, rows) -> DataFrame:
-    """(model, raw, label) rows from configuration, size-checked and marked for broadcast."""
-    rows = list(rows)
-    if len(rows) > MAX_LABEL_MAP:
-        raise ValueError("label map too large to broadcast")
-    return F.broadcast(spark.createDataFrame(rows, "model string, raw string, label string"))
+    """(model, raw, label) rows from configuration."""
+    return config_table(spark, rows, "model string, raw string, label string")
 
 
 def map_labels(df: DataFrame, label_map: DataFrame, model_col: str = "model", raw: str = "prediction") -> DataFrame:

@@ -2,7 +2,7 @@
 
 All perturbation types share ONE Arrow `pandas_udf`, so a plan that perturbs several columns or
 grid rows crosses the JVM/Python boundary once per batch.  The lexicons and vowel sets are
-small parameters with a checked size bound; they travel in the UDF closure (a broadcast).
+parameters of the driver program, of any size it holds; they travel in the UDF closure (a broadcast).
 """
 
 from __future__ import annotations
@@ -15,23 +15,14 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tremor.functions import fixed
 from tremor.functions.kernels import Perturber, join_fields, stopword_stats
 
-MAX_LEXICON_ENTRIES = 200_000  # closure-shipped lexicons must stay small
-
-
-def _checked(lex: dict, name: str) -> dict:
-    n = sum(len(v) for v in lex.values())
-    if n > MAX_LEXICON_ENTRIES:
-        raise ValueError(f"{name} has {n} entries (> {MAX_LEXICON_ENTRIES}); pass it as a table and join instead")
-    return lex
-
 
 def make_perturber(seed=fixed.DEFAULT_SEED, vowels=None, codemix=None, synonyms=None,
                    strict: bool = True) -> Perturber:
     return Perturber(
         seed,
-        _checked(vowels if vowels is not None else fixed.vowel_sets(), "vowel sets"),
-        _checked(codemix if codemix is not None else fixed.codemix_lexicon(), "code-mix lexicon"),
-        _checked(synonyms if synonyms is not None else fixed.synonym_lexicon(), "synonym lexicon"),
+        vowels if vowels is not None else fixed.vowel_sets(),
+        codemix if codemix is not None else fixed.codemix_lexicon(),
+        synonyms if synonyms is not None else fixed.synonym_lexicon(),
         strict,
     )
 

@@ -121,7 +121,7 @@ def poisson_thresholds(max_k: int = 12) -> list[int]:
     return out
 
 
-def bootstrap_ci(df: DataFrame, keys, value: str, row_id, replicates: int = 200, seed=fixed.DEFAULT_SEED,
+def bootstrap_ci(df: DataFrame, keys, value: str, row_id, replicates: int = 1000, seed=fixed.DEFAULT_SEED,
                  alpha: float = 0.05) -> DataFrame:
     """Mean and (alpha/2, 1-alpha/2) percentile interval of `value` per group.
 

@@ -45,7 +45,7 @@ def split_exact(df: DataFrame, fraction: float = fixed.VALIDATION_FRACTION, seed
            .select(group, F.col("m._b").alias("_cut"), (F.col("m._need") - (F.col("m._cum") - F.col("m._c")))
                    .alias("_take")))
     # groups with need 0 have no cut row: everything is train
-    # one row per group (a configuration-level key such as task): broadcast, never a shuffle join on a hot key
+    # one row per group, a configuration-level key (the tasks of `scan_task`): a shuffle join would be one hot task
     x = x.join(F.broadcast(cut), group, "left")
     below = F.col("_cut").isNotNull() & (F.col("_b") < F.col("_cut"))
     rest = (x.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut")))

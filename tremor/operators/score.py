@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import fixed
+from tremor.operators.config import config_table
 
 RAW_OUTPUT = "array<struct<label:string,score:double>>"
 
@@ -48,15 +50,11 @@ def rule_predict(hits, tokens, threshold) -> tuple[Column, Column]:
 
 
 DEFAULT_MODELS = [("stopword-t20", 0.2), ("stopword-t30", 0.3)]
-MAX_MODELS = 10_000
 
 
 def models_table(spark, models=None) -> DataFrame:
-    """Grid of rule models (model, threshold) from a config list; its size is checked, so it is broadcast."""
-    rows = list(models if models is not None else DEFAULT_MODELS)
-    if len(rows) > MAX_MODELS:
-        raise ValueError("model grid too large to broadcast")
-    return F.broadcast(spark.createDataFrame(rows, "model string, threshold double"))
+    """Grid of rule models (model, threshold) from a config list."""
+    return config_table(spark, models if models is not None else DEFAULT_MODELS, "model string, threshold double")
 
 
 def default_models(spark) -> DataFrame:
@@ -110,26 +108,40 @@ def route_input(df: DataFrame) -> DataFrame:
 
 # ---- plug-in predictor ------------------------------------------------------------
 
+_loaded: dict = {}
+
+
+def loaded_predictor(key: str, factory: Callable) -> Callable:
+    """The predictor of one UDF in this process, loaded at its first use."""
+    if key not in _loaded:
+        _loaded[key] = factory()
+    return _loaded[key]
+
+
 def predictor_udf(factory: Callable[[], Callable[[list], list]], batch_size: int = 32):
-    """Iterator Arrow UDF around a user predictor; `factory()` runs once per Python worker process.
+    """Iterator Arrow UDF around a user predictor; `factory()` runs once per Python worker process (the loaded
+    predictor is kept in the module under a key of this UDF, which outlives a task's copy of the closure).
 
     The predictor maps a list of input strings to a list of (label, score); order is preserved within
     each batch and the id travels with the row, so no positional pairing is needed downstream.
     """
-    state: dict = {}
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("label string, score double")
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if "predict" not in state:
-            state["predict"] = factory()
-        predict = state["predict"]
+        from tremor.operators import score as this  # the worker's module, not the pickled copy of its globals
+
+        predict = this.loaded_predictor(key, factory)
         for s in batches:
             values = s.fillna("").tolist()
             labels, scores = [], []
             for i in range(0, len(values), batch_size):
-                for out in predict(values[i:i + batch_size]):
+                got = list(predict(values[i:i + batch_size]))
+                if len(got) != len(values[i:i + batch_size]):
+                    raise ValueError(f"the predictor gave {len(got)} outputs for {len(values[i:i + batch_size])} inputs")
+                for out in got:
                     if isinstance(out, dict):
-                        labels.append(str(out.get("label")))
+                        labels.append(str(out["label"] if "label" in out else out))
                         scores.append(float(out.get("score", 0.0)))
                     elif isinstance(out, tuple):
                         labels.append(str(out[0]))

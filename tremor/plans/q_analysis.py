@@ -442,7 +442,7 @@ def sorted_summary(spark, sf_dir):
     return rounded(RP.summary(stored_report(spark, sf_dir), ["model", "language"])).orderBy("model", "language")
 
 
-BOOT_B = 200
+BOOT_B = 1000
 
 
 def _boot_sql(keys: list[str], value: str, filt: str = "") -> str:
@@ -478,10 +478,10 @@ def bootstrap_ci(spark, sf_dir):
     return _boot(spark, sf_dir, ["model", "perturbation"], F.col("acc_perturbed"))
 
 
-@register("perf_vs_noise", lambda: _boot_sql(["level", "perturbation", "model"], "acc_perturbed"))
+@register("perf_vs_noise", lambda: _boot_sql(["level", "perturbation", "model"], "acc_perturbed", "WHERE level > 0"))
 def perf_vs_noise(spark, sf_dir):
     """Accuracy against noise level per perturbation and model, mean with 95 % interval."""
-    return _boot(spark, sf_dir, ["level", "perturbation", "model"], F.col("acc_perturbed"))
+    return _boot(spark, sf_dir, ["level", "perturbation", "model"], F.col("acc_perturbed"), F.col("level") > 0)
 
 
 @register("drop_by_language", lambda: _boot_sql(["language", "model"], "rel_drop_acc * 100.0",
@@ -492,10 +492,11 @@ def drop_by_language(spark, sf_dir):
                  F.col("perturbation") != "clean")
 
 
-@register("consistency_by_type", lambda: _boot_sql(["perturbation", "language"], "consistency * 100.0"))
+@register("consistency_by_type", lambda: _boot_sql(["perturbation", "language"], "consistency * 100.0",
+                                                   "WHERE perturbation <> 'clean'"))
 def consistency_by_type(spark, sf_dir):
     """Consistency in percent per perturbation and language, mean with interval (F16)."""
-    return _boot(spark, sf_dir, ["perturbation", "language"], F.col("consistency") * 100.0)
+    return _boot(spark, sf_dir, ["perturbation", "language"], F.col("consistency") * 100.0, F.col("perturbation") != "clean")
 
 
 # ---- dataset statistics -------------------------------------------------------------------------

@@ -136,7 +136,7 @@ def scan_reports(spark, sf_dir):
 def report_long(spark, sf_dir):
     """Plot-ready long table from the report files: accuracy, relative drop and consistency in percent (A10)."""
     path = files.write_report_files(stored_report(spark, sf_dir), scratch_path(spark, "reports"))
-    return rounded(files.report_long(files.scan_report_files(spark, path)))
+    return rounded(files.report_long(files.scan_report_files(spark, path, reports_only=False)))
 
 
 def _legacy_paths(report):

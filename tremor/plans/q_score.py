@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremor.functions import fixed
 from tremor.functions import text as T
 from tremor.operators import sampling
 from tremor.operators import score as S
@@ -52,16 +51,15 @@ def score_plugin(spark, sf_dir):
     return rounded(out.select("model", "task", "id", "prediction", "score"))
 
 
-def _trunc_sql() -> str:
-    return (f"substring(CASE WHEN premise IS NOT NULL AND hypothesis IS NOT NULL THEN concat_ws(' ', premise, hypothesis) "
-            f"WHEN text IS NOT NULL THEN text ELSE concat_ws(' ', premise, hypothesis) END, 1, "
-            f"{fixed.INPUT_TRUNCATE_CHARS})")
+def _input_v2_sql() -> str:
+    return ("CASE WHEN premise IS NOT NULL AND hypothesis IS NOT NULL THEN concat_ws(' ', premise, hypothesis) "
+            "WHEN text IS NOT NULL THEN text ELSE concat_ws(' ', premise, hypothesis) END")
 
 
-@register("score_batch", lambda: _plugin_sql(_trunc_sql(), "plugin-stopword-v2"))
+@register("score_batch", lambda: _plugin_sql(_input_v2_sql(), "plugin-stopword-v2"))
 def score_batch(spark, sf_dir):
-    """Batched inference (batch 16) on the v2 input: cut to 100 characters in the JVM before Arrow."""
-    t = V.task_examples(spark, sf_dir).withColumn("input", T.format_truncate())
+    """Batched inference (batch 16) on the whole v2 input (E2; the cut to 100 characters is `format_truncate`)."""
+    t = V.task_examples(spark, sf_dir).withColumn("input", T.format_truncate(max_chars=None))
     out = S.score_plugin(t, S.stopword_predictor_factory(0.2), "plugin-stopword-v2", text="input", batch_size=16)
     return rounded(out.select("model", "task", "id", "prediction", "score"))
 

@@ -8,7 +8,6 @@ from tremor.functions import fixed
 from tremor.functions import text as T
 from tremor.operators import perturb as P
 from tremor.operators import sampling
-from tremor.operators.partitioning import balance
 from tremor.plans import oracle as O
 from tremor.plans import views as V
 from tremor.plans.catalog import register
@@ -17,7 +16,7 @@ from tremor.sources import tables
 
 def documents(spark, sf_dir):
     """Every document, normalized: id, language, text."""
-    d = balance(tables.table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string")))
+    d = tables.table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
     return d.select("id", F.col("lang").alias("language"), T.normalize("text").alias("text"))
 
 
@@ -37,12 +36,12 @@ def _one_step_sql(ptype: str, level: float, extra_cols: str = "") -> str:
     return O.with_(ctes, body)
 
 
-def _one_step(spark, sf_dir, ptype: str, level: float):
+def _one_step(spark, sf_dir, ptype: str, level: float, *extra):
     d = documents(spark, sf_dir)
     p = P.make_perturber()
     return d.select("id", "language", F.lit(ptype).alias("perturbation"), F.lit(float(level)).alias("level"),
                     P.perturb_col(p, "text", side="text", perturbation=F.lit(ptype), level=F.lit(float(level)))
-                    .alias("text_perturbed"))
+                    .alias("text_perturbed"), *extra)
 
 
 def _reg_step(key: str, ptype: str, level: float, doc: str):
@@ -180,7 +179,7 @@ def lang_alias(spark, sf_dir):
        UNION ALL SELECT id, task, language, 'clean', 0.0::DOUBLE, text, premise, hypothesis FROM tasks"""))
 def perturb_all(spark, sf_dir):
     """Dispatcher over the whole grid for both tasks; clean rows pass through."""
-    base = V.task_examples(spark, sf_dir)  # balanced per task at its source
+    base = V.task_examples(spark, sf_dir)
     g = V.grid(spark, include_clean=True)
     x = P.perturb(base, g, text_cols=("text", "premise", "hypothesis"), keep_original=False)
     return x.select("id", "task", "language", "perturbation", "level", "text", "premise", "hypothesis")
@@ -190,9 +189,8 @@ def perturb_all(spark, sf_dir):
                                                   "'code-mixing' AS perturbation_type"))
 def perturb_audit(spark, sf_dir):
     """Provenance record: original, perturbed, language and type side by side."""
-    return _one_step(spark, sf_dir, "codemix", 0.5).join(
-        documents(spark, sf_dir).select("id", F.col("text").alias("original_text")), "id") \
-        .withColumn("perturbation_type", F.lit("code-mixing"))
+    return _one_step(spark, sf_dir, "codemix", 0.5, F.col("text").alias("original_text"),
+                     F.lit("code-mixing").alias("perturbation_type"))
 
 
 def _pairs_norm_sql() -> str:

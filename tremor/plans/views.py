@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tremor.functions import fixed
 from tremor.functions.text import format_input, normalize, pair_json
 from tremor.operators import perturb as P
-from tremor.operators.partitioning import balance
+from tremor.operators.config import config_table
 from tremor.operators import score as S
 from tremor.sources import tables
 
@@ -24,7 +24,6 @@ DEFAULT_PERTURBATIONS = [
     ("codemix", [0.5]),
     ("paraphrase", [0.5]),
 ]
-MAX_GRID_ROWS = 10_000
 
 RUN_KEYS = ["model", "task", "perturbation", "level", "language"]
 
@@ -39,20 +38,17 @@ def grid(spark: SparkSession, perturbations=None, include_clean: bool = False) -
             rows.append((ptype, float(lv)))
     if include_clean:
         rows.insert(0, ("clean", 0.0))
-    if len(rows) > MAX_GRID_ROWS:
-        raise ValueError("grid too large to broadcast")
-    # size checked above, so the broadcast hint is safe; a caller's own grid DataFrame is left to the planner
-    return F.broadcast(spark.createDataFrame(rows, "perturbation string, level double"))
+    return config_table(spark, rows, "perturbation string, level double")
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized classification examples (documents with a quality label)."""
-    return balance(tables.scan_task(spark, sf_dir, "quality")).withColumn("text", normalize("text"))
+    return tables.scan_task(spark, sf_dir, "quality").withColumn("text", normalize("text"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized pair examples (user turn -> following assistant turn)."""
-    return balance(tables.scan_task(spark, sf_dir, "dialog")).withColumns(
+    return tables.scan_task(spark, sf_dir, "dialog").withColumns(
         {"premise": normalize("premise"), "hypothesis": normalize("hypothesis")})
 
 
@@ -68,8 +64,7 @@ def paired(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, m
     one Arrow UDF perturbs text/premise/hypothesis -> perturbed stats -> texts dropped ->
     broadcast model cross join -> predictions.  No shuffle of text after the label join.
     """
-    # task_examples is balanced per task at its source; a caller's own base is balanced here
-    base = task_examples(spark, sf_dir) if base is None else balance(base)
+    base = task_examples(spark, sf_dir) if base is None else base
     g = grid_df if grid_df is not None else grid(spark)
     models = models if models is not None else S.default_models(spark)
     p = perturber or P.make_perturber()
@@ -104,8 +99,7 @@ def runs(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, mod
 
     Clean is scored once per example (level 0.0), each perturbation once per (example, level).
     """
-    # task_examples is balanced per task at its source; a caller's own base is balanced here
-    base = task_examples(spark, sf_dir) if base is None else balance(base)
+    base = task_examples(spark, sf_dir) if base is None else base
     g = grid(spark, include_clean=True) if grid_df is None else with_clean(spark, grid_df)
     models = models if models is not None else S.default_models(spark)
     p = perturber or P.make_perturber()

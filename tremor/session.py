@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         opt = sc._jsc.sc().getCheckpointDir()
         d = opt.get() if opt.isDefined() else None
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tremor-ckpt-")
         sc.setCheckpointDir(d)
     return d

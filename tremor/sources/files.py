@@ -61,8 +61,13 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
     return r.options(**CSV_READ).csv(path) if fmt == "csv" else r.parquet(path)
 
 
+def _unescaped(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def _dir_value(path: Column, key: str) -> Column:
-    return F.regexp_extract(path, f"/{key}=([^/]+)/", 1)
+    """Value of a partition directory in a file URI, null without one; the URI's escapes and the directory's go."""
+    return _unescaped(_unescaped(F.nullif(F.regexp_extract(path, f"/{key}=([^/]+)/", 1), F.lit(""))))
 
 
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -90,17 +95,19 @@ def write_report_files(report: DataFrame, path: str) -> str:
     return path
 
 
-def scan_report_files(spark: SparkSession, path: str) -> DataFrame:
+def scan_report_files(spark: SparkSession, path: str, reports_only: bool = True) -> DataFrame:
     """Every report file under `path`, one row per (file, language).
 
-    Whole files are parsed as `map<language, struct<metrics>>`; a malformed or non-report file parses to a
-    null map or to entries without `acc_clean`, and is dropped (as the original skips it).
+    Whole `.json` (or one-document `.txt`) files are parsed as `map<language, struct<metrics>>`.  A malformed file
+    parses to a null map and is dropped; with `reports_only` so is one whose first entry has no `acc_clean`.  Every
+    language of a file that stays is kept, with nulls for what it lacks.
     """
-    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,txt}").text(path)
            .select(F.col("_metadata.file_path").alias("file_path"), "value"))
     parsed = raw.select("file_path", F.from_json("value", REPORT_MAP, {"mode": "PERMISSIVE"}).alias("m"))
-    rows = parsed.select("file_path", F.explode("m").alias("language", "r"))
-    return rows.filter(F.col("r.acc_clean").isNotNull()).select("file_path", "language", "r.*")
+    if reports_only:
+        parsed = parsed.filter(F.get(F.map_values("m"), F.lit(0))["acc_clean"].isNotNull())
+    return parsed.select("file_path", F.explode("m").alias("language", "r")).select("file_path", "language", "r.*")
 
 
 def parse_report_path(path: Column) -> dict[str, Column]:
@@ -118,7 +125,7 @@ def parse_report_path(path: Column) -> dict[str, Column]:
     is_clean = base.contains("clean")
     first = F.regexp_extract(base, r"^([^_.]+)", 1)
     part = {k: _dir_value(path, k) for k in ("model", "task", "perturbation", "level")}
-    has_parts = part["task"] != ""
+    has_parts = part["task"].isNotNull()
     model_legacy = F.when(parent == "metrics", F.lit("unknown")).otherwise(parent)
     return {
         "model": F.when(has_parts, part["model"]).otherwise(model_legacy),

@@ -101,8 +101,8 @@ def scan_task(spark: SparkSession, sf_dir: str, task: str, drop_unlabeled: bool
 def pick_split(df: DataFrame) -> DataFrame:
     """Evaluation split: 'validation' where present, else 'train' (A2), decided per task.
 
-    Presence is one aggregate row per task, broadcast back (tasks are configuration, a handful): a shuffle
-    join on `task` would send a whole hot task to one reducer.  No collect to the driver.
+    Presence is one aggregate row per task, and a table holds one task (`scan_task` names it), so the broadcast is
+    a row: a shuffle join on `task` would send everything to one reducer.  No collect to the driver.
     """
     has_val = (df.groupBy("task").agg(F.max((F.col("split") == "validation").cast("int")).alias("_hv")))
     return (df.join(F.broadcast(has_val), "task")

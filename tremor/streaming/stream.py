@@ -18,9 +18,10 @@ DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bi
 
 
 def document_stream(spark: SparkSession, folder: str, pattern: str = "documents.parquet",
-                    max_files: int = 1) -> DataFrame:
-    return (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", max_files).parquet(folder))
+                    max_bytes: str | None = None) -> DataFrame:
+    """Documents arriving as files; `max_bytes` (such as '10g') bounds a micro-batch, by default Spark decides."""
+    reader = spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", pattern)
+    return (reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader).parquet(folder)
 
 
 def scored_stream(docs: DataFrame, labels: DataFrame, perturbation: str, level: float,
@@ -41,12 +42,10 @@ def scored_stream(docs: DataFrame, labels: DataFrame, perturbation: str, level:
                     pp.alias("pred_pert"), spp.alias("score_pert"))
 
 
-def run_available(stream: DataFrame, out_path: str, checkpoint: str, timeout_s: int = 600) -> None:
+def run_available(stream: DataFrame, out_path: str, checkpoint: str) -> None:
+    """Process all that is present, however long it takes."""
     q = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).outputMode("append").start(out_path))
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
