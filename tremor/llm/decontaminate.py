@@ -175,17 +175,27 @@ class Block:
                 for i in np.flatnonzero(hi > lo).tolist():
                     pairs.update((a + i, int(x)) for x in self.item_order[w][lo[i]:hi[i]] if self.lens[x] == n[i])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        reach: dict[tuple[int, int], int] = {}
-        for i, x in sorted(pairs):
-            k, n = int(self.bound[x]), int(self.lens[x])
-            d = int(doc[starts[i]])
-            lo, hi = max(int(begins[i]), int(starts[i]) - n), min(int(ends[i]), int(starts[i]) + 2 * n + k)
-            if reach.get((d, x), -1) >= hi:  # an earlier stretch held this one
-                continue
-            reach[d, x] = hi
-            edits, at = edits_within(self.items[x], flat[lo:hi])
-            if edits <= k and (d, x) not in best or edits <= k and (edits, lo + at) < best[d, x]:
-                best[d, x] = (edits, lo + at)
+        found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        for x in np.unique(found[:, 1]).tolist():
+            k, n, item = int(self.bound[x]), int(self.lens[x]), self.items[x]
+            own = np.unique(item)
+            inside = np.zeros(self.size, bool)
+            inside[own] = True
+            which = found[found[:, 1] == x, 0]
+            lo, hi = np.maximum(begins[which], starts[which] - k), np.minimum(ends[which], starts[which] + n + 2 * k)
+            # at least n - k of the item's words stand in the stretch, and at most k different ones do not
+            known = np.concatenate([[0], np.cumsum(inside[flat])])
+            near = known[hi] - known[lo] >= n - k
+            done = -1
+            for a, z in zip(lo[near].tolist(), hi[near].tolist(), strict=True):
+                if z <= done or len(own) - len(np.intersect1d(own, flat[a:z])) > k:
+                    continue
+                d = int(doc[a])
+                edits, at = edits_within(item, flat[a:z])
+                if edits == 0:
+                    done = z + k  # the same place again
+                if edits <= k and (edits, a + at) < best.get((d, x), (k + 1, 0)):
+                    best[d, x] = (edits, a + at)
         first = {d: int(np.searchsorted(doc, d)) for d, _ in best}
         return [(d, self.ids[x], at - first[d], int(self.lens[x]), e) for (d, x), (e, at) in best.items()]
 
