@@ -21,6 +21,7 @@ import string
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,23 @@ def _ngram_counts(words: DataFrame, order: int) -> DataFrame:
     return _summed(words.mapInArrow(run, StructType([StructField("g", StringType()), *_COUNTS])), "g")
 
 
+class Context(NamedTuple):
+    """Sums of a context's counts (t: toxic, o: ordinary, s: both) and numbers of what follows it."""
+
+    size: int
+    t: int
+    o: int
+    s: int
+    kt: int
+    ko: int
+    ks: int
+
+
+def _rows(df: DataFrame) -> Iterator[tuple]:
+    """Rows of a bounded table, column by column over Arrow."""
+    return zip(*[c.to_pylist() for c in df.toArrow().columns], strict=True)
+
+
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
@@ -164,7 +182,7 @@ def _estimates(raw: DataFrame, order: int, cutoff: int, strength: float, margin:
     prefix = F.expr("substring(g, 1, size - 1)")
     contexts = counts.groupBy(prefix.alias("c"), "size").agg(
         F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in "tos"], *[F.count_if(F.col(c) > 0).alias("k" + c) for c in "tos"])
-    context = {r["c"]: r for r in contexts.filter(F.col("n") >= cutoff).collect()}
+    context = {c: Context(*rest) for c, *rest in _rows(contexts.filter(F.col("n") >= cutoff).select("c", *Context._fields))}
     model = Model(order, margin, key=uuid.uuid4().hex)
     p: dict[str, float] = {}
 
@@ -173,20 +191,19 @@ def _estimates(raw: DataFrame, order: int, cutoff: int, strength: float, margin:
         if not g:
             return 1 / 256
         r = context.get(g[:-1])
-        return p[g] if g in p else both(g[1:]) * (discount["s"][len(g)] * r["ks"] / r["s"] if r is not None and r["s"] else 1.0)
+        return p[g] if g in p else both(g[1:]) * (discount["s"][len(g)] * r.ks / r.s if r is not None and r.s else 1.0)
 
-    def rest(c: str, r) -> float:
+    def rest(c: str, r: Context) -> float:
         """What a class leaves to the shared estimate behind a context."""
-        return (discount[c][r["size"]] * r["k" + c] + strength) / (r[c] + strength)
+        return (discount[c][r.size] * getattr(r, "k" + c) + strength) / (getattr(r, c) + strength)
 
-    for row in sorted(counts.filter(F.col("n") >= cutoff).collect(), key=lambda r: r["size"]):
-        g, k = row["g"], row["size"]
-        r = context[g[:-1]]
-        p[g] = (max(row["s"] - discount["s"][k], 0) + discount["s"][k] * r["ks"] * both(g[1:])) / r["s"] if r["s"] else both(g[1:])
+    for g, k, t, o, n in _rows(counts.filter(F.col("n") >= cutoff).orderBy("size").select("g", "size", "t", "o", "s")):
+        r, d = context[g[:-1]], discount["s"][k]
+        p[g] = (max(n - d, 0) + d * r.ks * both(g[1:])) / r.s if r.s else both(g[1:])
         if k > 1 and (k == order or g[0] == HEAD):
-            t, o = (max(row[c] - discount[c][k], 0) / (r[c] + strength) + rest(c, r) * p[g] for c in "to")
-            model.ngram[g] = math.log(t / o)
-    model.backoff = {c: math.log(rest("t", r) / rest("o", r)) for c, r in context.items() if c and (r["size"] == order or c[0] == HEAD)}
+            of_t, of_o = (max(own - discount[c][k], 0) / (getattr(r, c) + strength) + rest(c, r) * p[g] for c, own in (("t", t), ("o", o)))
+            model.ngram[g] = math.log(of_t / of_o)
+    model.backoff = {c: math.log(rest("t", r) / rest("o", r)) for c, r in context.items() if c and (r.size == order or c[0] == HEAD)}
     return model
 
 
