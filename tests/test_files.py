@@ -66,3 +66,30 @@ def test_legacy_path_metadata(spark):
     assert got[paths[1]] == ("unknown", "xnli", "clean", 0.0)
     assert got[paths[2]][1] is None
     assert got[paths[3]] == ("modelB", "copa", "", 0.3)
+
+
+def test_scan_legacy_predictions(spark, tmp_path):
+    folder = tmp_path / "res" / "google%2Fmuril"
+    folder.mkdir(parents=True)
+    (folder / "snp_char_swap_hi_preds.csv").write_text('id,text,label,prediction,score\n007,"a ""b""\nc",1,0,0.5\n', encoding="utf-8")
+    (tmp_path / "res" / "xnli_clean_en_preds.csv").write_text("id,text,label,prediction,score\n1,x,1,1,0.9\n", encoding="utf-8")
+    (tmp_path / "res" / "notes.csv").write_text("id\n1\n", encoding="utf-8")
+    got = {r.id: r for r in files.scan_legacy_predictions(spark, str(tmp_path / "res")).collect()}
+    assert (got["007"].task, got["007"].perturbation, got["007"].language, got["007"].text) == ("snp", "char_swap", "hi", 'a "b"\nc')
+    assert got["007"].model == "google/muril" and got["1"].perturbation == "clean" and len(got) == 2
+
+
+def test_report_scan_keeps_every_language(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "snp_char_swap_0.1.json").write_text('{"en": {"acc_clean": 0.9, "acc_perturbed": 0.8}, "hi": {"acc_perturbed": 0.7}}', encoding="utf-8")
+    (tmp_path / "m" / "other.json").write_text('{"en": {"acc_perturbed": 0.1}}', encoding="utf-8")
+    assert sorted(r.language for r in files.scan_report_files(spark, str(tmp_path)).collect()) == ["en", "hi"]
+    assert files.scan_report_files(spark, str(tmp_path), reports_only=False).count() == 3
+
+
+def test_confusion_counts_nulls(spark):
+    from tremor.operators import metrics as M
+
+    df = spark.createDataFrame([("m", "1", None), ("m", None, "1"), ("m", "1", "1"), (None, "0", "0")], "model string, label string, prediction string")
+    got = {(r.model, r.true_label, r.pred_label): r.n for r in M.confusion(df, ["model"]).collect()}
+    assert got == {("m", "1", None): 1, ("m", None, "1"): 1, ("m", "1", "1"): 1, ("m", None, None): 0, (None, "0", "0"): 1}

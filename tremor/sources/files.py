@@ -79,6 +79,30 @@ def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", *[_dir_value(fp, k).alias(k) for k in ("model", "task", "perturbation")])
 
 
+LEGACY_PREDS = "id string, text string, label string, prediction string, score double"
+
+
+def scan_legacy_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Every `{task}_{perturbation}_{language}_preds.csv` under `path`, flat or nested.
+
+    The five columns are read as written (id as string).  From the name: task is the first '_'-token, language the
+    last, perturbation all between (null for a name of fewer than three tokens, which keeps its task); the model
+    is the file's folder, unescaped.
+    """
+    df = (spark.read.schema(LEGACY_PREDS).options(**CSV_READ).option("recursiveFileLookup", "true")
+          .option("pathGlobFilter", "*_preds.csv").csv(path))
+    uri = F.col("_metadata.file_path")
+    stem = _unescaped(F.regexp_extract(uri, r"([^/]+)_preds\.csv$", 1))
+    name = r"^([^_]+)_(.+)_([^_]+)$"
+
+    def part(i: int) -> Column:
+        return F.nullif(F.regexp_extract(stem, name, i), F.lit(""))
+
+    return df.select("*", _unescaped(_unescaped(F.regexp_extract(uri, r"([^/]+)/[^/]+$", 1))).alias("model"),
+                     F.coalesce(part(1), F.regexp_extract(stem, r"^([^_]*)", 1)).alias("task"),
+                     part(2).alias("perturbation"), part(3).alias("language"))
+
+
 # ---- robustness report files (A6, A8, A9, A10) ------------------------------------------------
 
 def write_report_files(report: DataFrame, path: str) -> str:
