@@ -27,7 +27,8 @@ from tremor.llm.common import written
 CURVES = 4
 DIMS, BITS = 8, 7
 BLOCK = 2048
-QUERY_CHUNK = 1024
+#: Queries that a block's candidates meet at once, about; and the most ranks that such a chunk spans.
+CHUNK_QUERIES, CHUNK_RANKS = 1024, 1 << 16
 SAMPLE_QUERIES = 256
 RECALL = 0.97
 
@@ -176,12 +177,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     """
     placed = ranks(usable(vectors, key, vector), curves)
     window = fit_window(placed, is_query, k, recall)
-    queries = placed.filter(is_query).withColumn("chunk", F.floor(F.col("rank") / QUERY_CHUNK))
-    lo, hi = F.floor((F.col("chunk") * QUERY_CHUNK - window) / BLOCK), F.floor(((F.col("chunk") + 1) * QUERY_CHUNK - 1 + window) / BLOCK)
+    size = placed.filter("curve = 0").agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries")).first()
+    span = min(CHUNK_RANKS, max(BLOCK, CHUNK_QUERIES * size["rows"] // max(1, size["queries"])))
+    queries = placed.filter(is_query).withColumn("chunk", F.floor(F.col("rank") / span))
+    lo, hi = F.floor((F.col("chunk") * span - window) / BLOCK), F.floor(((F.col("chunk") + 1) * span - 1 + window) / BLOCK)
+    hi = F.least(hi, F.lit(size["rows"] // BLOCK))
     asked = queries.select("curve", "chunk", "vec_id", "v", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)).alias("block"))
     candidates = placed.withColumn("block", F.floor(F.col("rank") / BLOCK))
-    low = F.floor((F.col("block") * BLOCK - window) / QUERY_CHUNK)
-    high = F.floor(((F.col("block") + 1) * BLOCK - 1 + window) / QUERY_CHUNK)
+    low = F.floor((F.col("block") * BLOCK - window) / span)
+    high = F.least(F.floor(((F.col("block") + 1) * BLOCK - 1 + window) / span), F.lit(size["rows"] // span))
     used = queries.select("curve", "chunk").distinct()
     spread = candidates.select("curve", "block", "vec_id", "v", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)).alias("chunk"))
     found = _meet(asked, spread.join(used, ["curve", "chunk"], "left_semi"), ["curve", "block", "chunk"], k)
