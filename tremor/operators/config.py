@@ -1,4 +1,4 @@
-"""Configuration rows (grids, models, label maps) as small tables."""
+"""Configuration: rows (grids, models, label maps) as small tables, and the caller's session settings."""
 
 from __future__ import annotations
 
@@ -14,3 +14,14 @@ def config_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     rows = list(rows)
     df = spark.createDataFrame(rows, schema)
     return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
+#: Session setting: partitions to deal a task's rows to (round-robin) before the CPU-heavy stages.  Unset, the
+#: input splits decide; a caller sets it for a small input stored as one large row group.
+INPUT_PARTITIONS = "tremor.input.partitions"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """`df`, dealt to the caller's number of partitions where the session names one."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, "")
+    return df.repartition(int(n)) if n else df

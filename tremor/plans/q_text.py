@@ -8,6 +8,7 @@ from tremor.functions import fixed
 from tremor.functions import text as T
 from tremor.operators import perturb as P
 from tremor.operators import sampling
+from tremor.operators.config import dealt
 from tremor.plans import oracle as O
 from tremor.plans import views as V
 from tremor.plans.catalog import register
@@ -16,7 +17,7 @@ from tremor.sources import tables
 
 def documents(spark, sf_dir):
     """Every document, normalized: id, language, text."""
-    d = tables.table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    d = dealt(tables.table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string")))
     return d.select("id", F.col("lang").alias("language"), T.normalize("text").alias("text"))
 
 

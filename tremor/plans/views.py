@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tremor.functions import fixed
 from tremor.functions.text import format_input, normalize, pair_json
 from tremor.operators import perturb as P
-from tremor.operators.config import config_table
+from tremor.operators.config import config_table, dealt
 from tremor.operators import score as S
 from tremor.sources import tables
 
@@ -43,12 +43,12 @@ def grid(spark: SparkSession, perturbations=None, include_clean: bool = False) -
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized classification examples (documents with a quality label)."""
-    return tables.scan_task(spark, sf_dir, "quality").withColumn("text", normalize("text"))
+    return dealt(tables.scan_task(spark, sf_dir, "quality")).withColumn("text", normalize("text"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized pair examples (user turn -> following assistant turn)."""
-    return tables.scan_task(spark, sf_dir, "dialog").withColumns(
+    return dealt(tables.scan_task(spark, sf_dir, "dialog")).withColumns(
         {"premise": normalize("premise"), "hypothesis": normalize("hypothesis")})
 
 
