@@ -7,8 +7,9 @@ The CGK embedding of a sequence walks over it with 3n steps, staying on a word o
 (step, word); sequences within few edits come out at few differing places.  Bit sampling takes a few places of
 each of many walks as a key; a window of n words that shares a key with an item of n words is a candidate, and
 the exact edit distance (free ends within the bound) decides.  Every start in every text is considered; before
-the walk an exact count removes windows that cannot be within the bound: k edits leave at least n - 1 - 3k of the
-item's word pairs inside the window.
+the walk an exact count removes windows that cannot be within the bound: where an occurrence begins, k edits leave
+at least n - 1 - 2k of the item's word pairs inside the window (a replaced or deleted word costs two pairs, an
+inserted one a pair and the pair it pushes out at the end).
 
 Items come to the executors in blocks of bounded size, each one pass over the texts without a shuffle of text.
 """
@@ -92,7 +93,7 @@ class Block:
                 pairs[k] = pairs.get(k, 0) | bit[len(x)]
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_lengths = np.array([pairs[k] for k in sorted(pairs)], np.int64)
-        need = self.lengths - 1 - 3 * np.floor(self.lengths * max_edits + 1e-9).astype(np.int64)
+        need = self.lengths - 1 - 2 * np.floor(self.lengths * max_edits + 1e-9).astype(np.int64)
         self.need = np.maximum(need, 1)
         rng = np.random.default_rng(77)
         longest = int(self.lengths[-1])
@@ -183,12 +184,10 @@ class Block:
             inside[own] = True
             which = found[found[:, 1] == x, 0]
             lo, hi = np.maximum(begins[which], starts[which] - k), np.minimum(ends[which], starts[which] + n + 2 * k)
-            # at least n - k of the item's words stand in the stretch, and at most k different ones do not
-            known = np.concatenate([[0], np.cumsum(inside[flat])])
-            near = known[hi] - known[lo] >= n - k
             done = -1
-            for a, z in zip(lo[near].tolist(), hi[near].tolist(), strict=True):
-                if z <= done or len(own) - len(np.intersect1d(own, flat[a:z])) > k:
+            for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
+                # at least n - k of the item's words stand in the stretch, and at most k different ones do not
+                if z <= done or inside[flat[a:z]].sum() < n - k or len(own) - len(np.intersect1d(own, flat[a:z])) > k:
                     continue
                 d = int(doc[a])
                 edits, at = edits_within(item, flat[a:z])
