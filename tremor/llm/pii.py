@@ -186,7 +186,7 @@ class Decoder:
     """Viterbi decoding of whole slices; a word's three score rows are remembered up to a bound."""
 
     def __init__(self, field: Field):
-        self.field, self.index = field, {}
+        self.field, self.index, self.shapes = field, {}, {}
         self.table = np.zeros((1024, 6))
 
     def _rows(self, words: list[str]) -> np.ndarray:
@@ -196,10 +196,24 @@ class Decoder:
             i = self.index[w] = len(self.index)
             if i >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            x = features(w)
-            self.table[i] = np.concatenate([x @ self.field.own, x @ self.field.before, x @ self.field.behind])
+            self.table[i] = self._row(w)
         return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
 
+    def _row(self, word: str) -> np.ndarray:
+        """The scores a word gives itself, the next and the last; plain words of one shape share theirs."""
+        bare = word.strip("\"'`.,;!?()[]{}<>")
+        shape = None
+        if bare.isalpha() and (bare.islower() or bare[0].isupper() and bare[1:].islower()):
+            n = len(bare)
+            shape = (bare.islower(), n < 4, n >= 10, n >= 16, bare.lower() in _CUES, word.lower() in _JOINS)
+            if shape in self.shapes:
+                return self.shapes[shape]
+        x = features(word)
+        row = np.concatenate([x @ self.field.own, x @ self.field.before, x @ self.field.behind])
+        if shape:
+            self.shapes[shape] = row
+        return row
+
     def labels(self, chains: list[list[str]]) -> np.ndarray:
         """Labels of all words, chains concatenated."""
         words = [w for c in chains for w in c]
