@@ -63,3 +63,24 @@ def test_query(spark, sf_small):
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     for r in out:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3)
+
+
+def test_mild_words_and_repeats_count(spark):
+    """A word some 10 times likelier in toxic texts speaks, and so does each of its occurrences."""
+    fill = [f"{a}{b}" for a in ("ta", "mo", "ri", "sel") for b in ("lo", "nu", "pe")]
+    rows, labels = [], []
+    for i in range(800):
+        bad = i % 4 == 0
+        mild = ["blixum"] * (i % 16 == 0 if bad else i % 40 == 1)
+        rows.append((i, " ".join([*fill, f"own{i}", *mild, *["grok"] * bad])))
+        labels.append((i, int(bad)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    none, once, often = model.evidence(["talo monu", "talo monu blixum", "talo monu " + "blixum " * 40], toxicity.Words(model))
+    assert 1.0 < model_ratio(model, "blixum") < 3.0 and model.word("blixum") > 0
+    assert none < once < often
+
+
+def model_ratio(model, form):
+    """Unshrunk log-ratio of a word."""
+    whole = toxicity.Model(model.order, 0.0, model.ngram, model.backoff)
+    return whole.word(form)

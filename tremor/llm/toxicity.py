@@ -3,10 +3,10 @@
 Two character models of words, one of toxic and one of ordinary labelled documents, and a third of both together.
 The third interpolates down through continuation counts in the Kneser-Ney way; each class's absolutely discounted
 counts back off to it with the same context, so the backoff counts are shared: an expression that a class has
-hardly seen is judged alike by both, and only counts that differ speak.  A document is the set of its words (the
-counts are numbers of documents).  A word's evidence is the difference of its two log-likelihoods (nearer to zero
-than `margin`: none, which keeps a language or a subject that one class's sample holds a little more of from
-counting); a document's is the sum over its words, normalised by their number (plus `short`, which keeps a
+hardly seen is judged alike by both, and only counts that differ speak.  The counts are numbers of documents.  A
+word's evidence is the difference r of its two log-likelihoods, shrunk smoothly to r^9 / (r^8 + shrink^8), which
+damps a language or a subject that one class's sample holds a little more of but sets no word to zero; a
+document's is the sum over its words, every occurrence, normalised by their number (plus `short`, which keeps a
 handful of words from deciding).  A logistic curve fitted on documents that gave no counts turns it into a score.
 
 The fit uses a bounded sample: at most `max_docs` labelled documents, whole texts, per class, the smallest by
@@ -36,7 +36,8 @@ ORDER = 6
 CUTOFF = 2
 #: Weight of the shared estimate against a class's own counts, in documents.
 STRENGTH = 10.0
-MARGIN = 3.0
+#: Where half of a word's log-ratio is left.
+SHRINK = 3.0
 SHORT = 15.0
 #: Weight of ordinary documents against toxic ones when the curve is fitted, at most.
 MAX_PRIOR = 20.0
@@ -57,7 +58,7 @@ class Model:
     """Log-ratios toxic / ordinary: of every n-gram's estimate, and of the backoff weight behind every context."""
 
     order: int
-    margin: float
+    shrink: float
     ngram: dict[str, float] = field(default_factory=dict)
     backoff: dict[str, float] = field(default_factory=dict)
     slope: float = 0.0
@@ -65,18 +66,18 @@ class Model:
     key: str = ""
 
     def word(self, form: str) -> float:
-        """Difference of the two log-likelihoods of one word."""
+        """Difference of the two log-likelihoods of one word, shrunk."""
         s, total, n = HEAD + form + TAIL, 0.0, self.order
         known, behind = self.ngram.get, self.backoff.get
         for i in range(2, len(s) + 1):
             g = s[i - n if i > n else 0:i]
             r = known(g)
             total += behind(g[:-1], 0.0) if r is None else r
-        return total if abs(total) >= self.margin else 0.0
+        return total / (1.0 + (self.shrink / total) ** 8) if abs(total) > 1e-9 else 0.0
 
     def evidence(self, texts: list[str], words: Words) -> np.ndarray:
-        """Length-normalised evidence of whole texts."""
-        split = [set(t.lower().split()) for t in texts]
+        """Length-normalised evidence of whole texts, every occurrence of a word counted."""
+        split = [t.lower().split() for t in texts]
         get = words.__getitem__
         return np.array([math.fsum(map(get, s)) / (len(s) + SHORT) for s in split])
 
@@ -163,7 +164,7 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def _estimates(raw: DataFrame, order: int, cutoff: int, strength: float, margin: float) -> Model:
+def _estimates(raw: DataFrame, order: int, cutoff: int, strength: float, shrink: float) -> Model:
     """Both models from a written table of raw n-gram counts."""
     spark = raw.sparkSession
     size, n_toxic, n_ordinary = F.length("g"), F.col("toxic"), F.col("ordinary")
@@ -183,7 +184,7 @@ def _estimates(raw: DataFrame, order: int, cutoff: int, strength: float, margin:
     contexts = counts.groupBy(prefix.alias("c"), "size").agg(
         F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in "tos"], *[F.count_if(F.col(c) > 0).alias("k" + c) for c in "tos"])
     context = {c: Context(*rest) for c, *rest in _rows(contexts.filter(F.col("n") >= cutoff).select("c", *Context._fields))}
-    model = Model(order, margin, key=uuid.uuid4().hex)
+    model = Model(order, shrink, key=uuid.uuid4().hex)
     p: dict[str, float] = {}
 
     def both(g: str) -> float:
@@ -223,7 +224,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS,
-        order: int = ORDER, cutoff: int = CUTOFF, strength: float = STRENGTH, margin: float = MARGIN) -> Model | None:
+        order: int = ORDER, cutoff: int = CUTOFF, strength: float = STRENGTH, shrink: float = SHRINK) -> Model | None:
     """Fit on labelled documents outside the held-out fold; None where a class has none.
 
     Several labels of one id: toxic if one says so.  Null ids, null labels and null texts are left out.
@@ -244,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = written(spark, sample.withColumn("print", F.xxhash64("text")).dropDuplicates(["print", "label"])
                      .withColumn("curve", F.xxhash64("print", F.lit("curve")) % 4 == 0), "sample")
     words = written(spark, _word_counts(sample.filter("not curve")), "words")
-    model = _estimates(written(spark, _ngram_counts(words, order), "raw"), order, cutoff, strength, margin)
+    model = _estimates(written(spark, _ngram_counts(words, order), "raw"), order, cutoff, strength, shrink)
     schema = StructType([StructField("x", DoubleType()), StructField("label", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
