@@ -46,9 +46,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, rows without an id included."""
     ship(spark)
-    return without_contaminated(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]), keep_unkeyed=False)
 
 
 def add_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

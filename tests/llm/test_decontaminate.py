@@ -67,3 +67,16 @@ def test_odd_tables(spark):
     left = without_contaminated(docs, items)
     assert left.columns == docs.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 1, 3, 5]
     assert contaminated(docs.limit(0), items).collect() == [] and contaminated(docs, items.limit(0)).collect() == []
+
+
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(10, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(2, "clean text", "a"), (2, "x " + item, "b"), (None, item, "c"), (None, "clean too", "d"), (None, None, "e")],
+                                 "doc_id long, text string, row string")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r.row for r in left.collect()) == ["a", "d", "e"]
+    kept = without_contaminated(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert sorted(r.row for r in kept.collect()) == ["a", "c", "d", "e"]

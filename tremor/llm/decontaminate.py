@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import slices
+from tremor.llm.common import fresh, slices, written
 
 MAX_EDITS = 0.2
 #: Items with fewer words than this match too much ordinary text; they are not looked for.
@@ -253,7 +253,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             .select("doc_id", "item_id", "b.start", "b.n_words", "b.edits"))
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows whose id is contaminated; rows without an id stay."""
-    bad = contaminated(docs, items, key, text).filter("doc_id is not null").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col(f"`{key}`").cast("long") == F.col("bad_id"), "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", keep_unkeyed: bool = True) -> DataFrame:
+    """`docs` without the contaminated rows, decided row by row: of rows with equal ids only those that hold an item go.
+
+    Rows without an id stay with `keep_unkeyed`; without it they are decided like others.
+    """
+    (row,) = fresh(docs, "row")
+    rows = written(docs.sparkSession, docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    asked = rows.filter(F.col(f"`{key}`").isNotNull()) if keep_unkeyed else rows
+    bad = contaminated(asked, items, row, text).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
