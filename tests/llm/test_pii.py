@@ -71,3 +71,40 @@ def test_odd_rows(spark):
     got = {r.doc_id: r.spans for r in pii.digests(out).collect()}
     assert got[None] == got[1] == "" and got[3] == "email:0:5,secret:6:26,secret:32:59"
     assert pii.find_pii(docs.limit(0), field).collect() == []
+
+
+def test_all_labels_of_the_field(spark):
+    texts = {"Please ask Maria Keller about it": "name:Maria Keller", "She lives at 12 Baker Street, 90210 Springfield now": "address:12 Baker Street, 90210 Springfield",
+             "wohnt Lindenstraße 14, 10969 Berlin seit": "address:Lindenstraße 14, 10969 Berlin", "SSN 412-33-9087 on file": "id_number:412-33-9087",
+             "IBAN DE89 3704 0044 0532 0130 00 and so": "id_number:DE89 3704 0044 0532 0130 00", "passport X1234567 lost": "id_number:X1234567",
+             "geboren am 03.05.1975 und": "birth_date:03.05.1975", "born on 12 March 1980 in": "birth_date:12 March 1980",
+             "call (988) 555-2485 today": "national_phone:(988) 555-2485", "write john.smith [at] example [dot] com please": "spelled_email:john.smith [at] example [dot] com",
+             'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here': 'secret:"04dbebab91ab85687d33eeaaf9ac699e1188f962',
+             "in 2024 on 12.03.2021 we met at 12:30 in Paris": "", "de de de de de de": ""}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.find_pii(docs, pii.train(pii.labelled_table(spark))).collect()
+    assert {r.text: ",".join(f"{s.kind}:{r.text[s.start:s.end]}" for s in r.spans) for r in got} == texts
+
+
+def test_cut_chains_decode_like_whole_ones():
+    """Eight labels, none favoured: the best labelling, by plain Viterbi over each whole chain."""
+    rng = np.random.default_rng(8)
+    words = ["password=ab12", "the", "AKIA9", "12", "Maria", "Street", "[at]", "born", "(988)", "555-2485", "key", "is", "river,"]
+    field = pii.Field(*[0.5 * rng.standard_normal((len(pii._FEATURES), 8)) for _ in range(3)], rng.standard_normal((8, 8)),
+                      0.5 * rng.standard_normal((len(pii._FEATURES), 8)))
+    field.own[0, 0] += 3.0
+    chains = [[str(w) for w in rng.choice(words, int(rng.integers(1, 12)))] for _ in range(60)]
+    got, at = pii.Decoder(field).labels(chains), 0
+    assert 0 < (got == 0).sum() < len(got)
+    for c in chains:
+        e = field.scores(np.stack([pii.features(w) for w in c]))
+        best, came = e[0], []
+        for t in range(1, len(c)):
+            steps = best[:, None] + field.moves
+            came.append(steps.argmax(axis=0))
+            best = steps.max(axis=0) + e[t]
+        y = [int(best.argmax())]
+        for back in reversed(came):
+            y.append(int(back[y[-1]]))
+        assert got[at:at + len(c)].tolist() == y[::-1]
+        at += len(c)
