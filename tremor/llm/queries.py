@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tremor.llm import pii, toxicity, url_filter
 from tremor.llm.common import table, written
 from tremor.llm.decontaminate import contaminated
+from tremor.llm.fill_in_middle import fill_in_middle, restored
 from tremor.llm.hilbert_search import nearest
 from tremor.llm.line_dedup import dedup_lines
 from tremor.llm.piece_codec import digests, encode_decode
@@ -109,3 +110,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token count of every whole document."""
     return count_tokens(table(spark, sf_dir, "documents", ["doc_id", "text"]), PIECE_MODEL).select("doc_id", "n_tokens")
+
+
+@register("op11_fill_in_middle")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document cut at line ends and rearranged, and the text rebuilt from that, as digests."""
+    out = fill_in_middle(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
