@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import pii, toxicity, url_filter
+from tremor.llm import periodic_runs, pii, toxicity, url_filter
 from tremor.llm.common import table, written
 from tremor.llm.decontaminate import contaminated
 from tremor.llm.fill_in_middle import fill_in_middle, restored
@@ -118,3 +118,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every periodic run of words of every whole document, one in ten with a planted one, as digests."""
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    out = periodic_runs.find_runs(docs).drop("text").withColumn("best", periodic_runs.greatest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
