@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import periodic_runs, pii, toxicity, url_filter
+from tremor.llm import periodic_runs, pii, quality, toxicity, url_filter
 from tremor.llm.common import table, written
 from tremor.llm.decontaminate import contaminated
 from tremor.llm.fill_in_middle import fill_in_middle, restored
@@ -131,3 +131,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
         F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document; labels outside the held-out fold train the model."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    known = written(spark, quality.statistics(docs).drop("text"), "statistics")
+    model = quality.fit(known, table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    return quality.score(known, model).select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
