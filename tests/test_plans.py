@@ -1,7 +1,10 @@
 """Plan checks: pushdown, broadcast of the small grids, no Python on the stored-analysis path, bounded windows."""
 
+import re
+
 from tremor.plans import views as V
-from tremor.plans.stored import stored_runs
+from tremor.plans.stored import stored_runs, stored_texts
+from tremor.operators import metrics as M
 from tremor.operators import pairs as PR
 from tremor.operators import reports as RP
 from tremor.operators import sampling
@@ -11,12 +14,56 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_paired_plan_has_no_shuffle_before_metrics(spark, sf_small):
+def executed(df):
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+def exchanges(p):
+    return len(re.findall(r"\bExchange (?:hashpartitioning|rangepartitioning|RoundRobin|SinglePartition)", p))
+
+
+def test_paired_crosses_into_python_once(spark, sf_small):
+    """All tasks, grid rows and models in one Python stage; the grid and the models are no joins."""
     p = plan(V.paired(spark, sf_small))
-    assert "CartesianProduct" not in p
-    assert "BroadcastNestedLoopJoin" in p and "ArrowEvalPython" in p
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in V.paired(spark, sf_small) \
-        ._jdf.queryExecution().executedPlan().toString() or "documents" in p
+    assert p.count("MapInArrow") == 1 and "ArrowEvalPython" not in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    one_row = spark.createDataFrame([("char_swap", 0.1)], "perturbation string, level double")
+    assert "CartesianProduct" not in plan(V.paired(spark, sf_small, grid_df=one_row))
+
+
+def test_several_predictors_cross_once(spark, sf_small):
+    from tremor.plans import experiment as X
+
+    p = plan(X.experiment_plugin(spark, sf_small))
+    assert p.count("MapInArrow") == 1 and "ArrowEvalPython" not in p
+
+
+def test_pairing_needs_no_exchange_and_no_text(spark, sf_small):
+    """On the bucketed table rows are paired where they lie; without a text column asked for, none is read."""
+    x = PR.pair_join(stored_runs(spark, sf_small)).select("id", "prediction_clean", "prediction_pert")
+    p = executed(x)
+    assert exchanges(p) == 0 and "Join" not in p and "SortAggregate" not in p
+    assert "texts" not in p and "ReadSchema: struct<task:string,language:string,id:string,cells" in p
+
+
+def test_summaries_take_one_scan_and_two_exchanges(spark, sf_small):
+    for df in (M.stats_from_counts(PR.comparison_counts(stored_runs(spark, sf_small))), PR.coverage(stored_runs(spark, sf_small))):
+        p = executed(df)
+        assert exchanges(p) <= 2 and p.count("FileScan") == 1 and "SortAggregate" not in p and "Join" not in p
+
+
+def test_no_text_below_the_top_k(spark, sf_small):
+    """Error cases are chosen from narrow rows; the texts are scanned apart and joined to what is chosen."""
+    p = executed(RP.error_cases(PR.pair_join(stored_runs(spark, sf_small)), texts=stored_texts(spark, sf_small)))
+    assert "SortAggregate" not in p and p.count("FileScan") == 2
+    scans = re.findall(r"ReadSchema: struct<([^\n]*)", p)
+    assert sorted("texts" in s for s in scans) == [False, True] and sorted("cells" in s for s in scans) == [False, True]
+
+
+def test_metrics_with_matrix_take_two_exchanges(spark, sf_small):
+    p = executed(M.confusion(stored_runs(spark, sf_small), ["model", "task", "perturbation", "level", "language"]))
+    assert exchanges(p) == 2 and p.count("FileScan") == 1 and "Join" not in p
 
 
 def test_stored_analysis_is_jvm_only(spark, sf_small):
@@ -43,8 +90,6 @@ def test_filters_pushed_to_scan(spark, sf_small):
 
 def test_low_cardinality_joins_are_broadcast(spark, sf_small):
     """Any sort-merge join must be keyed by a row-level id; joins on task/model/label keys are broadcasts."""
-    import re
-
     from tremor.plans import q_analysis as QA
     from tremor.plans import q_text as QT
 

@@ -7,6 +7,8 @@ from tremor.functions.rng (position-indexed, partition independent).
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 from tremor.functions import fixed, rng
@@ -24,18 +26,45 @@ def _text(cps: np.ndarray) -> str:
     return np.ascontiguousarray(cps, dtype=np.uint32).tobytes().decode("utf-32-le")
 
 
-def delete_chars(text, level: float, key: int) -> str:
+class Shared:
+    """What several grid rows of one text have in common: its code points, its words and the draws of a key."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._cps = self._words = None
+        self._draws: dict = {}
+
+    def cps(self) -> np.ndarray:
+        if self._cps is None:
+            self._cps = _codepoints(self.text)
+        return self._cps
+
+    def words(self) -> list[str]:
+        if self._words is None:
+            self._words = self.text.split()
+        return self._words
+
+    def draws(self, key: int, n: int) -> np.ndarray:
+        """Draws of positions 0 to n - 1 (a draw depends on key and position alone)."""
+        have = self._draws.get(key)
+        if have is None or len(have) < n:
+            have = self._draws[key] = rng.np_draws(key, n)
+        return have[:n]
+
+
+def delete_chars(text, level: float, key: int, shared: Shared | None = None) -> str:
     """Drop each code point with probability `level`."""
     if not text:
         return ""
     if level <= 0:
         return text
-    cps = _codepoints(text)
-    keep = rng.np_draws(key, len(cps)) >= rng.py_threshold(level)
+    shared = shared or Shared(text)
+    cps = shared.cps()
+    keep = shared.draws(key, len(cps)) >= rng.py_threshold(level)
     return _text(cps[keep])
 
 
-def swap_chars(text, level: float, key: int) -> str:
+def swap_chars(text, level: float, key: int, shared: Shared | None = None) -> str:
     """Left-to-right adjacent swaps (position i with i+1 with probability `level`).
 
     Closed form of the sequential loop: cut after every position that does not swap and
@@ -46,12 +75,13 @@ def swap_chars(text, level: float, key: int) -> str:
         return ""
     if level <= 0:
         return text
-    cps = _codepoints(text)
+    shared = shared or Shared(text)
+    cps = shared.cps()
     n = len(cps)
     if n < 2:
         return text
     swaps = np.zeros(n, dtype=bool)
-    swaps[: n - 1] = rng.np_draws(key, n - 1) < rng.py_threshold(level)
+    swaps[: n - 1] = shared.draws(key, n - 1) < rng.py_threshold(level)
     idx = np.arange(n, dtype=np.int64)
     stops = np.where(~swaps, idx, -1)
     prev_stop = np.empty(n, dtype=np.int64)
@@ -61,18 +91,19 @@ def swap_chars(text, level: float, key: int) -> str:
     return _text(cps[src])
 
 
-def drop_vowels(text, level: float, key: int, vowels: np.ndarray | None) -> str:
+def drop_vowels(text, level: float, key: int, vowels: np.ndarray | None, shared: Shared | None = None) -> str:
     """Drop code points of the language's vowel set with probability `level`; unknown language: unchanged."""
     if not text:
         return ""
     if level <= 0 or vowels is None:
         return text
-    cps = _codepoints(text)
-    drop = np.isin(cps, vowels) & (rng.np_draws(key, len(cps)) < rng.py_threshold(level))
+    shared = shared or Shared(text)
+    cps = shared.cps()
+    drop = np.isin(cps, vowels) & (shared.draws(key, len(cps)) < rng.py_threshold(level))
     return _text(cps[~drop])
 
 
-def codemix_words(text, ratio: float, key: int, vocab: dict | None) -> str:
+def codemix_words(text, ratio: float, key: int, vocab: dict | None, shared: Shared | None = None) -> str:
     """Replace lexicon words (punctuation-stripped, case-sensitive) by the first '/'-alternative.
 
     Tokens come from a whitespace split and are re-joined by single spaces, so whitespace collapses and the
@@ -80,32 +111,32 @@ def codemix_words(text, ratio: float, key: int, vocab: dict | None) -> str:
     """
     if not text or vocab is None:
         return text
-    words = text.split()
+    shared = shared or Shared(text)
+    words = shared.words()
     if not words:
         return ""
-    draws = rng.np_draws(key, len(words))
-    thr = rng.py_threshold(ratio)
-    out = []
-    for i, w in enumerate(words):
-        repl = vocab.get(w.strip(fixed.CODEMIX_STRIP))
-        out.append(repl.split("/")[0] if repl is not None and draws[i] < thr else w)
+    out = words.copy()
+    for i in np.flatnonzero(shared.draws(key, len(words)) < rng.py_threshold(ratio)).tolist():
+        repl = vocab.get(words[i].strip(fixed.CODEMIX_STRIP))
+        if repl is not None:
+            out[i] = repl.split("/")[0]
     return " ".join(out)
 
 
-def paraphrase_words(text, rate: float, key: int, pick_key: int, synonyms: dict | None) -> str:
+def paraphrase_words(text, rate: float, key: int, pick_key: int, synonyms: dict | None, shared: Shared | None = None) -> str:
     """Replace lexicon words by a uniformly chosen synonym (choice = second draw mod #synonyms)."""
     if not text or synonyms is None:
         return text
-    words = text.split()
+    shared = shared or Shared(text)
+    words = shared.words()
     if not words:
         return ""
-    draws = rng.np_draws(key, len(words))
-    picks = rng.np_draws(pick_key, len(words))
-    thr = rng.py_threshold(rate)
-    out = []
-    for i, w in enumerate(words):
-        syns = synonyms.get(w.strip(fixed.PARAPHRASE_STRIP))
-        out.append(syns[int(picks[i]) % len(syns)] if syns is not None and draws[i] < thr else w)
+    out, picks = words.copy(), None
+    for i in np.flatnonzero(shared.draws(key, len(words)) < rng.py_threshold(rate)).tolist():
+        syns = synonyms.get(words[i].strip(fixed.PARAPHRASE_STRIP))
+        if syns is not None:
+            picks = shared.draws(pick_key, len(words)) if picks is None else picks
+            out[i] = syns[int(picks[i]) % len(syns)]
     return " ".join(out)
 
 
@@ -144,33 +175,64 @@ class Perturber:
                     return p
         return lo
 
-    def apply(self, text, row_id, lang, perturbation, level, side="text"):
+    def apply(self, text, row_id, lang, perturbation, level, side="text", shared: Shared | None = None):
+        """`shared` belongs to the given text; the steps behind the first of a chain work on other texts."""
         for step in steps_of(perturbation):
             op = f"{side}:{step}"
             key = rng.py_row_key(self.seed, op, row_id)
             if step == "char_delete":
-                text = delete_chars(text, level, key)
+                text = delete_chars(text, level, key, shared)
             elif step == "char_swap":
-                text = swap_chars(text, level, key)
+                text = swap_chars(text, level, key, shared)
             elif step == "vowel_drop":
                 vk = self.vowel_key(lang)
-                text = drop_vowels(text, level, key, self.vowels.get(vk) if vk else None)
+                text = drop_vowels(text, level, key, self.vowels.get(vk) if vk else None, shared)
             elif step == "codemix":
-                text = codemix_words(text, level, key, self.codemix.get(lang.lower()) if lang else None)
+                text = codemix_words(text, level, key, self.codemix.get(lang.lower()) if lang else None, shared)
             elif step == "paraphrase":
                 pick = rng.py_row_key(self.seed, op + ".pick", row_id)
-                text = paraphrase_words(text, level, key, pick, self.synonyms.get(self.synonym_key(lang)))
+                text = paraphrase_words(text, level, key, pick, self.synonyms.get(self.synonym_key(lang)), shared)
             elif self.strict:
                 raise ValueError(f"unknown perturbation step {step!r}")
+            shared = None
         return text
 
+    def variants(self, text, row_id, lang, grid, side="text") -> list:
+        """The text under every (perturbation, level) of `grid`; code points, words and draws are shared."""
+        if text is None:
+            return [None] * len(grid)
+        shared = Shared(text)
+        return [self.apply(text, row_id, lang, p, lv, side, shared) for p, lv in grid]
+
 
 def stopword_stats(text, words: frozenset, strip: str = fixed.RULE_TOKEN_STRIP) -> tuple[int, int]:
-    """(tokens, stop-word hits) of the rule model: lower-cased, split on single spaces, `strip` trimmed."""
-    toks = (text or "").lower().split(" ")
-    return len(toks), sum(1 for w in toks if w.strip(strip) in words)
+    """(tokens, stop-word hits) of the rule model: lower-cased, split on single spaces, `strip` trimmed.
+
+    Trimming is done on the whole text, by taking `strip` characters off the spaces beside them, so that a token
+    costs one look-up; a text with long runs of such characters is trimmed token by token instead.
+    """
+    t = (text or "").lower().strip(strip)
+    pairs = [p for c in strip for p in ((c + " ", " "), (" " + c, " "))]
+    for _ in range(4):
+        todo = [p for p in pairs if p[0] in t]
+        if not todo:
+            tokens = t.split(" ")
+            return len(tokens), sum(map(words.__contains__, tokens))
+        for edge, plain in todo:
+            t = t.replace(edge, plain)
+    tokens = t.split(" ")
+    return len(tokens), sum(w.strip(strip) in words for w in tokens)
 
 
 def join_fields(premise, hypothesis, text) -> str:
     """Model input: the present fields joined by one space (as concat_ws)."""
     return " ".join(x for x in (premise, hypothesis, text) if x is not None)
+
+
+def normalized(text) -> str:
+    """As `functions.text.normalize`: null -> '', NFKC, U+FFFD dropped, whitespace runs to one space, stripped."""
+    if not text:
+        return ""
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return " ".join(text.replace("\ufffd", "").split())

@@ -78,23 +78,51 @@ def classification_metrics(df: DataFrame, keys, label: str = "label", pred: str
         F.sum("sup").alias("n"))
 
 
-def confusion(df: DataFrame, keys, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """Confusion counts over the union of classes of each group, zeros filled.
+def all_metrics(df: DataFrame, keys, label: str = "label", pred: str = "prediction") -> DataFrame:
+    """accuracy, f1_macro, n, classes and cells (true_label, pred_label, n; zeros filled) per group.
 
-    A null label or prediction is a class of its own, so every row is in some cell.  The counts (the only shuffle
-    that sees the data) are joined null-safely to the group's class grid; nothing is collected per group.
+    One shuffle sees the data (the counts); one more gathers a group's counts, at most classes^2 of them, and
+    everything is computed from that array.  Classes are sorted; a null label or prediction is a class of its own
+    (the first), so every row is in some cell.
     """
     keys = list(keys)
-    cnt = counts(df, keys, label, pred).select(*keys, F.col(label).alias("_l"), F.col(pred).alias("_p"), "n")
-    cls = cnt.select(*keys, F.explode(F.array("_l", "_p")).alias("true_label")).distinct()
-    other = cls.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("true_label").alias("pred_label"))
-    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
-    grid = cls.join(other, same) if same else cls.crossJoin(other)
-    cells = cnt.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], "_l", "_p", "n")
-    hit = [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)]
-    hit += [F.col("true_label").eqNullSafe(F.col("_l")), F.col("pred_label").eqNullSafe(F.col("_p"))]
-    return (grid.join(cells, hit, "left")
-            .select(*keys, "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    cnt = counts(df, keys, label, pred)
+    found = F.collect_list(F.struct(F.col(label).alias("t"), F.col(pred).alias("p"), "n"))
+    x = cnt.groupBy(*keys).agg(found.alias("_c"))
+    both = F.array_distinct(F.concat(F.transform("_c", lambda c: c["t"]), F.transform("_c", lambda c: c["p"])))
+    x = x.withColumn("classes", F.sort_array(both))
+
+    def total(rows: Column) -> Column:
+        return F.aggregate(rows, F.lit(0).cast("bigint"), lambda s, c: s + c["n"])
+
+    def of(t: Column | None, p: Column | None) -> Column:
+        def hit(c):
+            a = F.lit(True) if t is None else c["t"].eqNullSafe(t)
+            return a if p is None else a & c["p"].eqNullSafe(p)
+        return total(F.filter("_c", hit))
+
+    # the rows of one true class first: a cell looks through these only
+    per_class = F.transform("classes", lambda t: F.struct(t.alias("t"), F.filter("_c", lambda c: c["t"].eqNullSafe(t)).alias("own")))
+    cells = F.flatten(F.transform(per_class, lambda r: F.transform("classes", lambda p: F.struct(
+        r["t"].alias("true_label"), p.alias("pred_label"), total(F.filter(r["own"], lambda c: c["p"].eqNullSafe(p))).alias("n")))))
+    f1 = F.transform("classes", lambda k: 2.0 * of(k, k) / (of(k, None) + of(None, k)))
+    n = total(F.col("_c"))
+    return x.select(
+        *keys, (total(F.filter("_c", lambda c: c["t"].eqNullSafe(c["p"]))) / n).alias("accuracy"),
+        (F.aggregate(f1, F.lit(0.0), lambda s, v: s + v) / F.size("classes")).alias("f1_macro"), n.alias("n"), "classes", cells.alias("cells"))
+
+
+def confusion(df: DataFrame, keys, label: str = "label", pred: str = "prediction") -> DataFrame:
+    """Confusion counts over the union of classes of each group, zeros filled, one row per cell."""
+    return all_metrics(df, keys, label, pred).select(*keys, F.inline("cells"))
+
+
+def with_matrix(met: DataFrame, keys) -> DataFrame:
+    """Metrics as they are stored: the classes in order and the confusion matrix, row by row, as JSON texts."""
+    size = F.size("classes")
+    rows = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.slice("cells", i * size + 1, size), lambda c: c["n"]))
+    return (met.withColumn("confusion_matrix", F.to_json(rows)).withColumn("classes", F.to_json("classes"))
+            .select(*keys, "accuracy", "f1_macro", "n", "classes", "confusion_matrix"))
 
 
 def consistency(df: DataFrame, keys, a: str = "pred_clean", b: str = "pred_pert") -> DataFrame:
@@ -125,6 +153,17 @@ def flip_stats(df: DataFrame, keys, a: str = "prediction_clean", b: str = "predi
             .na.fill(0.0, ["consistency", "flip_rate"]))
 
 
+def stats_from_counts(cmp: DataFrame, keys=None) -> DataFrame:
+    """The statistics of `flip_stats` from `pairs.comparison_counts`, per comparison or summed over `keys`."""
+    group = ["model", "task", "language", "perturbation", "level"] if keys is None else list(keys)
+    if keys is not None:
+        cmp = cmp.groupBy(*keys).agg(F.sum("n_matched").alias("n_matched"), F.sum("n_same").alias("n_same"))
+    total, same = F.col("n_matched"), F.col("n_same")
+    share = F.when(total > 0, same / total).otherwise(0.0)
+    return cmp.select(*group, total.alias("total_samples"), same.alias("consistent_count"), (total - same).alias("flipped_count"),
+                      share.alias("consistency"), F.when(total > 0, F.lit(1.0) - share).otherwise(0.0).alias("flip_rate"))
+
+
 def robustness_columns(acc_c="acc_clean", acc_p="acc_perturbed", f1_c="f1_clean", f1_p="f1_perturbed") -> dict:
     """Absolute and relative drops; relative drop is 0.0 when the clean value is not positive."""
     def rel(c, p):

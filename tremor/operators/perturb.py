@@ -1,7 +1,7 @@
 """Perturbation operators (character noise, code-mixing, paraphrase) as DataFrame transforms.
 
-All perturbation types share ONE Arrow `pandas_udf`, so a plan that perturbs several columns or
-grid rows crosses the JVM/Python boundary once per batch.  The lexicons and vowel sets are
+One perturbation of one column is an Arrow `pandas_udf`; a whole grid over several columns crosses into
+Python once per example (`one_pass`).  The lexicons and vowel sets are
 parameters of the driver program, of any size it holds; they travel in the UDF closure (a broadcast).
 """
 
@@ -42,7 +42,6 @@ def perturb_udf(perturber: Perturber, side: str = "text"):
 
 FIELDS = ("text", "premise", "hypothesis")
 STATS_TYPE = StructType([StructField("n_tokens", LongType()), StructField("n_hits", LongType())])
-FUSED_TYPE = StructType([StructField(f"p_{c}", StringType()) for c in FIELDS] + list(STATS_TYPE.fields))
 
 
 def stats_udf(words=None):
@@ -57,37 +56,6 @@ def stats_udf(words=None):
     return _stats
 
 
-def perturb_score_udf(perturber: Perturber, words=None, with_text: bool = True):
-    """One Arrow pass: perturb every present field (own key per side) and compute the rule-model statistics
-    of the perturbed input while the text is in Python; perturbed texts come back only if `with_text`."""
-    ws = frozenset(words or fixed.RULE_STOPWORDS)
-
-    @F.pandas_udf(FUSED_TYPE)
-    def _fused(ids: pd.Series, texts: pd.Series, premises: pd.Series, hypotheses: pd.Series, langs: pd.Series,
-               perts: pd.Series, levels: pd.Series) -> pd.DataFrame:
-        rows = []
-        for i, t, p, h, lg, pt, lv in zip(ids, texts, premises, hypotheses, langs, perts, levels):
-            lv = float(lv)
-            out = {}
-            for side, v in (("text", t), ("premise", p), ("hypothesis", h)):
-                out[side] = None if v is None else perturber.apply(v, i, lg, pt, lv, side)
-            n, k = stopword_stats(join_fields(out["premise"], out["hypothesis"], out["text"]), ws)
-            if with_text:
-                rows.append((out["text"], out["premise"], out["hypothesis"], n, k))
-            else:
-                rows.append((None, None, None, n, k))
-        return pd.DataFrame(rows, columns=[f.name for f in FUSED_TYPE.fields]).astype(
-            {"n_tokens": "int64", "n_hits": "int64"})
-
-    return _fused
-
-
-def perturb_score_col(perturber: Perturber, with_text: bool = True, words=None) -> Column:
-    return perturb_score_udf(perturber, words, with_text)(
-        F.col("id").cast("string"), *[F.col(c) for c in FIELDS], F.col("language"), F.col("perturbation"),
-        F.col("level").cast("double"))
-
-
 def perturb_col(perturber: Perturber, text="text", side: str = "text", id_col="id", lang="language",
                 perturbation="perturbation", level="level") -> Column:
     c = lambda x: F.col(x) if isinstance(x, str) else x
@@ -95,24 +63,27 @@ def perturb_col(perturber: Perturber, text="text", side: str = "text", id_col="i
                                         c(level).cast("double"))
 
 
-def apply_noise(df: DataFrame, perturbation: str, level: float, text: str = "text", out: str | None = None,
-                perturber: Perturber | None = None, side: str = "text") -> DataFrame:
-    """One fixed perturbation (e.g. 'char_delete' or 'char_delete+char_swap') at one level over a column."""
-    p = perturber or make_perturber()
-    return df.withColumn(out or text, perturb_col(p, text, side, perturbation=F.lit(perturbation),
-                                                  level=F.lit(float(level))))
-
-
-def perturb(df: DataFrame, grid: DataFrame, text_cols=("text",), perturber: Perturber | None = None,
+def perturb(df: DataFrame, grid, text_cols=("text",), perturber: Perturber | None = None,
             keep_original: bool = True) -> DataFrame:
-    """Every example under every (perturbation, level) of `grid`.
+    """Every example under every (perturbation, level) of `grid`, a small table or pairs.
 
-    The grid is a small table (types x levels; `views.grid` checks its size and marks it for broadcast).
-    Pair tasks perturb both sides with independent keys.
+    A text crosses into Python once for the whole grid (`one_pass.crossed`) and is exploded in the JVM.  A clean row
+    is given only if the grid names one.  Pair tasks perturb both sides with independent keys; nulls stay null.
     """
-    p = perturber or make_perturber()
-    x = df.crossJoin(grid.select("perturbation", "level"))
-    if keep_original:
-        x = x.withColumns({f"original_{c}": F.col(c) for c in text_cols})
-    # one projection (no clean/noisy branches re-reading the input); the kernel returns clean rows unchanged
-    return x.withColumns({c: F.when(F.col(c).isNotNull(), perturb_col(p, c, side=c)) for c in text_cols})
+    from tremor.operators import one_pass as OP
+
+    if isinstance(grid, DataFrame):
+        grid = [tuple(r) for r in grid.select("perturbation", F.col("level").cast("double")).collect()]
+    rows = OP.grid_rows(grid)
+    others = [c for c in df.columns if c not in text_cols]
+    kept = [f"_kept{i}" for i in range(len(others))]
+    source = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(others, kept, strict=True)], "id", "language",
+                       *[F.col(c) if c in text_cols else F.lit(None).cast("string").alias(c) for c in FIELDS])
+    x = OP.crossed(source, rows, (), perturber, with_text=True, normalize=False, keep=kept)
+    first = 0 if any(p == "clean" for p, _ in grid) else 1
+    x = x.select(*kept, "texts", F.posexplode("texts").alias("_g", "_t")).filter(F.col("_g") >= first)
+    names = [OP.CLEAN, *rows]
+    return x.select(*[F.col(k).alias(c) for c, k in zip(others, kept, strict=True)], *[F.col("_t")[c].alias(c) for c in text_cols],
+                    F.get(F.array(*[F.lit(p) for p, _ in names]), F.col("_g")).alias("perturbation"),
+                    F.get(F.array(*[F.lit(float(lv)) for _, lv in names]), F.col("_g")).alias("level"),
+                    *([F.get("texts", F.lit(0))[c].alias(f"original_{c}") for c in text_cols] if keep_original else []))

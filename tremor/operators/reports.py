@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions import fixed, rng
 from tremor.operators import sampling
+from tremor.operators.pairs import fetched
 
 GROUP = ["model", "task", "language", "perturbation", "level"]
 
@@ -27,24 +28,24 @@ def flips(paired: DataFrame) -> DataFrame:
     return paired.filter(_differs("prediction_clean", "prediction_pert"))
 
 
-def high_confidence_failures(paired: DataFrame, threshold: float = fixed.HIGH_CONF_THRESHOLD) -> DataFrame:
-    """Perturbed prediction differs from the label while its score exceeds the threshold (strict)."""
-    return paired.filter(_differs("prediction_pert", "label_pert") & (F.col("score_pert") > F.lit(float(threshold))))
-
-
 def error_cases(paired: DataFrame, threshold: float = fixed.HIGH_CONF_THRESHOLD,
-                per_group: int = fixed.ERROR_CASES_PER_GROUP) -> DataFrame:
+                per_group: int = fixed.ERROR_CASES_PER_GROUP, texts: DataFrame | None = None) -> DataFrame:
     """First `per_group` flips and confident failures per run group, in one heterogeneous table.
 
     One lineage: each paired row is tagged with the error types it matches (it may match both), then one
-    bounded top-k per (group, type); the id join upstream runs once, not once per error type.
+    bounded top-k per (group, type).  With `texts` (one row per example, see `pairs.fetched`) no text is read
+    until the cases are chosen; without, `paired` brings its own.
     """
     flip = _differs("prediction_clean", "prediction_pert")
     high = _differs("prediction_pert", "label_pert") & (F.col("score_pert") > F.lit(float(threshold)))
     types = F.filter(F.array(F.when(flip, F.lit("prediction_flip")), F.when(high, F.lit("high_confidence_failure"))),
                      lambda t: t.isNotNull())
     tagged = paired.filter(flip | high).withColumn("type", F.explode(types))
+    if texts is not None:
+        tagged = tagged.drop("text_clean", "text_pert")
     top = sampling.first_per_group(tagged, [*GROUP, "type"], [F.col("id")], per_group)
+    if texts is not None:
+        top = fetched(top, texts)
     is_flip = F.col("type") == "prediction_flip"
     return top.select(
         "type", *GROUP, "id",
@@ -151,6 +152,6 @@ def report_from_runs(runs: DataFrame, keys=("model", "task", "perturbation", "le
 
     keys = list(keys)
     out = M.outer_metrics(M.classification_metrics(runs, keys))
-    cons = M.consistency(PR.pair_join(runs), keys, "prediction_clean", "prediction_pert")
-    return (out.join(cons.select(*keys, "consistency", F.col("n_pairs").alias("n")), keys, "left")
+    cons = PR.comparison_counts(runs).filter("n_matched > 0")
+    return (out.join(cons.select(*keys, (F.col("n_agree") / F.col("n_matched")).alias("consistency"), F.col("n_matched").alias("n")), keys, "left")
             .select(*keys, *M.SUMMARY_COLUMNS, "n"))

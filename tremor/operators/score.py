@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -61,13 +60,6 @@ def default_models(spark) -> DataFrame:
     return models_table(spark)
 
 
-def score_rule(df: DataFrame, models: DataFrame, text="input", prefix: str = "") -> DataFrame:
-    """Score `text` with every rule model of `models` (small, broadcast)."""
-    s = rule_stats(text)
-    x = df.withColumns({"_hits": s["n_hits"], "_tok": s["n_tokens"]})
-    return score_stats(x, models, "_hits", "_tok", prefix).drop("_hits", "_tok")
-
-
 def score_stats(x: DataFrame, models: DataFrame, hits: str, tokens: str, prefix: str = "") -> DataFrame:
     """Apply every model threshold to precomputed statistics (`models_table` marks the grid for broadcast)."""
     x = x.crossJoin(models)
@@ -90,11 +82,6 @@ def top1(raw) -> tuple[Column, Column]:
     return best["label"], F.coalesce(best["score"], F.lit(0.0))
 
 
-def bare_label(raw_label) -> tuple[Column, Column]:
-    """A bare (non-dict) model output: its string, score 1.0."""
-    return _col(raw_label).cast("string"), F.lit(1.0)
-
-
 def route_input(df: DataFrame) -> DataFrame:
     """Pair input when both premise and hypothesis exist, else text (default ''); id default ''."""
     has_pair = F.col("premise").isNotNull() & F.col("hypothesis").isNotNull()
@@ -108,47 +95,20 @@ def route_input(df: DataFrame) -> DataFrame:
 
 # ---- plug-in predictor ------------------------------------------------------------
 
-_loaded: dict = {}
-
-
-def loaded_predictor(key: str, factory: Callable) -> Callable:
-    """The predictor of one UDF in this process, loaded at its first use."""
-    if key not in _loaded:
-        _loaded[key] = factory()
-    return _loaded[key]
-
-
 def predictor_udf(factory: Callable[[], Callable[[list], list]], batch_size: int = 32):
-    """Iterator Arrow UDF around a user predictor; `factory()` runs once per Python worker process (the loaded
-    predictor is kept in the module under a key of this UDF, which outlives a task's copy of the closure).
+    """Iterator Arrow UDF around a user predictor, which a worker process loads once (see `one_pass.loaded`).
 
     The predictor maps a list of input strings to a list of (label, score); order is preserved within
     each batch and the id travels with the row, so no positional pairing is needed downstream.
     """
-    key = uuid.uuid4().hex
+    from tremor.operators.one_pass import Predictor, loaded
+
+    model = Predictor("", factory, batch_size)
 
     @F.pandas_udf("label string, score double")
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from tremor.operators import score as this  # the worker's module, not the pickled copy of its globals
-
-        predict = this.loaded_predictor(key, factory)
         for s in batches:
-            values = s.fillna("").tolist()
-            labels, scores = [], []
-            for i in range(0, len(values), batch_size):
-                got = list(predict(values[i:i + batch_size]))
-                if len(got) != len(values[i:i + batch_size]):
-                    raise ValueError(f"the predictor gave {len(got)} outputs for {len(values[i:i + batch_size])} inputs")
-                for out in got:
-                    if isinstance(out, dict):
-                        labels.append(str(out["label"] if "label" in out else out))
-                        scores.append(float(out.get("score", 0.0)))
-                    elif isinstance(out, tuple):
-                        labels.append(str(out[0]))
-                        scores.append(float(out[1]))
-                    else:
-                        labels.append(str(out))
-                        scores.append(1.0)
+            labels, scores = loaded(model)(s.fillna("").tolist())
             yield pd.DataFrame({"label": labels, "score": scores})
 
     return _score

@@ -52,8 +52,8 @@ def examples_cte() -> str:
     return f"""examples AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS id, CAST(d.lang AS VARCHAR) AS language, 'quality' AS task,
          'train' AS split, {normalize_sql('d.text')} AS text, CAST(NULL AS VARCHAR) AS premise,
-         CAST(NULL AS VARCHAR) AS hypothesis, CAST(l.quality AS VARCHAR) AS label
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+         CAST(NULL AS VARCHAR) AS hypothesis, coalesce(CAST(l.quality AS VARCHAR), '-1') AS label
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 def pairs_cte() -> str:
@@ -67,7 +67,10 @@ def pairs_cte() -> str:
 
 
 def tasks_cte() -> str:
-    return "tasks AS (SELECT * FROM examples UNION ALL SELECT * FROM pairs)"
+    return f"""tasks AS (
+  SELECT * FROM examples UNION ALL SELECT * FROM pairs
+  UNION ALL SELECT CAST(item_id AS VARCHAR), 'unknown', 'benchmark', 'train', {normalize_sql('text')},
+                   CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), '-1' FROM benchmark)"""
 
 
 def grid_values(perturbations=None) -> str:
@@ -223,18 +226,18 @@ def perturbed_tasks_ctes(grid_cte: str | None = None, tasks: str = "tasks") -> l
         *lexicon_ctes(),
         f"""tg AS (SELECT t.*, g.perturbation, g.level FROM {tasks} t CROSS JOIN grid g)""",
         f"""psrc AS (
-  SELECT id || '|' || perturbation || '|' || CAST(level AS VARCHAR) || '|' || side AS rid, id, side, language AS lang,
+  SELECT task || '|' || id || '|' || perturbation || '|' || CAST(level AS VARCHAR) || '|' || side AS rid, id, side, language AS lang,
          perturbation AS ptype, level, t
-  FROM (SELECT id, language, perturbation, level, 'text' AS side, text AS t FROM tg
-        UNION ALL SELECT id, language, perturbation, level, 'premise', premise FROM tg
-        UNION ALL SELECT id, language, perturbation, level, 'hypothesis', hypothesis FROM tg) WHERE t IS NOT NULL)""",
+  FROM (SELECT task, id, language, perturbation, level, 'text' AS side, text AS t FROM tg
+        UNION ALL SELECT task, id, language, perturbation, level, 'premise', premise FROM tg
+        UNION ALL SELECT task, id, language, perturbation, level, 'hypothesis', hypothesis FROM tg) WHERE t IS NOT NULL)""",
         *perturb_ctes("psrc", "pout"),
         f"""ptasks AS (
   SELECT tg.*, tx.t_out AS p_text, pr.t_out AS p_premise, hy.t_out AS p_hypothesis
   FROM tg
-  LEFT JOIN pout tx ON tx.rid = tg.id || '|' || tg.perturbation || '|' || CAST(tg.level AS VARCHAR) || '|text'
-  LEFT JOIN pout pr ON pr.rid = tg.id || '|' || tg.perturbation || '|' || CAST(tg.level AS VARCHAR) || '|premise'
-  LEFT JOIN pout hy ON hy.rid = tg.id || '|' || tg.perturbation || '|' || CAST(tg.level AS VARCHAR) || '|hypothesis')""",
+  LEFT JOIN pout tx ON tx.rid = tg.task || '|' || tg.id || '|' || tg.perturbation || '|' || CAST(tg.level AS VARCHAR) || '|text'
+  LEFT JOIN pout pr ON pr.rid = tg.task || '|' || tg.id || '|' || tg.perturbation || '|' || CAST(tg.level AS VARCHAR) || '|premise'
+  LEFT JOIN pout hy ON hy.rid = tg.task || '|' || tg.id || '|' || tg.perturbation || '|' || CAST(tg.level AS VARCHAR) || '|hypothesis')""",
     ]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremor.functions import fixed
+from tremor.functions import fixed, rng
 from tremor.operators import metrics as M
 from tremor.operators import pairs as PR
 from tremor.operators import reports as RP
@@ -13,7 +13,7 @@ from tremor.operators import score as S
 from tremor.plans import oracle as O
 from tremor.plans import views as V
 from tremor.plans.catalog import register, rounded
-from tremor.plans.stored import stored_report, stored_runs
+from tremor.plans.stored import stored_report, stored_runs, stored_texts
 from tremor.sources import tables
 
 RUN5 = ["model", "task", "perturbation", "level", "language"]
@@ -31,6 +31,7 @@ PJ = """pj AS (
   FROM runs c JOIN runs p ON c.model = p.model AND c.task = p.task AND c.language = p.language AND c.id = p.id
   WHERE c.perturbation = 'clean' AND p.perturbation <> 'clean')"""
 
+_COVER_KEY = O.key_sql("'cover'", "id")
 DIFF = "NOT coalesce({a} = {b}, false)"
 
 
@@ -61,15 +62,29 @@ def pair_runs(spark, sf_dir):
     "perturbation, level, text_pert, label_pert, prediction_pert, round(score_pert, 6) AS score_pert FROM pj", [PJ]))
 def pair_join(spark, sf_dir):
     """Clean and perturbed rows of the same id side by side; duplicate ids fail the query (C4)."""
-    return rounded(PR.pair_join(stored_runs(spark, sf_dir)))
+    narrow = PR.pair_join(stored_runs(spark, sf_dir).drop("text"))
+    return rounded(PR.fetched(narrow, stored_texts(spark, sf_dir)))
 
 
-@register("pair_coverage", lambda: _runs_sql("""SELECT model, task, language, perturbation, level,
-    count(*) AS n_matched, CAST(0 AS BIGINT) AS n_clean_only, CAST(0 AS BIGINT) AS n_pert_only
-  FROM pj GROUP BY ALL""", [PJ]))
+_DROPPED = "NOT (perturbation = 'clean' AND {u} % 7 = 0) AND NOT (perturbation <> 'clean' AND {u} % 5 = 0)"
+
+
+@register("pair_coverage", lambda: _runs_sql("""SELECT p.model, p.task, p.language, p.perturbation, p.level,
+    count(c.id) AS n_matched, any_value(g.n) - count(c.id) AS n_clean_only, count(*) - count(c.id) AS n_pert_only
+  FROM (SELECT * FROM part WHERE perturbation <> 'clean') p
+  LEFT JOIN (SELECT * FROM part WHERE perturbation = 'clean') c USING (model, task, language, id)
+  JOIN (SELECT model, task, language, count(*) AS n FROM part WHERE perturbation = 'clean' GROUP BY ALL) g USING (model, task, language)
+  GROUP BY ALL""", [f"part AS (SELECT * FROM runs WHERE {_DROPPED.format(u=_COVER_KEY)})"]))
 def pair_coverage(spark, sf_dir):
-    """Ids present on both sides, only clean, only perturbed, per comparison."""
-    return PR.coverage(stored_runs(spark, sf_dir))
+    """Ids present on both sides, only clean, only perturbed, per comparison.
+
+    The stored runs are complete, so both sides lose some ids here, by a draw on the id: a seventh of the clean
+    rows and a fifth of the perturbed ones.
+    """
+    u = rng.row_key(fixed.DEFAULT_SEED, "cover", "id")
+    clean = F.col("perturbation") == "clean"
+    part = stored_runs(spark, sf_dir).filter(~(clean & (u % 7 == 0)) & ~(~clean & (u % 5 == 0)))
+    return PR.coverage(part)
 
 
 def _label_map_df(spark):
@@ -116,12 +131,24 @@ def f1_macro(spark, sf_dir):
     return rounded(M.f1_from_counts(cnt, RUN5, "label", "prediction"))
 
 
-@register("evaluate_task", lambda: _runs_sql("SELECT model, task, perturbation, level, language, round(accuracy, 6) "
-                                             "AS accuracy, round(f1_macro, 6) AS f1_macro, CAST(n AS BIGINT) AS n "
-                                             "FROM met", _metrics_sql_ctes()))
+MATRIX_CTES = ["""classes AS (SELECT model, task, perturbation, level, language, list_sort(list(DISTINCT cls)) AS cl
+  FROM (SELECT *, label AS cls FROM mcnt UNION ALL SELECT *, prediction FROM mcnt) GROUP BY ALL)""",
+  """cells AS (SELECT c.model, c.task, c.perturbation, c.level, c.language, c.cl, t.i, p.j, CAST(coalesce(m.n, 0) AS BIGINT) AS n
+  FROM classes c, LATERAL (SELECT unnest(range(1, len(c.cl) + 1)) AS i) t, LATERAL (SELECT unnest(range(1, len(c.cl) + 1)) AS j) p
+  LEFT JOIN mcnt m ON m.model = c.model AND m.task = c.task AND m.perturbation = c.perturbation AND m.level = c.level
+    AND m.language = c.language AND m.label = c.cl[t.i] AND m.prediction = c.cl[p.j])""",
+  """matrix AS (SELECT model, task, perturbation, level, language, '["' || array_to_string(any_value(cl), '","') || '"]' AS classes,
+    '[' || string_agg(line, ',' ORDER BY i) || ']' AS confusion_matrix
+  FROM (SELECT model, task, perturbation, level, language, any_value(cl) AS cl, i, '[' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY j) || ']' AS line
+        FROM cells GROUP BY model, task, perturbation, level, language, i) GROUP BY model, task, perturbation, level, language)"""]
+MATRIX_SQL = """SELECT model, task, perturbation, level, language, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro,
+    CAST(n AS BIGINT) AS n, classes, confusion_matrix FROM met JOIN matrix USING (model, task, perturbation, level, language)"""
+
+
+@register("evaluate_task", lambda: _runs_sql(MATRIX_SQL, _metrics_sql_ctes() + MATRIX_CTES))
 def evaluate_task(spark, sf_dir):
-    """Metrics of every task under every perturbation, per language as a group column."""
-    return rounded(M.classification_metrics(stored_runs(spark, sf_dir), RUN5))
+    """Accuracy, macro F1 and confusion matrix of every task under every perturbation, per language."""
+    return rounded(M.with_matrix(M.all_metrics(stored_runs(spark, sf_dir), RUN5), RUN5))
 
 
 @register("confusion", lambda: _runs_sql(f"""SELECT c.model, c.task, c.perturbation, c.level, c.language,
@@ -211,7 +238,7 @@ def filter_lang(spark, sf_dir):
 @register("filter_noise", lambda: _runs_sql("SELECT model, task, perturbation, level, language, id, prediction "
                                             "FROM runs WHERE level > 0 AND perturbation <> 'clean'"))
 def filter_noise(spark, sf_dir):
-    """Noisy runs only: level > 0 and perturbation != 'clean' (pruned at the partitioned scan)."""
+    """Noisy runs only: level > 0 and perturbation != 'clean'; neither texts nor clean predictions are exploded."""
     r = stored_runs(spark, sf_dir)
     return r.filter((F.col("level") > 0) & (F.col("perturbation") != "clean")).select(*RUN5, "id", "prediction")
 
@@ -303,9 +330,9 @@ def sample_flips(spark, sf_dir):
   USING (model, task, language, perturbation, level)""", [PJ, CMP]))
 def flip_report(spark, sf_dir):
     """Flip counts and rate per run group, with the number of sampled flips reported."""
-    r = stored_runs(spark, sf_dir)
-    c = RP.flip_counts(PR.pair_join(r), comparisons=PR.run_pairs(r))
-    return rounded(c.withColumn("n_sampled", F.least(F.col("flip_count"), F.lit(5)).cast("bigint")))
+    st = M.stats_from_counts(PR.comparison_counts(stored_runs(spark, sf_dir)))
+    return rounded(st.select(*GROUP, "total_samples", F.col("flipped_count").alias("flip_count"), "flip_rate",
+                             F.least(F.col("flipped_count"), F.lit(5)).cast("bigint").alias("n_sampled")))
 
 
 CMP = """cmp AS (SELECT DISTINCT c.model, c.task, c.language, p.perturbation, p.level
@@ -329,15 +356,13 @@ def _stats_sql(keys: str) -> str:
 @register("consistency_stats", lambda: _runs_sql(_stats_sql("model, task, language, perturbation, level"), [PJ, CMP]))
 def consistency_stats(spark, sf_dir):
     """total, consistent, flipped, consistency, flip rate per clean/perturbed file pair."""
-    r = stored_runs(spark, sf_dir)
-    return rounded(M.flip_stats(PR.pair_join(r), GROUP, comparisons=PR.run_pairs(r)))
+    return rounded(M.stats_from_counts(PR.comparison_counts(stored_runs(spark, sf_dir))))
 
 
 @register("consistency_all", lambda: _runs_sql(_stats_sql("task, language, perturbation"), [PJ, CMP]))
 def consistency_all(spark, sf_dir):
     """Batch consistency over every (task, language, perturbation), all models and levels pooled."""
-    r = stored_runs(spark, sf_dir)
-    return rounded(M.flip_stats(PR.pair_join(r), ["task", "language", "perturbation"], comparisons=PR.run_pairs(r)))
+    return rounded(M.stats_from_counts(PR.comparison_counts(stored_runs(spark, sf_dir)), ["task", "language", "perturbation"]))
 
 
 def _detail_body() -> str:
@@ -372,7 +397,7 @@ def _errors_sql() -> str:
 @register("error_cases", lambda: _runs_sql(_errors_sql(), [PJ]))
 def error_cases(spark, sf_dir):
     """Five flips and five confident failures (score > 0.9) per run group, one heterogeneous table."""
-    return rounded(RP.error_cases(PR.pair_join(stored_runs(spark, sf_dir))))
+    return rounded(RP.error_cases(PR.pair_join(stored_runs(spark, sf_dir)), texts=stored_texts(spark, sf_dir)))
 
 
 # ---- roll-ups of the robustness report ------------------------------------------------------------
@@ -504,8 +529,7 @@ def consistency_by_type(spark, sf_dir):
 def _stats_input_sql() -> str:
     k = O.key_sql("'split'", "id")
     thr = O.thr(str(fixed.VALIDATION_FRACTION))
-    return f"""WITH q AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, d.lang AS language, 'quality' AS task
-               FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+    return f"""WITH q AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, d.lang AS language, 'quality' AS task FROM documents d),
   s AS (SELECT id, language, task, CASE WHEN u < {thr} THEN 'validation' ELSE 'train' END AS split
         FROM (SELECT *, {O.draw_cols(k, '0')} FROM q)
         UNION ALL SELECT CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR), 'unknown', 'dialog', 'train'

@@ -15,7 +15,7 @@ from tremor.plans import oracle as O
 from tremor.plans import q_analysis as QA
 from tremor.plans.catalog import register, rounded
 from tremor.plans.experiment import experiment_report
-from tremor.plans.stored import stored_report, stored_runs
+from tremor.plans.stored import stored_report, stored_runs, stored_texts
 from tremor.session import scratch_path
 from tremor.sources import files, tables
 
@@ -86,15 +86,13 @@ def scan_preds(spark, sf_dir):
 
 
 METRICS_SCHEMA = ("model string, task string, perturbation string, level double, language string, accuracy double, "
-                  "f1_macro double, n long")
+                  "f1_macro double, n long, classes string, confusion_matrix string")
 
 
-@register("sink_metrics", lambda: QA._runs_sql(
-    "SELECT model, task, perturbation, level, language, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, "
-    "CAST(n AS BIGINT) AS n FROM met", QA._metrics_sql_ctes()))
+@register("sink_metrics", lambda: QA._runs_sql(QA.MATRIX_SQL, QA._metrics_sql_ctes() + QA.MATRIX_CTES))
 def sink_metrics(spark, sf_dir):
-    """Per-language metrics written as JSON and read back (A5)."""
-    met = M.classification_metrics(stored_runs(spark, sf_dir), REPORT_KEYS)
+    """Per-language metrics with their confusion matrix written as JSON and read back (A5)."""
+    met = M.with_matrix(M.all_metrics(stored_runs(spark, sf_dir), REPORT_KEYS), REPORT_KEYS)
     path = files.write_jsonl(met, scratch_path(spark, "metrics"))
     return rounded(files.read_jsonl(spark, path, METRICS_SCHEMA))
 
@@ -192,7 +190,7 @@ ERROR_SCHEMA = ("type string, model string, task string, language string, pertur
 @register("sink_errors", lambda: QA._runs_sql(QA._errors_sql(), [QA.PJ]))
 def sink_errors(spark, sf_dir):
     """Error cases written as UTF-8 JSON and read back."""
-    e = RP.error_cases(PR.pair_join(stored_runs(spark, sf_dir)))
+    e = RP.error_cases(PR.pair_join(stored_runs(spark, sf_dir)), texts=stored_texts(spark, sf_dir))
     path = files.write_jsonl(e, scratch_path(spark, "errors"))
     return rounded(files.read_jsonl(spark, path, ERROR_SCHEMA))
 
@@ -213,8 +211,7 @@ def sink_consistency(spark, sf_dir):
     detail = pj.select(*QA.GROUP, "id", F.col("label_clean").alias("label"), "prediction_clean", "prediction_pert",
                        F.coalesce(F.col("prediction_clean") == F.col("prediction_pert"), F.lit(False))
                        .alias("is_consistent"))
-    r = stored_runs(spark, sf_dir)
-    stats = M.flip_stats(pj, QA.GROUP, comparisons=PR.run_pairs(r))
+    stats = M.stats_from_counts(PR.comparison_counts(stored_runs(spark, sf_dir)))
     root = scratch_path(spark, "consistency")
     files.write_jsonl(detail, f"{root}/details")
     files.write_jsonl(stats, f"{root}/summary")

@@ -15,7 +15,7 @@ def _sql() -> str:
     g = O.grid_values([(PERT, [LEVEL])])
     return O.with_(O.paired_ctes(g), f"""SELECT model, task, perturbation, level, language, id, label, pred_clean,
     round(score_clean, 6) AS score_clean, pred_pert, round(score_pert, 6) AS score_pert
-  FROM paired WHERE task = 'quality' AND model = '{MODEL}'""")
+  FROM paired WHERE task = 'quality' AND label <> '-1' AND model = '{MODEL}'""")
 
 
 @register("stream_score", _sql)

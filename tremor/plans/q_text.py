@@ -115,7 +115,7 @@ def standardize_pair(spark, sf_dir):
 def _quality_raw_sql() -> str:
     return """SELECT CAST(d.doc_id AS VARCHAR) AS id, d.lang AS language, 'quality' AS task, 'train' AS split,
   d.text AS text, CAST(NULL AS VARCHAR) AS premise, CAST(NULL AS VARCHAR) AS hypothesis,
-  CAST(l.quality AS VARCHAR) AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+  coalesce(CAST(l.quality AS VARCHAR), '-1') AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 
 def _benchmark_raw_sql() -> str:
@@ -125,7 +125,7 @@ def _benchmark_raw_sql() -> str:
 
 @register("standardize_text", _quality_raw_sql)
 def standardize_text(spark, sf_dir):
-    """Raw labelled documents mapped to the standard example schema (B1)."""
+    """Raw documents mapped to the standard example schema (B1)."""
     return tables.scan_task(spark, sf_dir, "quality")
 
 
@@ -179,10 +179,9 @@ def lang_alias(spark, sf_dir):
        p_hypothesis AS hypothesis FROM ptasks
        UNION ALL SELECT id, task, language, 'clean', 0.0::DOUBLE, text, premise, hypothesis FROM tasks"""))
 def perturb_all(spark, sf_dir):
-    """Dispatcher over the whole grid for both tasks; clean rows pass through."""
+    """Dispatcher over the whole grid for all tasks; clean rows pass through."""
     base = V.task_examples(spark, sf_dir)
-    g = V.grid(spark, include_clean=True)
-    x = P.perturb(base, g, text_cols=("text", "premise", "hypothesis"), keep_original=False)
+    x = P.perturb(base, [("clean", 0.0), *V.grid_list()], text_cols=("text", "premise", "hypothesis"), keep_original=False)
     return x.select("id", "task", "language", "perturbation", "level", "text", "premise", "hypothesis")
 
 

@@ -1,53 +1,116 @@
-"""The long `runs` table materialized once in the shared folder (a written table cuts lineage).
+"""The experiment's outcome materialized once in the shared folder (a written table cuts lineage).
 
-Post-hoc analyses (pairing, flips, consistency, error cases) read this table, as the original reads
-stored prediction files; the write is durable, so a lost executor never forces the perturbation and
-scoring work to be recomputed.
+Post-hoc analyses (pairing, flips, consistency, error cases) read this table, as the original reads stored
+prediction files; the write is durable, so a lost executor never forces perturbing and scoring to be repeated.
+
+One row per example: its predictions (`cells`, narrow) and its texts under every grid row, once, whatever the number
+of models.  The table is bucketed by (task, language, id): the raw examples are dealt to the buckets before they are
+perturbed, so no perturbed text is ever shuffled, and pairing by id or fetching the texts of a few rows needs no
+exchange.  A file holds one bucket, so their number is the number of buckets.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tremor.operators import one_pass as OP
 from tremor.plans import views as V
 from tremor.session import scratch_path
 
-RUNS_SCHEMA = ("model string, task string, perturbation string, level double, language string, id string, "
-               "text string, label string, prediction string, score double")
+BUCKET_KEYS = ["task", "language", "id"]
+SOURCES = ("documents", "labels", "conversations", "benchmark")
 
-_written: dict[tuple, str] = {}
+_examples: dict[tuple, tuple] = {}
+_reports: dict[tuple, tuple] = {}
 
 
-def write_runs(runs: DataFrame, path: str) -> str:
-    # no repartition: a hot (model, task, perturbation) group is written by all tasks in parallel
-    (runs.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000)
-     .partitionBy("model", "task", "perturbation").parquet(path))
-    return path
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`views.runs` written once per (application, sf_dir) under spark.checkpoint.dir, then scanned."""
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of change of the input tables: what is stored for other tables is out of date."""
+    out = []
+    for name in SOURCES:
+        fs, p = _file_system(spark, f"{sf_dir}/{name}.parquet")
+        out.append((fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()))
+    return tuple(out)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def write_examples(spark: SparkSession, examples: DataFrame, grid, predictors, path: str, buckets: int | None = None, perturber=None) -> str:
+    """The crossing's rows as a bucketed table at `path`; its name."""
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tremor_examples_{uuid.uuid4().hex[:12]}"
+    x = OP.crossed(examples.repartition(n, *BUCKET_KEYS), grid, predictors, perturber, with_text=True)
+    x.write.bucketBy(n, *BUCKET_KEYS).option("path", path).format("parquet").saveAsTable(name)
+    return name
+
+
+def stored_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of this application for `sf_dir`, written at first use and again when its input has changed."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), stamp(spark, sf_dir)
+    if key not in _examples or _examples[key][0] != now:
+        forget(spark, sf_dir)
+        path = scratch_path(spark, "examples")
+        _examples[key] = (now, write_examples(spark, V.raw_examples(spark, sf_dir), V.grid_list(), V.rule_models(), path), path)
+    return spark.table(_examples[key][1])
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Remove what is stored for `sf_dir`: the tables and their files."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        _written[key] = write_runs(V.runs(spark, sf_dir), scratch_path(spark, "runs"))
-    return spark.read.schema(RUNS_SCHEMA).parquet(_written[key]).select(*[c.split()[0] for c in RUNS_SCHEMA.split(", ")])
+    if key in _examples:
+        _, name, path = _examples.pop(key)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _remove(spark, path)
+    if key in _reports:
+        _remove(spark, _reports.pop(key)[1])
+
+
+def runs_of(x: DataFrame, grid, predictors) -> DataFrame:
+    """The long run table as a view of the stored examples; a query that reads no text reads none from the files."""
+    out = OP.long_rows(x, grid, predictors, text=True)
+    return out.select(*V.RUN_KEYS, "id", V.stored_text(F.col("fields")).alias("text"), "label", "prediction", "score")
+
+
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored prediction: model, task, perturbation, level, language, id, text, label, prediction, score."""
+    return runs_of(stored_examples(spark, sf_dir), V.grid_list(), V.rule_models())
+
+
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task, language, id, texts) with texts an array of (perturbation, level, text): one row per example."""
+    rows = [OP.CLEAN, *V.grid_list()]
+    items = F.array(*[F.struct(F.lit(p).alias("perturbation"), F.lit(lv).alias("level"), V.stored_text(F.get("texts", F.lit(g))).alias("text"))
+                      for g, (p, lv) in enumerate(rows)])
+    return stored_examples(spark, sf_dir).select(*BUCKET_KEYS, items.alias("texts"))
 
 
 REPORT_SCHEMA = ("model string, task string, perturbation string, level double, language string, "
                  "acc_clean double, acc_perturbed double, abs_drop_acc double, rel_drop_acc double, f1_clean double, "
                  "f1_perturbed double, abs_drop_f1 double, rel_drop_f1 double, consistency double, n long")
-_reports: dict[tuple, str] = {}
 
 
 def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The robustness report (one row per model/task/perturbation/level/language), computed from the stored
-    run table (no second perturbation pass) and written once under the shared folder; roll-ups read it as the
+    predictions (no second perturbation pass) and written once under the shared folder; roll-ups read it as the
     original reads its report files.  Its values equal the fast path's (`experiment`)."""
     from tremor.operators.reports import report_from_runs
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _reports:
+    key, now = (spark.sparkContext.applicationId, sf_dir), stamp(spark, sf_dir)
+    if key not in _reports or _reports[key][0] != now:
+        report = report_from_runs(stored_runs(spark, sf_dir))  # (this may forget an outdated report)
         path = scratch_path(spark, "report")
-        report_from_runs(stored_runs(spark, sf_dir)).write.mode("overwrite").parquet(path)
-        _reports[key] = path
-    return spark.read.schema(REPORT_SCHEMA).parquet(_reports[key])
+        report.write.mode("overwrite").parquet(path)
+        _reports[key] = (now, path)
+    return spark.read.schema(REPORT_SCHEMA).parquet(_reports[key][1])

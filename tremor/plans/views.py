@@ -2,19 +2,20 @@
 
 `paired` is the fast path: each (example, model, perturbation, level) row carries both the clean
 and the perturbed prediction, so metrics need no join; `runs` is the long table (one row per
-prediction, clean included once as level 0) used by the stored-analysis operators.
+prediction, clean included once as level 0) used by the stored-analysis operators.  Both come out of
+one crossing into Python (`operators.one_pass`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.functions import fixed
-from tremor.functions.text import format_input, normalize, pair_json
-from tremor.operators import perturb as P
-from tremor.operators.config import config_table, dealt
+from tremor.functions.text import normalize, pair_json
+from tremor.operators import one_pass as OP
 from tremor.operators import score as S
+from tremor.operators.config import BROADCAST_ROWS, config_table, dealt
 from tremor.sources import tables
 
 DEFAULT_PERTURBATIONS = [
@@ -41,8 +42,14 @@ def grid(spark: SparkSession, perturbations=None, include_clean: bool = False) -
     return config_table(spark, rows, "perturbation string, level double")
 
 
+def grid_list(perturbations=None) -> list[tuple[str, float]]:
+    """The grid as rows, without the clean one (a type without levels gets [0.1])."""
+    return [(p, float(lv)) for p, levels in (DEFAULT_PERTURBATIONS if perturbations is None else perturbations)
+            for lv in (levels or [fixed.DEFAULT_LEVEL]) if p != "clean"]
+
+
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalized classification examples (documents with a quality label)."""
+    """Normalized classification examples (documents; those without a quality label have label '-1')."""
     return dealt(tables.scan_task(spark, sf_dir, "quality")).withColumn("text", normalize("text"))
 
 
@@ -52,68 +59,66 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"premise": normalize("premise"), "hypothesis": normalize("hypothesis")})
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized unlabelled examples."""
+    return tables.scan_task(spark, sf_dir, "benchmark").withColumn("text", normalize("text"))
+
+
 def task_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return examples(spark, sf_dir).unionByName(pairs(spark, sf_dir))
+    """All tasks, normalized."""
+    return examples(spark, sf_dir).unionByName(pairs(spark, sf_dir)).unionByName(benchmark(spark, sf_dir))
+
+
+TASKS = ("quality", "dialog", "benchmark")
+
 
+def raw_examples(spark: SparkSession, sf_dir: str, tasks=TASKS) -> DataFrame:
+    """The named tasks as loaded; normalizing is left to the crossing."""
+    out = None
+    for t in tasks:
+        df = tables.scan_task(spark, sf_dir, t)
+        # a missing field of the task's own kind is an empty one; the other kind's stay null
+        df = df.withColumns({c: F.coalesce(c, F.lit("")) for c in (("premise", "hypothesis") if t == "dialog" else ("text",))})
+        out = df if out is None else out.unionByName(df)
+    return out
 
-def paired(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, models: DataFrame | None = None,
-           base: DataFrame | None = None, perturber=None, keep_text: bool = False) -> DataFrame:
+
+def rule_models(models=None) -> list[OP.RuleModels]:
+    """The rule models as one predictor; `models` as (model, threshold) pairs or table, or predictors already."""
+    if isinstance(models, DataFrame):
+        models = [(r["model"], float(r["threshold"])) for r in models.limit(BROADCAST_ROWS).collect()]
+    if models and not isinstance(models[0], tuple):
+        return list(models)
+    return [OP.RuleModels(tuple(models or S.DEFAULT_MODELS))]
+
+
+def paired(spark: SparkSession, sf_dir: str, grid_df=None, models=None, base: DataFrame | None = None, perturber=None) -> DataFrame:
     """One row per (model, example, perturbation, level) with clean and perturbed prediction side by side.
 
-    Plan: scan -> normalize -> clean stop-word stats (once per example) -> broadcast grid cross join ->
-    one Arrow UDF perturbs text/premise/hypothesis -> perturbed stats -> texts dropped ->
-    broadcast model cross join -> predictions.  No shuffle of text after the label join.
+    Plan: scan -> one Arrow crossing (normalize, perturb under the whole grid, predict) -> explode.  The grid
+    (pairs or a small table) and the models (rule thresholds or predictors) are in the closure.  No shuffle of text
+    after the label join.
     """
-    base = task_examples(spark, sf_dir) if base is None else base
-    g = grid_df if grid_df is not None else grid(spark)
-    models = models if models is not None else S.default_models(spark)
-    p = perturber or P.make_perturber()
-    st = S.rule_stats(format_input())
-    x = base.withColumns({"hits_clean": st["n_hits"], "tok_clean": st["n_tokens"]})
-    if keep_text:
-        x = x.withColumn("text_clean", format_input())
-    x = x.crossJoin(g.select("perturbation", "level"))
-    fused = P.perturb_score_col(p, with_text=keep_text)
-    x = x.withColumn("_f", fused)
-    if keep_text:
-        x = x.withColumn("text_pert", F.concat_ws(" ", "_f.p_premise", "_f.p_hypothesis", "_f.p_text"))
-    x = x.withColumns({"hits_pert": F.col("_f.n_hits"), "tok_pert": F.col("_f.n_tokens")})
-    x = x.drop("text", "premise", "hypothesis", "_f").crossJoin(models)
-    pc, sc = S.rule_predict("hits_clean", "tok_clean", F.col("threshold"))
-    pp, sp = S.rule_predict("hits_pert", "tok_pert", F.col("threshold"))
-    return x.select(*RUN_KEYS, "id", "label",
-                    pc.alias("pred_clean"), sc.alias("score_clean"),
-                    pp.alias("pred_pert"), sp.alias("score_pert"),
-                    *(["text_clean", "text_pert"] if keep_text else []))
-
-
-def stored_text() -> "F.Column":
-    """Text column as stored with predictions: the text, or compact JSON of a pair."""
-    return F.when(F.col("premise").isNotNull() & F.col("hypothesis").isNotNull(), pair_json()) \
-        .otherwise(F.coalesce(F.col("text"), F.lit("")))
-
-
-def runs(spark: SparkSession, sf_dir: str, grid_df: DataFrame | None = None, models: DataFrame | None = None,
-         base: DataFrame | None = None, perturber=None) -> DataFrame:
+    base = dealt(raw_examples(spark, sf_dir)) if base is None else base
+    g = grid_list() if grid_df is None else OP.grid_rows(grid_df)
+    ps = rule_models(models)
+    x = OP.paired_rows(OP.crossed(base, g, ps, perturber), g, ps)
+    return x.select(*RUN_KEYS, "id", "label", "pred_clean", "score_clean", "pred_pert", "score_pert")
+
+
+def stored_text(fields) -> Column:
+    """Text as stored with a prediction: the text, or compact JSON of a pair."""
+    return (F.when(fields["premise"].isNotNull() & fields["hypothesis"].isNotNull(), pair_json(fields["premise"], fields["hypothesis"]))
+            .otherwise(F.coalesce(fields["text"], F.lit(""))))
+
+
+def runs(spark: SparkSession, sf_dir: str, grid_df=None, models=None, base: DataFrame | None = None, perturber=None) -> DataFrame:
     """Long prediction table: model, task, perturbation, level, language, id, text, label, prediction, score.
 
     Clean is scored once per example (level 0.0), each perturbation once per (example, level).
     """
-    base = task_examples(spark, sf_dir) if base is None else base
-    g = grid(spark, include_clean=True) if grid_df is None else with_clean(spark, grid_df)
-    models = models if models is not None else S.default_models(spark)
-    p = perturber or P.make_perturber()
-    # clean is one more grid row (identity in the kernel): the base is read, joined and normalized once
-    x = base.crossJoin(g).withColumn("_f", P.perturb_score_col(p, with_text=True))
-    x = x.withColumns({"text": F.col("_f.p_text"), "premise": F.col("_f.p_premise"),
-                       "hypothesis": F.col("_f.p_hypothesis"), "_hits": F.col("_f.n_hits"),
-                       "_tok": F.col("_f.n_tokens")}).drop("_f")
-    x = x.withColumn("stored", stored_text())
-    scored = S.score_stats(x, models, "_hits", "_tok")
-    return scored.select(*RUN_KEYS, "id", F.col("stored").alias("text"), "label", "prediction", "score")
-
-
-def with_clean(spark: SparkSession, grid_df: DataFrame) -> DataFrame:
-    """A caller's grid plus the clean row (level 0.0), each exactly once."""
-    clean = spark.createDataFrame([("clean", 0.0)], "perturbation string, level double")
-    return clean.unionByName(grid_df.filter(F.col("perturbation") != "clean").select("perturbation", "level"))
+    base = dealt(raw_examples(spark, sf_dir)) if base is None else base
+    g = grid_list() if grid_df is None else OP.grid_rows(grid_df)
+    ps = rule_models(models)
+    x = OP.long_rows(OP.crossed(base, g, ps, perturber, with_text=True), g, ps, text=True)
+    return x.select(*RUN_KEYS, "id", stored_text(F.col("fields")).alias("text"), "label", "prediction", "score")

@@ -34,7 +34,7 @@ def standardize(df: DataFrame, task: str, task_type: str = "classification", spl
         "task": F.lit(task),
         "split": (_first_present(df, ["split"], F.lit(split)) if split is not None
                   else _first_present(df, ["split"], F.lit("train"))).cast("string"),
-        "label": _first_present(df, ["label"], F.lit(-1)).cast("string"),
+        "label": F.coalesce(_first_present(df, ["label"], F.lit(-1)).cast("string"), F.lit("-1")),
     }
     if task_type == "classification":
         cols["text"] = _first_present(df, ["text", "sentence"], empty).cast("string")
@@ -53,10 +53,10 @@ def standardize(df: DataFrame, task: str, task_type: str = "classification", spl
 
 
 def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw classification task: labelled documents (idx, text, label, language)."""
+    """Raw classification task: documents (idx, text, label, language); the label is null where there is none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id").select(
+    return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("idx"), "text", F.col("quality").alias("label"), F.col("lang").alias("language"))
 
 
