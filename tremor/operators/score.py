@@ -2,7 +2,7 @@
 
 * rule model (E3a): stop-word statistics from one Python split per text (fused with the perturbation
   kernel on the perturbed side), thresholds as JVM expressions per model;
-* Spark ML model (E3b): RegexTokenizer -> HashingTF -> LogisticRegression fitted on the train split;
+* naive Bayes (E3b): token counts of the train split as the model table, scoring as a token join;
 * plug-in predictor (E1/E2): any `list[str] -> list[(label, score)]` factory, run in an iterator Arrow
   UDF so the model is loaded once per Python worker and fed Arrow batches;
 * raw-output helpers: top-1 of `array<struct<label, score>>` (E4) and input routing (E5).
@@ -10,7 +10,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from tremor.functions import fixed
 from tremor.operators.config import config_table
 
+#: Classes a fitted model may have (each is a column of its table).
+CLASSES = 1000
 RAW_OUTPUT = "array<struct<label:string,score:double>>"
 
 
@@ -138,30 +142,57 @@ def stopword_predictor_factory(threshold: float = 0.2):
     return factory
 
 
-# ---- Spark ML model ---------------------------------------------------------------
+# ---- model fitted by aggregates ----------------------------------------------------
 
-def fit_ml_model(train: DataFrame, text="input", label="label", num_features: int = 1 << 16):
-    """Hashing-TF logistic regression, fitted on the train split only."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
+@dataclass(frozen=True)
+class NaiveBayes:
+    """Multinomial naive Bayes as a table: one row per token with its log-likelihood under every class."""
 
-    tok = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\s+", toLowercase=True)
-    tf = HashingTF(inputCol="_tokens", outputCol="_features", numFeatures=num_features)
-    lr = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=20, regParam=0.01)
-    data = train.withColumn("_label", F.col(label).cast("double"))
-    return Pipeline(stages=[tok, tf, lr]).fit(data)
+    tokens: DataFrame
+    classes: list[str]
+    prior: list[float]
+    unseen: list[float]
 
 
-def score_ml(df: DataFrame, model, model_name: str = "hashing-lr", text="input") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+def _token_rows(df: DataFrame, keys, text: str) -> DataFrame:
+    return df.select(*keys, F.explode(F.filter(F.split(F.lower(F.col(text)), " "), lambda w: w != "")).alias("_token"))
 
-    cols = df.columns
-    out = model.transform(df.withColumn("_label", F.lit(0.0)))
-    prob = vector_to_array(F.col("probability"))
-    return out.select(*cols,
-                      F.lit(model_name).alias("model"),
-                      F.col("prediction").cast("int").cast("string").alias("prediction_ml"),
-                      F.array_max(prob).alias("score_ml")) \
-        .drop("prediction").withColumnRenamed("prediction_ml", "prediction") \
-        .withColumnRenamed("score_ml", "score")
+
+def fit_naive_bayes(train: DataFrame, path: str, text: str = "input", label: str = "label", alpha: float = 1.0) -> NaiveBayes:
+    """Token counts per class in one shuffle, written to `path`; only class totals reach the driver.
+
+    Rows without a label are left out.  Tokens are the lower-cased words between spaces; a count gets `alpha` added.
+    """
+    spark = train.sparkSession
+    train = train.filter(F.col(label).isNotNull())
+    sizes = {r[label]: r["count"] for r in train.groupBy(label).count().limit(CLASSES + 1).collect()}
+    if not 0 < len(sizes) <= CLASSES:
+        raise ValueError(f"{len(sizes)} classes: a classifier needs one, and at most {CLASSES}")
+    classes = sorted(sizes)
+    counts = _token_rows(train, [label], text).groupBy("_token").agg(
+        *[F.count_if(F.col(label) == c).alias(f"n{i}") for i, c in enumerate(classes)])
+    counts.write.mode("overwrite").parquet(path)
+    counts = spark.read.schema(counts.schema).parquet(path)
+    r = counts.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(classes))]).first()
+    size = [(r[f"n{i}"] or 0) + alpha * max(r["v"], 1) for i in range(len(classes))]
+    weights = [F.log((F.col(f"n{i}") + F.lit(alpha)) / F.lit(size[i])).alias(f"w{i}") for i in range(len(classes))]
+    n = sum(sizes.values())
+    return NaiveBayes(counts.select("_token", *weights), classes, [math.log(sizes[c] / n) for c in classes], [math.log(alpha / s) for s in size])
+
+
+def score_naive_bayes(df: DataFrame, model: NaiveBayes, model_name: str = "naive-bayes", text: str = "input", key: str = "id") -> DataFrame:
+    """`df` with model, prediction and score, the class of greatest posterior and that posterior (ties: the first).
+
+    A row's tokens are counted, joined to the token table and summed per class; `key` must be unique.  The token
+    table has one row per token, so a token that a third of all words are skews the join on one side only, where
+    adaptive execution splits it (and the counts per row shrink it first).  A text without tokens has the priors.
+    """
+    k = len(model.classes)
+    words = _token_rows(df, [key], text).groupBy(key, "_token").agg(F.count(F.lit(1)).alias("_n"))
+    hits = words.join(model.tokens, "_token", "left")
+    sums = hits.groupBy(key).agg(*[F.sum(F.col("_n") * F.coalesce(f"w{i}", F.lit(model.unseen[i]))).alias(f"_s{i}") for i in range(k)])
+    x = df.join(sums, key, "left").withColumns({f"_s{i}": F.coalesce(f"_s{i}", F.lit(0.0)) + F.lit(model.prior[i]) for i in range(k)})
+    best = F.greatest(*[F.col(f"_s{i}") for i in range(k)]) if k > 1 else F.col("_s0")
+    label = F.coalesce(*[F.when(F.col(f"_s{i}") == best, F.lit(c)) for i, c in enumerate(model.classes)])
+    total = sum((F.exp(F.col(f"_s{i}") - best) for i in range(k)), F.lit(0.0))
+    return x.withColumns({"model": F.lit(model_name), "prediction": label, "score": F.lit(1.0) / total}).drop(*[f"_s{i}" for i in range(k)])

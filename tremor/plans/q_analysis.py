@@ -290,7 +290,19 @@ def split_hash(spark, sf_dir):
   FROM (SELECT *, {O.draw_cols(_split_key(), '0')} FROM examples)"""))
 def split_exact(spark, sf_dir):
     """Exactly ceil(10 % of N) validation rows per task, smallest draws first (W2, exact variant)."""
-    return sampling.split_exact(V.examples(spark, sf_dir)).select("id", "task", "split")
+    return sampling.split_exact(V.examples(spark, sf_dir).select("id", "task"))
+
+
+_BARE_KEY = "md5('=unknown' || chr(31) || '=bare' || chr(31) || '=train' || chr(31) || '=' || text || chr(31) || '-' || chr(31) || '-' || chr(31) || '=-1')"
+
+
+@register("row_keys", lambda: f"""SELECT id, task, CASE WHEN u < {O.thr(str(fixed.VALIDATION_FRACTION))} THEN 'validation' ELSE 'train' END AS split
+  FROM (SELECT *, {O.draw_cols(_split_key(), '0')} FROM (
+    SELECT 'row-' || {_BARE_KEY} || '-' || (row_number() OVER (PARTITION BY text) - 1) AS id, 'bare' AS task FROM documents))""")
+def row_keys(spark, sf_dir):
+    """A table of bare texts, without ids: every row gets a stable key of its own and a split by it."""
+    bare = tables.table(spark, sf_dir, "documents").select("text")
+    return sampling.split_hash(tables.standardize(bare, "bare", row_keys=True)).select("id", "task", "split")
 
 
 def _flip_cols_sql():

@@ -1,15 +1,17 @@
-"""Scoring-surface queries (E1-E5): rule model, plug-in predictor, batched/truncated input, Spark ML, top-1."""
+"""Scoring-surface queries (E1-E5): rule model, plug-in predictor, batched/truncated input, naive Bayes, top-1."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremor.functions import fixed
 from tremor.functions import text as T
 from tremor.operators import sampling
 from tremor.operators import score as S
 from tremor.plans import oracle as O
 from tremor.plans import views as V
 from tremor.plans.catalog import register, rounded
+from tremor.session import scratch_path
 
 
 def _tasks_sql(body: str) -> str:
@@ -64,16 +66,30 @@ def score_batch(spark, sf_dir):
     return rounded(out.select("model", "task", "id", "prediction", "score"))
 
 
-@register("score_ml")
-def score_ml(spark, sf_dir):
-    """Hashing-TF logistic regression fitted on the train split, scoring the validation split.
+def _bayes_sql() -> str:
+    k = O.key_sql("'split'", "id")
+    return O.with_([O.examples_cte(),
+        f"""x AS (SELECT *, {O.input_sql()} AS input, CASE WHEN u < {O.thr(str(fixed.VALIDATION_FRACTION))} THEN 1 ELSE 0 END AS val
+  FROM (SELECT *, {O.draw_cols(k, '0')} FROM examples WHERE label <> '-1'))""",
+        "tok AS (SELECT id, label, val, w FROM (SELECT id, label, val, unnest(string_split(lower(input), ' ')) AS w FROM x) WHERE w <> '')",
+        "cls AS (SELECT label AS c, ln(count(*) / (SELECT count(*) FROM x WHERE val = 0)) AS prior FROM x WHERE val = 0 GROUP BY label)",
+        "cnt AS (SELECT label AS c, w, count(*) AS n FROM tok WHERE val = 0 GROUP BY ALL)",
+        """den AS (SELECT c, prior, coalesce((SELECT sum(n) FROM cnt WHERE cnt.c = cls.c), 0) + (SELECT count(DISTINCT w) FROM cnt) AS d FROM cls)""",
+        """lp AS (SELECT x.id, den.c, den.prior + coalesce(sum(ln((coalesce(cnt.n, 0) + 1.0) / den.d)) FILTER (WHERE tok.w IS NOT NULL), 0) AS s
+  FROM x CROSS JOIN den LEFT JOIN tok ON tok.id = x.id LEFT JOIN cnt ON cnt.c = den.c AND cnt.w = tok.w WHERE x.val = 1
+  GROUP BY x.id, den.c, den.prior)""",
+        "best AS (SELECT id, arg_max(c, s) AS prediction, 1 / sum(exp(s - m)) AS score FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM lp) GROUP BY id)"],
+        "SELECT 'naive-bayes' AS model, x.task, x.id, x.language, x.label, best.prediction, round(best.score, 6) AS score FROM x JOIN best USING (id)")
 
-    No SQL oracle (an iterative fit); the check is rows-only plus the unit tests' invariants.
-    """
-    ex = sampling.split_hash(V.examples(spark, sf_dir)).withColumn("input", T.format_input())
-    model = S.fit_ml_model(ex.filter(F.col("split") == "train"))
+
+@register("score_ml", _bayes_sql)
+def score_ml(spark, sf_dir):
+    """Multinomial naive Bayes fitted by aggregates on the labelled train split, scoring the validation split."""
+    ex = V.examples(spark, sf_dir).filter("label <> '-1'")
+    ex = sampling.split_hash(ex).withColumn("input", T.format_input())
+    model = S.fit_naive_bayes(ex.filter(F.col("split") == "train"), scratch_path(spark, "naive-bayes"))
     val = ex.filter(F.col("split") == "validation").select("id", "task", "language", "label", "input")
-    out = S.score_ml(val, model, "hashing-lr", text="input")
+    out = S.score_naive_bayes(val, model)
     return rounded(out.select("model", "task", "id", "language", "label", "prediction", "score"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.operators.sampling import with_row_keys
+
 EXAMPLE_COLUMNS = ["id", "language", "task", "split", "text", "premise", "hypothesis", "label"]
 
 
@@ -19,9 +21,12 @@ def _first_present(df: DataFrame, names, default):
     return default
 
 
-def standardize(df: DataFrame, task: str, task_type: str = "classification", split: str | None = None) -> DataFrame:
+def standardize(df: DataFrame, task: str, task_type: str = "classification", split: str | None = None, row_keys: bool = False) -> DataFrame:
     """Map a raw task table to the standard example schema (B1/B2).
 
+    With `row_keys`, a table without an id column gets stable keys (`sampling.with_row_keys`) where the default would
+    be the one id '-1' for all rows, which can be neither split nor paired.
+
     Alternate source columns are chosen by presence: idx|id, text|sentence, premise|sentence1,
     hypothesis|sentence2. Defaults: id '-1', label '-1', language 'unknown', missing text ''.
     For pairs, a row whose resolved premise and hypothesis are both empty retries sentence1/sentence2.
@@ -49,7 +54,10 @@ def standardize(df: DataFrame, task: str, task_type: str = "classification", spl
         cols["text"] = F.lit(None).cast("string")
         cols["premise"] = F.when(both_empty, s1).otherwise(p)
         cols["hypothesis"] = F.when(both_empty, s2).otherwise(h)
-    return df.select(*[cols[c].alias(c) for c in EXAMPLE_COLUMNS])
+    out = df.select(*[cols[c].alias(c) for c in EXAMPLE_COLUMNS])
+    if row_keys and not {"idx", "id"} & set(df.columns):
+        out = with_row_keys(out, "id")
+    return out
 
 
 def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
