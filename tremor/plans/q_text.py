@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions import fixed
 from tremor.functions import text as T
+from tremor.operators import lexicon as LX
 from tremor.operators import perturb as P
 from tremor.operators import sampling
 from tremor.operators.config import dealt
@@ -193,6 +194,51 @@ def perturb_audit(spark, sf_dir):
                      F.lit("code-mixing").alias("perturbation_type"))
 
 
+# ---- lexicons that are tables -------------------------------------------------------------------
+
+TABLE_LEVEL = 0.5
+
+
+def corpus_lexicon(docs, kind: str):
+    """A lexicon as large as the corpus' vocabulary: half of its trimmed words (those of even length), with
+    replacements made from the word."""
+    strip = F.lit(fixed.CODEMIX_STRIP if kind == "codemix" else fixed.PARAPHRASE_STRIP)
+    w = docs.select(F.lower("language").alias("lang"), F.explode(F.array_distinct(F.transform(F.split("text", " "), lambda x: F.btrim(x, strip)))).alias("key"))
+    w = w.filter((F.length("key") > 0) & (F.length("key") % 2 == 0)).distinct()
+    made = [F.concat("key", F.lit("_x/"), "key")] if kind == "codemix" else [F.concat("key", F.lit(e)) for e in ("_a", "_b", "_c")]
+    return w.select("lang", "key", F.array(*made).alias("replacements"))
+
+
+def _table_sql(kind: str, strip: str) -> str:
+    keys = f"""SELECT DISTINCT lower(language) AS l, w FROM (
+    SELECT language, trim(unnest(string_split(text, ' ')), {O.q(strip)}) AS w FROM docs) WHERE w <> '' AND length(w) % 2 = 0"""
+    made = (f"cmlex AS (SELECT l AS llang, w AS lkey, w || '_x/' || w AS repl FROM ({keys}))" if kind == "codemix"
+            else f"synlex AS (SELECT l AS slang, w AS skey, [w || '_a', w || '_b', w || '_c'] AS syns FROM ({keys}))")
+    old = "cmlex(" if kind == "codemix" else "synlex("
+    ctes = [_docs_cte(), *[made if c.startswith(old) else c for c in O.lexicon_ctes()],
+            f"""src AS (SELECT id AS rid, id, 'text' AS side, language AS lang, {O.q(kind)} AS ptype,
+                {TABLE_LEVEL!r}::DOUBLE AS level, text AS t FROM docs)""", *O.perturb_ctes("src", "pout")]
+    return O.with_(ctes, "SELECT d.id, d.language, p.t_out AS text_perturbed FROM docs d JOIN pout p ON p.rid = d.id")
+
+
+def _reg_table(kind: str, strip: str, doc: str):
+    def q(spark, sf_dir):
+        d = documents(spark, sf_dir)
+        return LX.substituted(d, corpus_lexicon(d, kind), kind, TABLE_LEVEL).select("id", "language", "text_perturbed")
+    q.__doc__ = doc
+    register(f"{kind}_table", lambda: _table_sql(kind, strip))(q)
+
+
+_reg_table("codemix", fixed.CODEMIX_STRIP, "Code-mixing from a lexicon table as large as the vocabulary, no Python (B11).")
+_reg_table("paraphrase", fixed.PARAPHRASE_STRIP, "Synonym paraphrase from such a table (B12).")
+
+
+@register("paraphrase_audit", lambda: _one_step_sql("paraphrase", 0.3, ", d.text AS original_text, 'synonym' AS perturbation_type"))
+def paraphrase_audit(spark, sf_dir):
+    """Provenance of a paraphrase: original, paraphrase, language and strategy."""
+    return _one_step(spark, sf_dir, "paraphrase", 0.3, F.col("text").alias("original_text"), F.lit("synonym").alias("perturbation_type"))
+
+
 def _pairs_norm_sql() -> str:
     return f"({_pairs_raw_sql(True)})"
 
