@@ -77,6 +77,20 @@ def sampled_flips(paired: DataFrame, n: int = fixed.ERROR_CASES_PER_GROUP, seed=
                     F.col("prediction_clean").alias("clean_pred"), F.col("prediction_pert").alias("pert_pred"))
 
 
+def flip_report(counts: DataFrame, sampled: DataFrame, keys=GROUP) -> DataFrame:
+    """Flip counts per comparison with its sampled flips as one array, in the order of their draws.
+
+    `counts` has one row per comparison (`metrics.stats_from_counts`), `sampled` a few rows each (`sampled_flips`).
+    """
+    k = F.struct(rng.draw(rng.row_key(fixed.DEFAULT_SEED, "sample", "id"), 0).alias("u"), "id", "label", "clean_pred", "pert_pred")
+    few = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list(k)).alias("_s"))
+    few = few.select(*keys, F.transform("_s", lambda s: F.struct(s["id"].alias("id"), s["label"].alias("label"), s["clean_pred"].alias("clean_pred"),
+                                                                 s["pert_pred"].alias("pert_pred"))).alias("samples"))
+    none = F.array().cast("array<struct<id:string,label:string,clean_pred:string,pert_pred:string>>")
+    return (counts.select(*keys, "total_samples", F.col("flipped_count").alias("flip_count"), "flip_rate")
+            .join(few, list(keys), "left").withColumn("samples", F.coalesce("samples", none)))
+
+
 # ---- roll-ups of the robustness report --------------------------------------------------
 
 ROLLUP = ["acc_clean", "acc_perturbed", "rel_drop_acc", "consistency"]

@@ -15,6 +15,7 @@ from tremor.plans import oracle as O
 from tremor.plans import q_analysis as QA
 from tremor.plans.catalog import register, rounded
 from tremor.plans.experiment import experiment_report
+from tremor.plans.stored import REPORT_SCHEMA as STORED_REPORT
 from tremor.plans.stored import stored_report, stored_runs, stored_texts
 from tremor.session import scratch_path
 from tremor.sources import files, tables
@@ -137,14 +138,6 @@ def report_long(spark, sf_dir):
     return rounded(files.report_long(files.scan_report_files(spark, path, reports_only=False)))
 
 
-def _legacy_paths(report):
-    lv = F.col("level").cast("string")
-    runs = report.select(F.concat("model", F.lit("/"), "task", F.lit("_"), "perturbation", F.lit("_"), lv,
-                                  F.lit(".json")).alias("path"))
-    clean = report.select(F.concat(F.lit("metrics/"), "task", F.lit("_clean_metrics.json")).alias("path"))
-    return runs.unionByName(clean).distinct()
-
-
 def _parse_paths_sql() -> str:
     base = "regexp_extract(path, '([^/]+)$', 1)"
     parent = "regexp_extract(path, '([^/]+)/[^/]+$', 1)"
@@ -163,11 +156,12 @@ def _parse_paths_sql() -> str:
 
 @register("parse_paths", _parse_paths_sql)
 def parse_paths(spark, sf_dir):
-    """Metadata from legacy report paths `{model}/{task}_{perturbation}_{level}.json`; perturbation names with
-    underscores stay whole; `*_clean_*` names give level 0 (A9)."""
-    p = _legacy_paths(stored_report(spark, sf_dir))
+    """Report files `{model}/{task}_{perturbation}_{level}.json` written, listed and their names parsed, none opened;
+    perturbation names with underscores stay whole; `*_clean_*` names give level 0 (A9)."""
+    root = files.write_legacy_reports(stored_report(spark, sf_dir), scratch_path(spark, "named-reports"))
+    listed = files.list_files(spark, root, "*.json")
     meta = files.parse_report_path(F.col("path"))
-    return p.select("path", *[v.alias(k) for k, v in meta.items()])
+    return listed.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), *[v.alias(k) for k, v in meta.items()])
 
 
 SUMMARY_SCHEMA = "model string, acc_clean double, acc_perturbed double, rel_drop_acc double, consistency double"
@@ -176,10 +170,50 @@ SUMMARY_SCHEMA = "model string, acc_clean double, acc_perturbed double, rel_drop
 @register("sink_summary", lambda: _report_sql(
     "SELECT model, " + ", ".join(O.r6(f"avg({c})", c) for c in RP.ROLLUP) + " FROM report GROUP BY model"))
 def sink_summary(spark, sf_dir):
-    """Per-model summary written as CSV with a header and read back."""
-    s = RP.summary(stored_report(spark, sf_dir), ["model"])
-    path = files.write_csv(s, scratch_path(spark, "summary"))
-    return rounded(files.read_csv(spark, path, SUMMARY_SCHEMA))
+    """Roll-ups written (by model, by language, flat as CSV and as JSON); the by-model table read back."""
+    root = files.write_summaries(stored_report(spark, sf_dir), scratch_path(spark, "summary"))
+    return rounded(files.read_csv(spark, f"{root}/summary_overall_model", SUMMARY_SCHEMA))
+
+
+@register("sink_summary_language", lambda: _report_sql(
+    "SELECT model, language, " + ", ".join(O.r6(f"avg({c})", c) for c in RP.ROLLUP) + " FROM report GROUP BY model, language"))
+def sink_summary_language(spark, sf_dir):
+    """The by-language table of the same output."""
+    root = files.write_summaries(stored_report(spark, sf_dir), scratch_path(spark, "summary"))
+    return rounded(files.read_csv(spark, f"{root}/summary_by_language", SUMMARY_SCHEMA.replace("model string, ", "model string, language string, ")))
+
+
+@register("sink_flat", lambda: _report_sql(
+    "SELECT s.source, model, task, perturbation, level, language, " + _metric_cols_sql()
+    + ", CAST(n AS BIGINT) AS n FROM report, (VALUES ('csv'), ('json')) s(source)"))
+def sink_flat(spark, sf_dir):
+    """The flat report of the same output, from its CSV and from its JSON."""
+    root = files.write_summaries(stored_report(spark, sf_dir), scratch_path(spark, "summary"))
+    as_csv = files.read_csv(spark, f"{root}/all_results_flat", STORED_REPORT)
+    as_json = files.read_jsonl(spark, f"{root}/all_results", STORED_REPORT)
+    return rounded(as_csv.withColumn("source", F.lit("csv")).unionByName(as_json.withColumn("source", F.lit("json"))))
+
+
+def _flips_sql() -> str:
+    keys = "model, task, language, perturbation, level"
+    one = """'{"id":"' || id || '","label":"' || label || '","clean_pred":"' || clean_pred || '","pert_pred":"' || pert_pred || '"}'"""
+    return QA._runs_sql(f"""SELECT {keys}, total_samples, flipped_count AS flip_count, flip_rate, '[' || coalesce(s.list, '') || ']' AS samples
+  FROM ({QA._stats_sql(keys)}) t LEFT JOIN (
+    SELECT {keys}, string_agg({one}, ',' ORDER BY u, id) AS list FROM (
+      SELECT *, {O.draw_cols(O.key_sql("'sample'", 'id'), '0')} FROM ({QA._sample_sql()})) GROUP BY ALL) s USING ({keys})""", [QA.PJ, QA.CMP])
+
+
+FLIP_SCHEMA = ("model string, task string, language string, perturbation string, level double, total_samples long, flip_count long, flip_rate double, "
+               "samples array<struct<id:string,label:string,clean_pred:string,pert_pred:string>>")
+
+
+@register("sink_flips", _flips_sql)
+def sink_flips(spark, sf_dir):
+    """Flip report with its samples written as JSON and read back."""
+    r = stored_runs(spark, sf_dir)
+    rep = RP.flip_report(M.stats_from_counts(PR.comparison_counts(r)), RP.sampled_flips(PR.pair_join(r)))
+    path = files.write_jsonl(rep, scratch_path(spark, "flips"))
+    return rounded(files.read_jsonl(spark, path, FLIP_SCHEMA).withColumn("samples", F.to_json("samples")))
 
 
 ERROR_SCHEMA = ("type string, model string, task string, language string, perturbation string, level double, "

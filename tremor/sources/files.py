@@ -8,6 +8,8 @@ explicit schema: nothing is inferred.
 
 from __future__ import annotations
 
+import urllib.parse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,20 @@ REPORT_MAP = "map<string, struct<" + ", ".join(f"{f}: double" for f in METRIC_FI
 
 # ---- JSON lines (A3, A5, A12) ----------------------------------------------------------------
 
+#: Rows of one file at most.
+FILE_ROWS = 1_000_000
+
+
+def balanced(df: DataFrame, keys) -> DataFrame:
+    """Rows brought together by the directory they go to, in partitions of the session's advisory size: a small
+    directory is one file, a large one as many as its bytes need, and none is written by every task."""
+    return df.hint("rebalance", *[F.col(k) for k in keys])
+
+
 def write_jsonl(df: DataFrame, path: str, partition_by=()) -> str:
-    w = df.write.mode("overwrite").option("ignoreNullFields", "false")
+    w = (balanced(df, partition_by) if partition_by else df).write.mode("overwrite").option("ignoreNullFields", "false")
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.partitionBy(*partition_by).option("maxRecordsPerFile", FILE_ROWS)
     w.json(path)
     return path
 
@@ -45,9 +57,13 @@ CSV_READ = {**CSV_OPTS, "nullValue": "\u0000"}
 
 
 def write_predictions(runs: DataFrame, path: str, fmt: str = "csv") -> str:
-    """Predictions partitioned by model/task/perturbation; text keeps quotes and newlines (escape '"')."""
+    """Predictions partitioned by model/task/perturbation; text keeps quotes and newlines (escape '"').
+
+    A CSV file whose texts may hold newlines is read by one task, so files are kept to the advisory partition size.
+    """
     cols = [c.split()[0] for c in PRED_SCHEMA.split(", ")]
-    w = runs.select(*cols).write.mode("overwrite").partitionBy("model", "task", "perturbation")
+    keys = ["model", "task", "perturbation"]
+    w = balanced(runs.select(*cols), keys).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*keys)
     if fmt == "csv":
         w.options(**CSV_OPTS).csv(path)
     else:
@@ -65,6 +81,10 @@ def _unescaped(text: Column) -> Column:
     return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+def _escaped(name: str) -> str:
+    return urllib.parse.quote(name, safe="!$&'()*+,;=:@-._~")
+
+
 def _dir_value(path: Column, key: str) -> Column:
     """Value of a partition directory in a file URI, null without one; the URI's escapes and the directory's go."""
     return _unescaped(_unescaped(F.nullif(F.regexp_extract(path, f"/{key}=([^/]+)/", 1), F.lit(""))))
@@ -82,21 +102,28 @@ def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
 LEGACY_PREDS = "id string, text string, label string, prediction string, score double"
 
 
-def scan_legacy_predictions(spark: SparkSession, path: str) -> DataFrame:
+def scan_legacy_predictions(spark: SparkSession, path: str, task: str | None = None, language: str | None = None) -> DataFrame:
     """Every `{task}_{perturbation}_{language}_preds.csv` under `path`, flat or nested.
 
+    A task or language asked for is a condition on the file names: files of others are not opened.
+
     The five columns are read as written (id as string).  From the name: task is the first '_'-token, language the
     last, perturbation all between (null for a name of fewer than three tokens, which keeps its task); the model
     is the file's folder, unescaped.
     """
     df = (spark.read.schema(LEGACY_PREDS).options(**CSV_READ).option("recursiveFileLookup", "true")
           .option("pathGlobFilter", "*_preds.csv").csv(path))
+    name = F.col("_metadata.file_name")
+    if task is not None:
+        df = df.filter(name.startswith(_escaped(task) + "_"))
+    if language is not None:
+        df = df.filter(name.endswith("_" + _escaped(language) + "_preds.csv"))
     uri = F.col("_metadata.file_path")
     stem = _unescaped(F.regexp_extract(uri, r"([^/]+)_preds\.csv$", 1))
-    name = r"^([^_]+)_(.+)_([^_]+)$"
+    parts = r"^([^_]+)_(.+)_([^_]+)$"
 
     def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(stem, name, i), F.lit(""))
+        return F.nullif(F.regexp_extract(stem, parts, i), F.lit(""))
 
     return df.select("*", _unescaped(_unescaped(F.regexp_extract(uri, r"([^/]+)/[^/]+$", 1))).alias("model"),
                      F.coalesce(part(1), F.regexp_extract(stem, r"^([^_]*)", 1)).alias("task"),
@@ -119,6 +146,39 @@ def write_report_files(report: DataFrame, path: str) -> str:
     return path
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of every file under `path` by name, as a table: a listing, no file is opened."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+            .select("path", "length"))
+
+
+def write_legacy_reports(report: DataFrame, path: str) -> str:
+    """The report as `{model}/{task}_{perturbation}_{level}.json` files, one `{language: {metrics}}` document each, and an
+    empty `metrics/{task}_clean_metrics.json` per task.
+
+    Spark writes one small document per run; the files (as many as runs, a configuration's number) are then given
+    their names.
+    """
+    spark = report.sparkSession
+    entry = F.struct(F.col("language"), F.struct(*[F.col(f) for f in METRIC_FIELDS]))
+    name = F.concat_ws("_", "task", "perturbation", F.col("level").cast("string"))
+    docs = (report.groupBy("model", name.alias("name")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+            .select("model", F.concat("name", F.lit(".json")).alias("file"), F.to_json("m").alias("value")))
+    clean = report.select(F.lit("metrics").alias("model"), F.concat("task", F.lit("_clean_metrics.json")).alias("file"), F.lit("{}").alias("value")).distinct()
+    docs.unionByName(clean).write.mode("overwrite").partitionBy("model", "file").text(f"{path}.parts")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    of = jvm.org.apache.hadoop.fs.Path
+    for r in list_files(spark, f"{path}.parts", "*.txt").select("path").collect():
+        source = of(r["path"])
+        fs = source.getFileSystem(conf)
+        model, file = (urllib.parse.unquote(d.getName().split("=", 1)[1]) for d in (source.getParent().getParent(), source.getParent()))
+        target = of(of(path, model), file)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"could not name {target.toString()}")
+    return path
+
+
 def scan_report_files(spark: SparkSession, path: str, reports_only: bool = True) -> DataFrame:
     """Every report file under `path`, one row per (file, language).
 
@@ -175,6 +235,18 @@ def report_long(reports: DataFrame) -> DataFrame:
                     (F.coalesce("consistency", F.lit(0.0)) * 100.0).alias("consistency")))
 
 
+# ---- summaries and flip reports (A11, A12) ------------------------------------------------------
+
+def write_summaries(report: DataFrame, path: str) -> str:
+    """All that a roll-up leaves: means by model and by model and language, and the whole report flat as CSV and JSON."""
+    from tremor.operators.reports import summary
+
+    write_csv(summary(report, ["model"]), f"{path}/summary_overall_model")
+    write_csv(summary(report, ["model", "language"]), f"{path}/summary_by_language")
+    write_csv(report, f"{path}/all_results_flat")
+    return write_jsonl(report, f"{path}/all_results") and path
+
+
 # ---- CSV tables (A11) ------------------------------------------------------------------------
 
 def write_csv(df: DataFrame, path: str) -> str:

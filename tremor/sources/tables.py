@@ -89,6 +89,27 @@ def raw_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("sentence"))
 
 
+def load_task(spark: SparkSession, path: str, task: str, task_type: str = "classification", fmt: str | None = None,
+              schema: str | None = None, languages=None) -> DataFrame:
+    """Any task of any name and type from files (A1): parquet, JSON lines or CSV, told by `fmt` or the path's ending.
+
+    A folder may hold one file or folder per split (train, validation, test): a row without a split of its own takes
+    it from there.  JSON and CSV want a `schema`; ids that are missing altogether become stable keys.  `languages`
+    keeps rows of these only (a missing one counts as 'unknown').
+    """
+    fmt = fmt or next((f for e, f in ((".parquet", "parquet"), (".jsonl", "json"), (".json", "json"), (".csv", "csv")) if path.rstrip("/").endswith(e)), "parquet")
+    if fmt != "parquet" and schema is None:
+        raise ValueError("JSON and CSV files want a schema")
+    r = spark.read.schema(schema) if schema else spark.read
+    r = r.option("recursiveFileLookup", "true")
+    raw = (r.options(header="true", quote='"', escape='"', multiLine="true").csv(path) if fmt == "csv" else r.format(fmt).load(path))
+    if "split" not in raw.columns:
+        found = F.regexp_extract(F.col("_metadata.file_path"), r"/(train|validation|test)[^/]*(?:/[^/]+)?$", 1)
+        raw = raw.select("*", F.coalesce(F.nullif(found, F.lit("")), F.lit("train")).alias("split"))
+    out = standardize(raw, task, task_type, row_keys=True)
+    return out if languages is None else out.filter(F.coalesce("language", F.lit("unknown")).isin(list(languages)))
+
+
 def scan_task(spark: SparkSession, sf_dir: str, task: str, drop_unlabeled: bool = False) -> DataFrame:
     """Load one named task, standardized (A1).
 
