@@ -31,9 +31,13 @@ FILE_ROWS = 1_000_000
 
 
 def balanced(df: DataFrame, keys) -> DataFrame:
-    """Rows brought together by the directory they go to, in partitions of the session's advisory size: a small
-    directory is one file, a large one as many as its bytes need, and none is written by every task."""
-    return df.hint("rebalance", *[F.col(k) for k in keys])
+    """Rows in ranges of the directories they go to and, within one, of their content's hash.
+
+    A task writes neighbouring directories, and a large directory is cut between tasks: the files are at most as many
+    as directories and partitions together (adaptive execution joins small ranges up to its advisory size), where a
+    partition by hash would leave one file per task and directory.
+    """
+    return df.repartitionByRange(*[F.col(k) for k in keys], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in keys]))
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by=()) -> str:
