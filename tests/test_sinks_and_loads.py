@@ -19,13 +19,16 @@ def test_a_directory_is_one_file_unless_it_is_large(spark, tmp_path):
                                                 "0.1 as level", "'en' as language", "'m' as model", "'t' as task",
                                                 "case when id % 20 = 0 then 'a' when id % 20 = 1 then 'b' else 'c' end as perturbation")
     counts = {}
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
     for size in ("64MB", "100KB"):
-        old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+        old = {n: spark.conf.get(n) for n in names}
+        for n in names:
+            spark.conf.set(n, size)
         try:
             path = files.write_predictions(df, str(tmp_path / size))
         finally:
-            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+            for n in names:
+                spark.conf.set(n, old[n])
         counts[size] = {p: len(glob.glob(f"{path}/model=m/task=t/perturbation={p}/*.csv")) for p in "abc"}
         assert files.read_predictions(spark, path).count() == 4000
     assert counts["64MB"] == {"a": 1, "b": 1, "c": 1}
