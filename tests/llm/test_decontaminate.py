@@ -52,7 +52,7 @@ def test_query_equals_brute_force(spark, sf_small):
     docs = [(r.doc_id, words_of(r.text)) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     items = [(r.item_id, words_of(r.text)) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()]
     numbers = {w: i for i, w in enumerate({w for _, ws in docs + items for w in ws})}
-    want = {(d, i) for d, t in docs for i, x in items if len(x) >= 5 and set(x) & set(t)
+    want = {(d, i) for d, t in docs for i, x in items if x and set(x) & set(t)
             and edits_within(np.array([numbers[w] for w in x]), np.array([numbers[w] for w in t], np.int64))[0] <= len(x) // 5}
     assert {(r.doc_id, r.item_id) for r in op7_decontamination(spark, sf_small).collect()} == want
 
@@ -63,9 +63,10 @@ def test_odd_tables(spark):
                                   (4, "pad " * 50_000 + item, "q"), (5, "one two three", None)], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(None, item), (7, None), (8, ""), (9, "one two"), (10, item), (11, item)], "item_id long, text string")
     got = sorted((r.doc_id or 0, r.item_id, r.start, r.edits) for r in contaminated(docs, items).collect())
-    assert got == [(0, 10, 0, 0), (0, 11, 0, 0), (2, 10, 0, 0), (2, 11, 0, 0), (4, 10, 50_000, 0), (4, 11, 50_000, 0)]
+    assert [g for g in got if g[1] != 9] == [(0, 10, 0, 0), (0, 11, 0, 0), (2, 10, 0, 0), (2, 11, 0, 0), (4, 10, 50_000, 0), (4, 11, 50_000, 0)]
+    assert [g for g in got if g[1] == 9] == [(0, 9, 0, 0), (2, 9, 0, 0), (4, 9, 50_000, 0), (5, 9, 0, 0)]
     left = without_contaminated(docs, items)
-    assert left.columns == docs.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 1, 3, 5]
+    assert left.columns == docs.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 1, 3]
     assert contaminated(docs.limit(0), items).collect() == [] and contaminated(docs, items.limit(0)).collect() == []
 
 
@@ -80,3 +81,19 @@ def test_rows_are_decided_one_by_one(spark, tmp_path):
     assert left.columns == docs.columns and sorted(r.row for r in left.collect()) == ["a", "d", "e"]
     kept = without_contaminated(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
     assert sorted(r.row for r in kept.collect()) == ["a", "c", "d", "e"]
+
+
+def test_short_items_by_their_exact_words(spark):
+    """Items of one to four words: every text that holds the words in order, and its first such place."""
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(i % 4 + 1))) for i in range(16)]
+    docs = [(d, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))) for d in range(80)]
+    want = set()
+    for d, t in docs:
+        for i, x in items:
+            w, x = t.split(), x.split()
+            spots = [a for a in range(len(w) - len(x) + 1) if w[a:a + len(x)] == x]
+            want |= {(d, i, spots[0], len(x), 0)} if spots else set()
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r[c] for c in ("doc_id", "item_id", "start", "n_words", "edits")) for r in got.collect()} == want

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tremor.llm.common import fresh, slices, written
 
 MAX_EDITS = 0.2
-#: Items with fewer words than this match too much ordinary text; they are not looked for.
-MIN_WORDS = 5
+#: Least words of an item that is looked for (a bound of less than one edit is an exact match of its words).
+MIN_WORDS = 1
 WALKS, SAMPLED = 40, 2
 #: Items per block, and their words together; the block is what an executor holds.
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 1 << 20
@@ -108,20 +108,35 @@ class Block:
         self.item_order = [np.argsort(k, kind="stable") for k in keys]
 
     def keys(self, flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """LSH keys (walks x windows) of the windows flat[start : start + len]."""
+        """LSH keys (walks x windows) of the windows flat[start : start + len].
+
+        All walks of all windows of one length go step by step together; a walk leaves once it has passed its last
+        sampled place (the tail of a walk is mostly padding and is not sampled).
+        """
         out = np.zeros((self.walks, len(starts)), np.int64)
-        n_max = int(lens.max()) if len(lens) else 0
-        for w in range(self.walks):
-            pos, key = np.zeros(len(starts), np.int64), lens * self.weights[w, self.sampled]
-            wanted = np.floor(self.places[w][:, None] * (3 * lens)[None, :] / 2).astype(np.int64)  # the tail of a walk is mostly padding
-            for j in range(int(wanted.max()) + 1 if len(lens) else 0):
-                inside = pos < lens
-                word = np.where(inside, flat[np.minimum(starts + pos, len(flat) - 1)] + 1, 0)
-                for s in range(self.sampled):
-                    key += np.where(wanted[s] == j, (word + 1) * self.weights[w, s], 0)
-                mixed = (word + 7) * self.salt[w, min(j, 3 * n_max - 1)]
-                pos += (mixed >> 40) & 1
-            out[w] = key
+        for n in np.unique(lens).tolist():
+            wanted = np.floor(self.places * (3 * n) / 2).astype(np.int64)
+            order = np.argsort(-wanted.max(axis=1), kind="stable")  # the longest walks first
+            wanted, salt, weights = wanted[order], self.salt[order], self.weights[order]
+            last = wanted.max(axis=1)
+            active = [int((last >= j).sum()) for j in range(int(last[0]) + 1)]
+            width = len(active) + 1
+            which = np.flatnonzero(lens == n)
+            for part in np.array_split(which, -(-len(which) // 4096)):
+                at = starts[part][:, None] + np.arange(width)
+                words = np.where(np.arange(width) < n, flat[np.minimum(at, len(flat) - 1)] + 1, 0).ravel()
+                spot = np.tile(np.arange(len(part)) * width, (self.walks, 1))
+                key = np.repeat(n * weights[:, self.sampled], len(part)).reshape(self.walks, len(part))
+                for j, a in enumerate(active):
+                    word = words.take(spot[:a])
+                    for r, s in zip(*np.nonzero(wanted[:a] == j), strict=True):
+                        key[r] += (word[r] + 1) * weights[r, s]
+                    word += 7
+                    word *= salt[:a, j][:, None]
+                    word >>= 40
+                    word &= 1
+                    spot[:a] += word
+                out[order[:, None], part[None, :]] = key
         return out
 
     def windows(self, flat: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +153,8 @@ class Block:
         if not len(known):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         for i, n in enumerate(self.lengths.tolist()):
+            if n == 1:
+                continue
             p = known[(masks >> i) & 1 == 1]
             need = int(self.need[i])
             if len(p) < need:
@@ -162,12 +179,12 @@ class Block:
     def hits(self, flat: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document number, item id, start, item words, edits), the best place per document and item."""
         starts, lens = self.windows(flat, doc)
-        if not len(starts):
+        if not len(starts) and self.lengths[0] > 1:
             return []
         # windows past a document's end stop there
         ends = np.searchsorted(doc, doc[starts], side="right")
         begins = np.searchsorted(doc, doc[starts], side="left")
-        padded = np.concatenate([flat, np.full(int(lens.max()) + 1, -2)])
+        padded = np.concatenate([flat, np.full(int(self.lengths[-1]) + 1, -2)])
         pairs: set[tuple[int, int]] = set()
         for a in range(0, len(starts), 50_000):
             part, n = starts[a:a + 50_000], lens[a:a + 50_000]
@@ -176,23 +193,31 @@ class Block:
                 for i in np.flatnonzero(hi > lo).tolist():
                     pairs.update((a + i, int(x)) for x in self.item_order[w][lo[i]:hi[i]] if self.lens[x] == n[i])
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        for x in np.flatnonzero(self.lens == 1).tolist():  # an item of one word is looked up
+            spots = np.flatnonzero(flat == self.items[x][0])
+            own, at = np.unique(doc[spots], return_index=True)
+            best.update(((d, x), (0, s)) for d, s in zip(own.tolist(), spots[at].tolist(), strict=True))
         found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         for x in np.unique(found[:, 1]).tolist():
             k, n, item = int(self.bound[x]), int(self.lens[x]), self.items[x]
+            which = found[found[:, 1] == x, 0]
+            # windows that are the item: nothing later in their document can be better
+            same = (starts[which] + n <= ends[which]) & (padded[starts[which][:, None] + np.arange(n)] == item).all(axis=1)
+            own, at = np.unique(doc[starts[which[same]]], return_index=True)
+            best.update(((d, x), (0, s)) for d, s in zip(own.tolist(), starts[which[same]][at].tolist(), strict=True))
+            which = which[~np.isin(doc[starts[which]], own)]
             own = np.unique(item)
             inside = np.zeros(self.size, bool)
             inside[own] = True
-            which = found[found[:, 1] == x, 0]
             lo, hi = np.maximum(begins[which], starts[which] - k), np.minimum(ends[which], starts[which] + n + 2 * k)
-            done = -1
             for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
+                d = int(doc[a])
+                if best.get((d, x), (1, 0))[0] == 0:
+                    continue
                 # at least n - k of the item's words stand in the stretch, and at most k different ones do not
-                if z <= done or inside[flat[a:z]].sum() < n - k or len(own) - len(np.intersect1d(own, flat[a:z])) > k:
+                if inside[flat[a:z]].sum() < n - k or len(own) - len(np.intersect1d(own, flat[a:z])) > k:
                     continue
-                d = int(doc[a])
                 edits, at = edits_within(item, flat[a:z])
-                if edits == 0:
-                    done = z + k  # the same place again
                 if edits <= k and (edits, a + at) < best.get((d, x), (k + 1, 0)):
                     best[d, x] = (edits, a + at)
         first = {d: int(np.searchsorted(doc, d)) for d, _ in best}
@@ -205,15 +230,17 @@ def _blocks(items: DataFrame, key: str, text: str, min_words: int, max_edits: fl
     rows = (items.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id is not null and text is not null")
             .orderBy(n, "id", "text").toLocalIterator())
     held: list[tuple[int, list[str]]] = []
+    total, lengths = 0, set()
     for r in rows:
         w = words_of(r["text"])
         if len(w) < min_words:
             continue
-        lengths = {len(x) for _, x in held} | {len(w)}
-        if held and (len(held) >= BLOCK_ITEMS or sum(len(x) for _, x in held) + len(w) > BLOCK_WORDS or len(lengths) > 62):
+        if held and (len(held) >= BLOCK_ITEMS or total + len(w) > BLOCK_WORDS or len(lengths | {len(w)}) > 62):
             yield Block(held, max_edits, walks, sampled)
-            held = []
+            held, total, lengths = [], 0, set()
         held.append((r["id"], w))
+        total += len(w)
+        lengths.add(len(w))
     if held:
         yield Block(held, max_edits, walks, sampled)
 
