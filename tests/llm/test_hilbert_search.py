@@ -47,3 +47,11 @@ def test_odd_vectors(spark):
     got = [tuple(r)[:3] for r in nearest(df, F.col("vec_id") % 50 == 0, 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 9), (50, 1, 9), (50, 2, 0), (50, 3, 1)]
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_components_of_any_size(spark):
+    """Squares out of the range of doubles change no cosine; vectors of another length take no part."""
+    rows = [(0, [1e200, 1e200]), (1, [0.0, 1.0]), (2, [2e-200, 2e-200]), (3, [1e200, 1e200]), (4, [-1.0, -1.0]), (5, [1.0]), (100, [1.0, 1.0, 1.0]), (6, [5e-324, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 6, 1.0), (0, 4, 1, round(0.5 ** 0.5, 9)), (0, 5, 4, -1.0)]

@@ -65,3 +65,19 @@ def test_key_lookup_is_pushed_down(spark, tmp_path, sf_small):
     one = read_token_files(spark, str(tmp_path / "t")).filter("doc_id = 5")
     assert one.count() == 1
     assert "EqualTo(doc_id,5)" in one._jdf.queryExecution().toString()
+
+
+def test_equal_rows_are_spread_over_files(spark, tmp_path):
+    """A third of the rows equal: no file holds much more than its share."""
+    rows = [(5, "the same text")] * 3000 + [(i, f"text {i}") for i in range(6000)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # small ranges would be joined into one file
+    spark.conf.set(name, "false")
+    try:
+        write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), str(tmp_path / "t"), PATH, 2)
+    finally:
+        spark.conf.set(name, "true")
+    files = read_token_files(spark, str(tmp_path / "t"))
+    sizes = [r["count"] for r in files.groupBy("file_no").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) <= 2 * 9000 / len(sizes)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_digests(files).collect())
+    assert got == sorted(want(sorted(rows)))

@@ -22,7 +22,7 @@ def rule(host, path):
     return best
 
 
-def brute(rows, rounds=url_filter.ROUNDS, d=url_filter.DAMPING):
+def brute(rows, rounds=300, d=url_filter.DAMPING):
     parsed = {i: (*parse(u), rule(*parse(u))) for i, u, _ in rows}
     pages, seeds, links = Counter(), defaultdict(lambda: [0, 0]), Counter()
     for i, _, html in rows:
@@ -77,3 +77,16 @@ def test_repeated_pages_and_a_hot_host(spark):
     rows = [(i % 40, f"http://hot.net/{'es' if i % 3 else 'de'}/{i % 40}", "<a href='http://z.org/'>") for i in range(120)]
     got = url_filter.judge(spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string")).collect()
     assert len(got) == 121 and {r.verdict for r in got if r.host} == {"block"}
+
+
+def test_propagation_runs_until_nothing_changes(spark):
+    """A chain of forty hosts before a blocked one, and a ring: more rounds than any fixed number would do."""
+    rows = [(i, f"http://h{i}.org/", f"<a href='http://h{i + 1}.org/'>") for i in range(40)] + [(40, "http://h40.net/es/", "<a href='http://h0.org/'>")]
+    rows += [(100 + i, f"http://r{i}.org/", f"<a href='//r{(i + 1) % 3}.org/'><a href='//h40.net/'>") for i in range(3)]
+    rows[39] = (39, "http://h39.org/", "<a href='http://h40.net/x'>")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()} == brute(rows)
+    seeds = spark.createDataFrame([(f"h{i}", 0.0, float(i == 9)) for i in range(10)], "host string, allowed double, blocked double")
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0, 1.0) for i in range(9)], "src string, dst string, share double, back double")
+    got = {r.host: r.distrust for r in url_filter.propagate(seeds, links).collect()}
+    assert all(abs(got[f"h{i}"] - 0.15 * 0.85 ** (9 - i)) < 1e-9 for i in range(10))

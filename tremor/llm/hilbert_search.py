@@ -68,16 +68,28 @@ def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
     return hilbert_keys(np.clip(at * (1 << BITS), 0, (1 << BITS) - 1), BITS)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near one: its cosines stay the same to the
+    last bit, and no square leaves the range of doubles."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v): rows with a key and a vector of finite components that isn't zero, in double precision."""
+    """(vec_id, v): rows with a key and a vector of finite components that isn't zero, in double precision.
+
+    Vectors must have one length: that of most of them (of equally many, the longer); others are left out.
+    """
     v = F.col("v")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return (vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    rows = (vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
             .filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(good, F.lit(False))))
+    most = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return rows if most is None else rows.filter(F.size(v) == most["n"])
 
 
 def ranks(vectors: DataFrame, curves: int = CURVES) -> DataFrame:
@@ -116,7 +128,7 @@ def ranks(vectors: DataFrame, curves: int = CURVES) -> DataFrame:
 def _best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """Each query's k best among the vectors by (cosine, smaller id), itself left out."""
     order = np.argsort(ids, kind="stable")
-    ids, unit = ids[order], _unit(vectors[order])
+    ids, unit, queries, vectors = ids[order], _unit(vectors[order]), _scaled(queries), _scaled(vectors)
     out = []
     for at in range(0, len(queries), 256):
         score = _unit(queries[at:at + 256]) @ unit.T

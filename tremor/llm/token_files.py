@@ -149,13 +149,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode every whole text and write the files in ascending order of `key`.
 
     Rows with a null key come first; rows with equal keys are ordered (and may be dealt apart) by their text's
-    hash; a null text is empty and gives the end id alone.  An empty table writes a readable empty file.
+    hash, equal rows by a number of their own, so that no group of copies fills one file; a null text is empty and
+    gives the end id alone.  An empty table writes a readable empty file.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    rows = (docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-            .repartitionByRange(*order).sortWithinPartitions(*order))
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("row")]
+    rows = (docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+            .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text"))
     schema = StructType([StructField("doc_id", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()),
                          StructField("file_no", IntegerType()), StructField("before", LongType())])
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tremor.llm.common import without, written
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.05
+DAMPING, THRESHOLD = 0.85, 0.05
+#: Propagation ends when no host's trust or distrust changes by more.
+TOLERANCE = 1e-6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,29 +51,36 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
                    .select("src", "dst", (F.col("count") / F.col("sent")).alias("share"), (F.col("count") / F.col("got")).alias("back")), "host-graph")
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after a fixed number of rounds; seeds (host, allowed, blocked) hold every seed host.
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) when they no longer change; seeds (host, allowed, blocked) hold every seed host.
 
-    Every third round is written to the shared folder.  Without links the seeds alone count.
+    Three rounds at a time, the scores are written to the shared folder and held against those before: a round passes
+    on at most `damping` of what changed, so the changes shrink by that factor and the loop ends.  Without links the
+    seeds alone count; null hosts take no part.
     """
     spark = seeds.sparkSession
     start = seeds.select("host", (F.col("allowed") * (1 - damping)).alias("trust"), (F.col("blocked") * (1 - damping)).alias("distrust"))
-    scores = start = written(spark, start, "seeds")
+    scores = start = written(spark, start.filter("host is not null"), "seeds")
     if links.isEmpty():
         return scores
-    for i in range(rounds):
-        sent = links.join(scores, F.col("src") == F.col("host")).select(
-            F.col("dst").alias("host"), (F.col("trust") * F.col("share") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
-        back = links.join(scores, F.col("dst") == F.col("host")).select(
-            F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("back") * damping).alias("distrust"))
-        scores = start.union(sent).union(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % 3 == 2 or i == rounds - 1:
-            scores = written(spark, scores, "trust")
-    return scores
+    while True:
+        before = scores
+        for _ in range(3):
+            sent = links.join(scores, F.col("src") == F.col("host")).select(
+                F.col("dst").alias("host"), (F.col("trust") * F.col("share") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
+            back = links.join(scores, F.col("dst") == F.col("host")).select(
+                F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("back") * damping).alias("distrust"))
+            scores = start.union(sent).union(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        scores = written(spark, scores, "trust")
+        old = before.select(F.col("host").alias("h"), F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        moved = F.greatest(*[F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) for a, b in (("trust", "t"), ("distrust", "d"))])
+        most = scores.join(old, F.col("host") == F.col("h"), "full").agg(F.max(moved).alias("m")).first()["m"]
+        if (most or 0.0) <= tolerance:
+            return scores
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", html: str = "html", threshold: float = THRESHOLD,
-          damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+          damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """`pages` without `html`, with host, path, rule and verdict.
 
     A page's verdict is that of its longest rule, else its host's: block where distrust - trust exceeds the
@@ -90,7 +99,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str =
              F.avg((F.col("verdict") == "block").cast("double")).alias("b"), F.count("*").alias("n"), F.count("verdict").alias("known"))
              .select("host", F.coalesce(F.col("a") * F.col("known") / F.col("n"), F.lit(0.0)).alias("allowed"),
                      F.coalesce(F.col("b") * F.col("known") / F.col("n"), F.lit(0.0)).alias("blocked")))
-    scores = propagate(seeds, host_links(named, "host", f"`{html}`"), damping, rounds)
+    scores = propagate(seeds, host_links(named, "host", f"`{html}`"), damping, tolerance)
     bad = scores.filter(F.col("distrust") - F.col("trust") > threshold).select("host", F.lit("block").alias("by_host"))
     bad = written(spark, bad, "blocked-hosts")
     return (ruled.join(bad, "host", "left").withColumn("verdict", F.coalesce("verdict", "by_host", F.lit("allow")))
