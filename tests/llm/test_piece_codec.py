@@ -71,3 +71,22 @@ def test_odd_tables(spark, rows):
     for r in got:
         assert r.ids == [*LIB.encode(r.text or ""), 2] and r.decoded == (r.text or "")
     assert out.filter(F.size("ids") < 1).count() == 0
+
+
+def test_query_equals_the_library(spark, sf_small):
+    """op1_sentencepiece over the whole table: ids with the end id, and the text they decode to."""
+    import hashlib
+
+    import public_tokenizers
+    import sentencepiece
+
+    from tremor.llm.queries import op1_sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    out = op1_sentencepiece(spark, sf_small).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    for r in out:
+        ids = lib.encode(docs[r.doc_id], add_bos=False, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids)))
