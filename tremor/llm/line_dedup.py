@@ -31,12 +31,19 @@ _LONG = 4096
 _LINE = ["h1", "h2"]
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """`df` with a column that is computed once a row: no filter above is pushed below it and computes it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line with words: at (id, row, line number), its words with single spaces, its two hashes."""
-    lines = docs.select(F.struct(F.col(key).alias("id"), F.col("row")).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    inner = F.trim("line")
-    plain = F.when(F.instr(inner, "  ") == 0, inner).otherwise(F.array_join(F.array_remove(F.split(inner, " "), ""), " "))
-    lines = lines.select(F.struct("doc.id", "doc.row", "pos").alias("at"), plain.alias("line")).filter("line <> ''")
+    """One row per line with words: at (id, row, line number), its words with single spaces and their number, its two hashes."""
+    lines = docs.select(F.struct(F.col(key).alias("id"), F.col("row")).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
+    lines = _once(lines, F.split("raw", " "), "parts")
+    words = F.array_remove("parts", "")
+    lines = _once(lines, F.when(F.array_contains("parts", ""), F.struct(F.array_join(words, " ").alias("line"), F.size(words).alias("n")))
+                  .otherwise(F.struct(F.col("raw").alias("line"), F.size("parts").alias("n"))), "plain")
+    lines = lines.select(F.struct("doc.id", "doc.row", "pos").alias("at"), "plain.line", "plain.n").filter("n > 0")
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("line"), F.col("line")))
 
 
@@ -46,19 +53,13 @@ def _with_halves(lines: DataFrame, min_words: int, *columns: str) -> DataFrame:
     A line of n words has the halves of n words (to meet lines as long, and longer ones) and of n - 1 words (to
     meet shorter ones): n div 2 words of either end, and n div 2 - 1 of the first or n div 2 + 1 of the last.
     """
-    n, half = F.size("words"), F.size("words").bitwiseAND(-2) / 2
-    half = half.cast("int")
-    even = n == half * 2
-
-    def first(k: Column) -> Column:
-        return F.xxhash64(F.lit(0), F.slice("words", F.lit(1), k))
 
-    def last(k: Column) -> Column:
-        return F.xxhash64(F.lit(1), F.slice("words", n - k + 1, k))
+    def half(count: str, side: int) -> Column:
+        """Hash of the first (side 0) or last (side 1) `count` words, taken from the line as one piece."""
+        return F.xxhash64(F.lit(side), F.expr(f"substring_index(line, ' ', {'-' * side}({count}))"))
 
-    keys = F.array(first(half), last(half), F.when(even, first(half - 1)).otherwise(last(half + 1)))
-    worded = lines.withColumn("words", F.split("line", " ")).filter(n >= min_words - 1)
-    return worded.select(*columns, F.explode(keys).alias("half"))
+    keys = F.array(half("n div 2", 0), half("n div 2", 1), F.when(F.col("n") % 2 == 0, half("n div 2 - 1", 0)).otherwise(half("n div 2 + 1", 1)))
+    return lines.filter(F.col("n") >= min_words - 1).select(*columns, F.explode(keys).alias("half"))
 
 
 def _bitmap(keys: DataFrame, key: str) -> DataFrame:
