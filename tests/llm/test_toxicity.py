@@ -1,5 +1,9 @@
+import functools
+import math
+import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tremor.llm import toxicity
@@ -84,3 +88,100 @@ def model_ratio(model, form):
     """Unshrunk log-ratio of a word."""
     whole = toxicity.Model(model.order, 0.0, model.ngram, model.backoff)
     return whole.word(form)
+
+
+def plain_models(word_counts, order, cutoff, strength):
+    """The two log-likelihoods of a word, straight from the definition: `word_counts` is word -> (toxic, ordinary) documents."""
+    raw = {}
+    for w, (t, o) in word_counts.items():
+        s = toxicity.HEAD + w + toxicity.TAIL
+        for end in range(2, len(s) + 1):
+            for start in range(max(0, end - order), end):
+                had = raw.get(s[start:end], (0, 0))
+                raw[s[start:end]] = (had[0] + t, had[1] + o)
+    tables = {"t": {}, "o": {}, "s": {}}
+    for g, (t, o) in raw.items():
+        longer = [raw[h] for h in raw if h[1:] == g and len(h) > 1] if len(g) < order and g[0] != toxicity.HEAD else None
+        tables["t"][g] = t if longer is None else sum(a > 0 for a, _ in longer)
+        tables["o"][g] = o if longer is None else sum(b > 0 for _, b in longer)
+        tables["s"][g] = t + o if longer is None else len(longer)
+    discount = {}
+    for c, counts in tables.items():
+        for k in range(1, order + 1):
+            ones, twos = (sum(n == m for g, n in counts.items() if len(g) == k) for m in (1, 2))
+            discount[c, k] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    after = {}
+    for g in raw:
+        after.setdefault(g[:-1], []).append(g)
+    seen = {g for g, n in raw.items() if sum(n) >= cutoff}
+    held = {c for c, gs in after.items() if sum(sum(raw[g]) for g in gs) >= cutoff}
+
+    def left(c, context):
+        """Sum and number of what a class has behind a context."""
+        n = [tables[c][g] for g in after[context]]
+        return sum(n), sum(x > 0 for x in n)
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        total, kinds = left("s", g[:-1]) if g[:-1] in held else (0, 0)
+        if not total:
+            return shared(g[1:])
+        d = discount["s", len(g)]
+        own = max(tables["s"][g] - d, 0) if g in seen else 0
+        return (own + d * kinds * shared(g[1:])) / total
+
+    def likelihood(c, g):
+        if g[:-1] not in held:
+            return shared(g)
+        (total, kinds), d = left(c, g[:-1]), discount[c, len(g)]
+        own = max(tables[c][g] - d, 0) if g in seen else 0
+        return (own + (d * kinds + strength) * shared(g)) / (total + strength)
+
+    def ratio(form):
+        s = toxicity.HEAD + form + toxicity.TAIL
+        grams = [s[max(0, i - order):i] for i in range(2, len(s) + 1)]
+        return sum(math.log(likelihood("t", g)) - math.log(likelihood("o", g)) for g in grams)
+
+    return ratio
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Counts, both models, evidence and score of a small random table, recomputed without the module's tables."""
+    rng = random.Random(5)
+    usual, bad = (["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(40)] for letters in ("abcde", "bdegk"))
+    rows, labels = [(None, "no id"), (900, None), (901, "")], []
+    for i in range(200):
+        toxic = i % 5 == 0
+        words = [rng.choice(usual + bad * (2 if toxic else 0)) + rng.choice(["", "", "!", ","]) for _ in range(rng.randint(1, 25))]
+        rows.append((i, " ".join(words).title() if i % 7 == 0 else " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    prints = {r.doc_id: r.curve for r in docs.filter("text is not null").selectExpr(
+        "doc_id", "xxhash64(xxhash64(text), 'curve') % 4 = 0 as curve").collect()}
+    marked = {k: v for k, v in labels if zlib.crc32(str(k).encode()) % 4 != 2}
+    sample = {(t, marked[k]): prints[k] for k, t in rows if k in marked}
+    counts = {}
+    for (t, label), curve in sample.items():
+        for w in {w.strip(toxicity._EDGE) for w in t.lower().split()} - {""}:
+            if not curve:
+                had = counts.get(w, (0, 0))
+                counts[w] = (had[0] + label, had[1] + 1 - label)
+    ratio = functools.cache(plain_models(counts, toxicity.ORDER, toxicity.CUTOFF, toxicity.STRENGTH))
+
+    def evidence(text):
+        words = [ratio(w.strip(toxicity._EDGE)) for w in text.lower().split()]
+        return sum(r ** 9 / (r ** 8 + toxicity.SHRINK ** 8) for r in words) / (len(words) + toxicity.SHORT)
+
+    curve = [(evidence(t), label) for (t, label), c in sample.items() if c]
+    x, y = (np.array(c, float) for c in zip(*curve, strict=True))
+    n_toxic = sum(marked.values())
+    weight = np.where(y > 0, 1.0, min(toxicity.MAX_PRIOR, (len(marked) - n_toxic) / n_toxic))
+    scale = np.abs(x).mean()
+    rest = weight * (y - 1 / (1 + np.exp(-(model.slope * x + model.offset))))
+    # the curve's penalised likelihood is flat at the fitted values
+    assert abs((rest * x).sum() / scale - 0.05 * model.slope * scale) < 1e-6 and abs(rest.sum() - 1e-3 * model.offset) < 1e-6
+    for r in toxicity.score(docs, model).collect():
+        expected = 1 / (1 + math.exp(-(model.slope * evidence(r.text or "") + model.offset)))
+        assert abs(r.score - expected) < 1e-9 and r.predicted == int(r.score >= 0.3)
