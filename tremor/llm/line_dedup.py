@@ -126,7 +126,8 @@ def _variants(live: DataFrame, min_words: int) -> DataFrame:
 
 def _near(live: DataFrame, min_words: int) -> DataFrame:
     """(row, pos): first places of the lines that an earlier line is one edit away from."""
-    spark, variants = live.sparkSession, _variants(live, min_words)
+    spark = live.sparkSession
+    variants = written(spark, _variants(live, min_words), "variants")
     whole = F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
     # one word replaced: everyone against the earliest of the key
     common = written(spark, _marked(variants, "swap", _bitmap(_shared(variants, "swap", "h1"), "swap")).select("at", "swap"), "swaps")
