@@ -85,20 +85,22 @@ def test_mild_words_and_repeats_count(spark):
 
 
 def model_ratio(model, form):
-    """Unshrunk log-ratio of a word."""
-    whole = toxicity.Model(model.order, 0.0, model.ngram, model.backoff)
-    return whole.word(form)
+    """Unweighted log-ratio of a word."""
+    return model.ratio(form)[0]
 
 
-def plain_models(word_counts, order, cutoff, strength):
-    """The two log-likelihoods of a word, straight from the definition: `word_counts` is word -> (toxic, ordinary) documents."""
+def plain_models(documents, order, cutoff, strength):
+    """A word's log-ratio and variance, straight from the definition: `documents` are (set of words, label)."""
     raw = {}
-    for w, (t, o) in word_counts.items():
-        s = toxicity.HEAD + w + toxicity.TAIL
-        for end in range(2, len(s) + 1):
-            for start in range(max(0, end - order), end):
-                had = raw.get(s[start:end], (0, 0))
-                raw[s[start:end]] = (had[0] + t, had[1] + o)
+    for words, label in documents:
+        held = set()
+        for s in (toxicity.HEAD + w + toxicity.TAIL for w in words):
+            held |= {s[start:end] for end in range(2, len(s) + 1) for start in range(max(0, end - order), end)}
+        for g in held:
+            t, o = raw.get(g, (0, 0))
+            raw[g] = (t + label, o + 1 - label)
+    sizes = {"t": sum(label for _, label in documents), "o": sum(1 - label for _, label in documents)}
+    strength = {c: strength * n / min(sizes.values()) for c, n in sizes.items()}
     tables = {"t": {}, "o": {}, "s": {}}
     for g, (t, o) in raw.items():
         longer = [raw[h] for h in raw if h[1:] == g and len(h) > 1] if len(g) < order and g[0] != toxicity.HEAD else None
@@ -131,17 +133,21 @@ def plain_models(word_counts, order, cutoff, strength):
         own = max(tables["s"][g] - d, 0) if g in seen else 0
         return (own + d * kinds * shared(g[1:])) / total
 
-    def likelihood(c, g):
-        if g[:-1] not in held:
-            return shared(g)
+    def share(c, g):
+        """A class's estimate of what follows a context (of all that it leaves to the shared one, if g is unseen)."""
         (total, kinds), d = left(c, g[:-1]), discount[c, len(g)]
-        own = max(tables[c][g] - d, 0) if g in seen else 0
-        return (own + (d * kinds + strength) * shared(g)) / (total + strength)
+        rest = (d * kinds + strength[c]) / (total + strength[c])
+        p = max(tables[c][g] - d, 0) / (total + strength[c]) + rest * shared(g) if g in seen else rest
+        return p, (1 - p) / (p * (total + strength[c]))
 
     def ratio(form):
         s = toxicity.HEAD + form + toxicity.TAIL
-        grams = [s[max(0, i - order):i] for i in range(2, len(s) + 1)]
-        return sum(math.log(likelihood("t", g)) - math.log(likelihood("o", g)) for g in grams)
+        r = v = 0.0
+        for g in (s[max(0, i - order):i] for i in range(2, len(s) + 1)):
+            if g[:-1] in held:
+                (of_t, v_t), (of_o, v_o) = share("t", g), share("o", g)
+                r, v = r + math.log(of_t) - math.log(of_o), v + max(v_t + v_o, 0.0)
+        return r, v
 
     return ratio
 
@@ -162,17 +168,13 @@ def test_scores_equal_a_plain_version(spark):
         "doc_id", "xxhash64(xxhash64(text), 'curve') % 4 = 0 as curve").collect()}
     marked = {k: v for k, v in labels if zlib.crc32(str(k).encode()) % 4 != 2}
     sample = {(t, marked[k]): prints[k] for k, t in rows if k in marked}
-    counts = {}
-    for (t, label), curve in sample.items():
-        for w in {w.strip(toxicity._EDGE) for w in t.lower().split()} - {""}:
-            if not curve:
-                had = counts.get(w, (0, 0))
-                counts[w] = (had[0] + label, had[1] + 1 - label)
-    ratio = functools.cache(plain_models(counts, toxicity.ORDER, toxicity.CUTOFF, toxicity.STRENGTH))
+    documents = [({w.strip(toxicity._EDGE) for w in t.lower().split()} - {""}, label) for (t, label), curve in sample.items() if not curve]
+    ratio = functools.cache(plain_models(documents, toxicity.ORDER, toxicity.CUTOFF, toxicity.STRENGTH))
 
     def evidence(text):
-        words = [ratio(w.strip(toxicity._EDGE)) for w in text.lower().split()]
-        return sum(r ** 9 / (r ** 8 + toxicity.SHRINK ** 8) for r in words) / (len(words) + toxicity.SHORT)
+        words = [w.strip(toxicity._EDGE) for w in text.lower().split()]
+        known = [ratio(w) for w in words if w]
+        return sum(r ** 5 / (r ** 4 + (toxicity.ERRORS ** 2 * v) ** 2) for r, v in known if r) / (len(words) + toxicity.SHORT)
 
     curve = [(evidence(t), label) for (t, label), c in sample.items() if c]
     x, y = (np.array(c, float) for c in zip(*curve, strict=True))
@@ -185,3 +187,20 @@ def test_scores_equal_a_plain_version(spark):
     for r in toxicity.score(docs, model).collect():
         expected = 1 / (1 + math.exp(-(model.slope * evidence(r.text or "") + model.offset)))
         assert abs(r.score - expected) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
+def test_counts_are_of_documents(spark):
+    """A long document with sixty words of one stem counts an n-gram once, as a short one does."""
+    rows = [("zu zu zul zula " + " ".join(f"zula{i}" for i in range(60)), 1), ("Zu!", 0), ("zu", 0), ("", 0), ("...", 1)]
+    counts = {r.g: (r.toxic, r.ordinary) for r in toxicity._ngram_counts(spark.createDataFrame(rows, "text string, label int"), 3).collect()}
+    assert counts["zu"] == counts[toxicity.HEAD + "zu"] == (1, 2) and counts["ul"] == (1, 0) and max(map(max, counts.values())) == 2
+    assert sorted(toxicity._ngrams("ab", 3)) == sorted(["\x02a", "a", "\x02ab", "ab", "b", "ab\x03", "b\x03", "\x03"])
+
+
+def test_what_neither_class_holds_says_nothing_whatever_their_sizes(spark):
+    """One class has ten times the documents; unseen words and punctuation are no evidence for the smaller one."""
+    rows = [(i, " ".join([f"{a}{b}" for a in ("ta", "mo", "ri") for b in ("lo", "nu", "pe")] + ["grok"] * (i % 11 == 0))) for i in range(700)]
+    rows = [(i, f"{t} own{i}") for i, t in rows]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                         spark.createDataFrame([(i, int(i % 11 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.word("grok") > 2 and model.word("") == 0 and all(abs(model.word(w)) < 0.2 for w in ("xyzzy", "qqq", "talo", "own77"))

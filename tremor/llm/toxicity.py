@@ -3,11 +3,17 @@
 Two character models of words, one of toxic and one of ordinary labelled documents, and a third of both together.
 The third interpolates down through continuation counts in the Kneser-Ney way; each class's absolutely discounted
 counts back off to it with the same context, so the backoff counts are shared: an expression that a class has
-hardly seen is judged alike by both, and only counts that differ speak.  The counts are numbers of documents.  A
-word's evidence is the difference r of its two log-likelihoods, shrunk smoothly to r^9 / (r^8 + shrink^8), which
-damps a language or a subject that one class's sample holds a little more of but sets no word to zero; a
-document's is the sum over its words, every occurrence, normalised by their number (plus `short`, which keeps a
-handful of words from deciding).  A logistic curve fitted on documents that gave no counts turns it into a score.
+hardly seen is judged alike by both, and only counts that differ speak.  The counts are numbers of documents that
+hold an n-gram in any word, so one long document with words of its own speaks once.
+
+A word's evidence is the difference r of its two log-likelihoods, weighted by what the counts behind it can tell
+from chance: with v the variance of r (the sum of those of the binomial shares on the way through the word) it is
+r^5 / (r^4 + (z^2 v)^2).  A ratio that many documents stand behind counts whole however mild it is; one within z
+standard errors of none is what a sample gives by itself, such as a language that one class happens to hold a
+little more of.  More labelled documents lower v and let milder words speak.  z is 4, as hundreds of thousands of
+ratios are looked at.  A document's evidence is the sum over its words, every occurrence, normalised by their
+number (plus `SHORT`, which keeps a handful of words from deciding); punctuation alone says nothing.  A logistic
+curve fitted on documents that gave no counts turns it into a score.
 
 The fit uses a bounded sample: at most `max_docs` labelled documents, whole texts, per class, the smallest by
 hash of their id, exact copies once.  Counts are summed on Spark; the driver receives only n-grams of `cutoff` or
@@ -19,6 +25,7 @@ from __future__ import annotations
 import math
 import string
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -34,10 +41,11 @@ from tremor.llm.common import appended, slices, with_fields, without, written
 MAX_DOCS = 4000
 ORDER = 6
 CUTOFF = 2
-#: Weight of the shared estimate against a class's own counts, in documents.
+#: Weight of the shared estimate against a class's own counts, in documents of the smaller class; the larger class
+#: has as many more as it has documents, or what neither has seen would look like the smaller one.
 STRENGTH = 10.0
-#: Where half of a word's log-ratio is left.
-SHRINK = 3.0
+#: Standard errors at which half of a word's log-ratio counts.
+ERRORS = 4.0
 SHORT = 15.0
 #: Weight of ordinary documents against toxic ones when the curve is fitted, at most.
 MAX_PRIOR = 20.0
@@ -55,25 +63,31 @@ def fold(key: Column) -> Column:
 
 @dataclass
 class Model:
-    """Log-ratios toxic / ordinary: of every n-gram's estimate, and of the backoff weight behind every context."""
+    """(Log-ratio toxic / ordinary, its variance): of every n-gram's estimate, and of the backoff weight behind every context."""
 
     order: int
-    shrink: float
-    ngram: dict[str, float] = field(default_factory=dict)
-    backoff: dict[str, float] = field(default_factory=dict)
+    errors: float
+    ngram: dict[str, tuple[float, float]] = field(default_factory=dict)
+    backoff: dict[str, tuple[float, float]] = field(default_factory=dict)
     slope: float = 0.0
     offset: float = -20.0
     key: str = ""
 
-    def word(self, form: str) -> float:
-        """Difference of the two log-likelihoods of one word, shrunk."""
-        s, total, n = HEAD + form + TAIL, 0.0, self.order
+    def ratio(self, form: str) -> tuple[float, float]:
+        """Difference of the two log-likelihoods of one word, and its variance."""
+        s, total, spread, n = HEAD + form + TAIL, 0.0, 0.0, self.order
         known, behind = self.ngram.get, self.backoff.get
         for i in range(2, len(s) + 1):
             g = s[i - n if i > n else 0:i]
-            r = known(g)
-            total += behind(g[:-1], 0.0) if r is None else r
-        return total / (1.0 + (self.shrink / total) ** 8) if abs(total) > 1e-9 else 0.0
+            r, v = known(g) or behind(g[:-1], (0.0, 0.0))
+            total += r
+            spread += v
+        return total, spread
+
+    def word(self, form: str) -> float:
+        """A word's log-ratio, weighted by its certainty; punctuation alone is no word and says nothing."""
+        r, v = self.ratio(form) if form else (0.0, 0.0)
+        return r ** 5 / (r ** 4 + (self.errors ** 2 * v) ** 2) if abs(r) > 1e-9 else 0.0
 
     def evidence(self, texts: list[str], words: Words) -> np.ndarray:
         """Length-normalised evidence of whole texts, every occurrence of a word counted."""
@@ -99,48 +113,35 @@ class Words(dict):
         return r
 
 
-_COUNTS = [StructField("toxic", LongType()), StructField("ordinary", LongType())]
-
-
-def _summed(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def _arrow_counts(counts: dict[str, list[int]], key: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
-                                       pa.array([c[0] for c in counts.values()], pa.int64())], names=[key, "toxic", "ordinary"])
+def _ngrams(word: str, order: int) -> list[str]:
+    """Every n-gram of 1 to `order` characters of a word, its ends included (but none of its beginning alone)."""
+    s = HEAD + word + TAIL
+    return [s[a:i + 1] for i in range(1, len(s)) for a in range(max(0, i + 1 - order), i + 1)]
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): documents of each class that hold a word."""
+def _ngram_counts(docs: DataFrame, order: int) -> DataFrame:
+    """(g, toxic, ordinary): documents of each class that hold an n-gram, so that no document speaks twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
         for batch, texts in slices(batches, "text"):
-            counts: dict[str, list[int]] = {}
+            counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
             for t, label in zip(texts, batch.column(batch.schema.get_field_index("label")).to_pylist(), strict=True):
+                held: set[str] = set()
                 for w in {w.strip(_EDGE) for w in t.lower().split()} - {""}:
-                    counts.setdefault(w, [0, 0])[label] += 1
-            yield _arrow_counts(counts, "word")
+                    grams = known.get(w)
+                    if grams is None:
+                        grams = _ngrams(w, order)
+                        if len(known) < MEMORY_WORDS // 10 and len(w) < 24:
+                            known[w] = grams
+                    held.update(grams)
+                counts[label].update(held)
+            grams = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *[pa.array([c[g] for g in grams], pa.int64()) for c in reversed(counts)]],
+                                             names=["g", "toxic", "ordinary"])
 
-    return _summed(docs.mapInArrow(run, StructType([StructField("word", StringType()), *_COUNTS])), "word")
-
-
-def _ngram_counts(words: DataFrame, order: int) -> DataFrame:
-    """(g, toxic, ordinary) of every n-gram of 1 to `order` characters, word ends included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[str, list[int]] = {}
-            for w, t, o in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                s = HEAD + w + TAIL
-                for i in range(1, len(s)):
-                    for a in range(max(0, i + 1 - order), i + 1):
-                        c = counts.setdefault(s[a:i + 1], [0, 0])
-                        c[0] += o
-                        c[1] += t
-            yield _arrow_counts(counts, "g")
-
-    return _summed(words.mapInArrow(run, StructType([StructField("g", StringType()), *_COUNTS])), "g")
+    schema = StructType([StructField(c, LongType() if c != "g" else StringType()) for c in ("g", "toxic", "ordinary")])
+    return docs.mapInArrow(run, schema).groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 class Context(NamedTuple):
@@ -164,8 +165,8 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def _estimates(raw: DataFrame, order: int, cutoff: int, strength: float, shrink: float) -> Model:
-    """Both models from a written table of raw n-gram counts."""
+def _estimates(raw: DataFrame, order: int, cutoff: int, strength: dict[str, float], errors: float) -> Model:
+    """Both models from a written table of raw n-gram counts; `strength` of the shared estimate by class."""
     spark = raw.sparkSession
     size, n_toxic, n_ordinary = F.length("g"), F.col("toxic"), F.col("ordinary")
     # shorter n-grams count the different characters before them, unless they begin a word
@@ -184,7 +185,7 @@ def _estimates(raw: DataFrame, order: int, cutoff: int, strength: float, shrink:
     contexts = counts.groupBy(prefix.alias("c"), "size").agg(
         F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in "tos"], *[F.count_if(F.col(c) > 0).alias("k" + c) for c in "tos"])
     context = {c: Context(*rest) for c, *rest in _rows(contexts.filter(F.col("n") >= cutoff).select("c", *Context._fields))}
-    model = Model(order, shrink, key=uuid.uuid4().hex)
+    model = Model(order, errors, key=uuid.uuid4().hex)
     p: dict[str, float] = {}
 
     def both(g: str) -> float:
@@ -196,15 +197,20 @@ def _estimates(raw: DataFrame, order: int, cutoff: int, strength: float, shrink:
 
     def rest(c: str, r: Context) -> float:
         """What a class leaves to the shared estimate behind a context."""
-        return (discount[c][r.size] * getattr(r, "k" + c) + strength) / (getattr(r, c) + strength)
+        return (discount[c][r.size] * getattr(r, "k" + c) + strength[c]) / (getattr(r, c) + strength[c])
+
+    def measured(r: Context, of_t: float, of_o: float) -> tuple[float, float]:
+        """Log-ratio of two estimates behind a context, and its variance: that of two binomial shares."""
+        spread = (1 - of_t) / (of_t * (r.t + strength["t"])) + (1 - of_o) / (of_o * (r.o + strength["o"]))
+        return math.log(of_t / of_o), max(spread, 0.0)
 
     for g, k, t, o, n in _rows(counts.filter(F.col("n") >= cutoff).orderBy("size").select("g", "size", "t", "o", "s")):
         r, d = context[g[:-1]], discount["s"][k]
         p[g] = (max(n - d, 0) + d * r.ks * both(g[1:])) / r.s if r.s else both(g[1:])
         if k > 1 and (k == order or g[0] == HEAD):
-            of_t, of_o = (max(own - discount[c][k], 0) / (getattr(r, c) + strength) + rest(c, r) * p[g] for c, own in (("t", t), ("o", o)))
-            model.ngram[g] = math.log(of_t / of_o)
-    model.backoff = {c: math.log(rest("t", r) / rest("o", r)) for c, r in context.items() if c and (r.size == order or c[0] == HEAD)}
+            of_t, of_o = (max(own - discount[c][k], 0) / (getattr(r, c) + strength[c]) + rest(c, r) * p[g] for c, own in (("t", t), ("o", o)))
+            model.ngram[g] = measured(r, of_t, of_o)
+    model.backoff = {c: measured(r, rest("t", r), rest("o", r)) for c, r in context.items() if c and (r.size == order or c[0] == HEAD)}
     return model
 
 
@@ -224,7 +230,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS,
-        order: int = ORDER, cutoff: int = CUTOFF, strength: float = STRENGTH, shrink: float = SHRINK) -> Model | None:
+        order: int = ORDER, cutoff: int = CUTOFF, strength: float = STRENGTH, errors: float = ERRORS) -> Model | None:
     """Fit on labelled documents outside the held-out fold; None where a class has none.
 
     Several labels of one id: toxic if one says so.  Null ids, null labels and null texts are left out.
@@ -244,8 +250,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
               .join(F.broadcast(chosen), "id"))
     sample = written(spark, sample.withColumn("print", F.xxhash64("text")).dropDuplicates(["print", "label"])
                      .withColumn("curve", F.xxhash64("print", F.lit("curve")) % 4 == 0), "sample")
-    words = written(spark, _word_counts(sample.filter("not curve")), "words")
-    model = _estimates(written(spark, _ngram_counts(words, order), "raw"), order, cutoff, strength, shrink)
+    counted = sample.filter("not curve")
+    size = {r["label"]: r["count"] for r in counted.groupBy("label").count().collect()}
+    if not size.get(0) or not size.get(1):
+        return None
+    shared = {c: strength * size[label] / min(size.values()) for c, label in (("t", 1), ("o", 0))}
+    model = _estimates(written(spark, _ngram_counts(counted, order), "raw"), order, cutoff, shared, errors)
     schema = StructType([StructField("x", DoubleType()), StructField("label", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
