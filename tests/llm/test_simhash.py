@@ -96,3 +96,22 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or -1, (r.text or "")[:5]) for r in kept.collect()) == [(-1, "only "), (2, "A B c"), (3, ""), (8, "w w w")]
     empty = spark.createDataFrame([], schema)
     assert one_of_each(empty).collect() == [] and near_duplicates(fingerprints(empty)).collect() == []
+
+
+def test_growing_tables_are_never_broadcast(spark, monkeypatch):
+    """The driver holds no table that grows with the rows, however small its files look."""
+    from tremor.llm import graph, simhash as module
+
+    plans, plain = [], graph.written
+
+    def spy(session, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(session, df, name)
+
+    monkeypatch.setattr(graph, "written", spy)
+    monkeypatch.setattr(module, "written", spy)
+    rows = [(i, (1 << i) - 1) for i in range(40)] + [(100, 0)]  # a chain: several rounds
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, fingerprint long"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r.component_id for r in out.collect()} == {0}
+    assert len(plans) > 6 and not [p for p in plans if "BroadcastHashJoin" in p]

@@ -113,14 +113,14 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot_bucket: int
     hot = written(spark, table.groupBy("seg", "val").agg(F.count("*").alias("n")).filter(F.col("n") > hot_bucket).select("seg", "val"), "hot")
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     if hot.isEmpty():
-        return ask.join(table, ["seg", "val"]).filter(within & (F.col("a") < F.col("b"))).select("a", "b")
-    found = (ask.join(table.join(hot, ["seg", "val"], "left_anti"), ["seg", "val"]).filter(within & (F.col("a") != F.col("b")))
+        return ask.join(table.hint("merge"), ["seg", "val"]).filter(within & (F.col("a") < F.col("b"))).select("a", "b")
+    found = (ask.join(table.join(hot, ["seg", "val"], "left_anti").hint("merge"), ["seg", "val"]).filter(within & (F.col("a") != F.col("b")))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     around = ask.join(hot, ["seg", "val"], "left_semi").select("a").distinct()
     whole = _ball(BITS, max_bits // 2)
     points = around.select(F.col("a").alias("b"), _exploded(F.col("a"), whole).alias("point"))
     first = points.groupBy("point").agg(F.min("b").alias("a"), F.max("b").alias("z")).filter("a < z").drop("z")
-    star = points.join(first, "point").filter(within & (F.col("a") < F.col("b"))).select("a", "b")
+    star = points.join(first.hint("merge"), "point").filter(within & (F.col("a") < F.col("b"))).select("a", "b")
     return found.union(star.distinct())
 
 
@@ -129,19 +129,20 @@ def near_duplicates(prints: DataFrame, key: str = "doc_id", fingerprint: str = "
     """`prints` with `component`: the smallest `key` among all rows whose fingerprint can be reached over links.
 
     Rows with a null key take part; a component of null keys only has a null id.  Empty table: empty result.
-    `prints` is read several times: pass a written table.
+    `prints` is read several times: pass a written table.  Tables that grow with the rows are merged, never broadcast:
+    the driver holds none of them.
     """
     spark = prints.sparkSession
     prints = without(prints, component)
     distinct = written(spark, prints.groupBy(F.col(f"`{fingerprint}`").alias("fp")).agg(F.min(f"`{key}`").alias("least")), "fps")
     root = components(links(distinct.select("fp"), max_bits, segments, hot_bucket))
-    linked = distinct.join(root, F.col("fp") == F.col("node")).select("fp", "root", "least")
+    linked = distinct.join(root.hint("merge"), F.col("fp") == F.col("node")).select("fp", "root", "least")
     best = linked.groupBy("root").agg(F.min("least").alias("best"))
-    ids = written(spark, distinct.join(linked.join(best, "root").select("fp", "best"), "fp", "left")
+    ids = written(spark, distinct.join(linked.join(best.hint("merge"), "root").select("fp", "best").hint("merge"), "fp", "left")
                   .select("fp", F.coalesce("best", "least").alias("id")), "component")
     fp, cid = fresh(prints, "fp", "id")
     ids = ids.select(F.col("fp").alias(fp), F.col("id").alias(cid))
-    return (prints.join(ids, F.col(f"`{fingerprint}`") == F.col(fp))
+    return (prints.join(ids.hint("merge"), F.col(f"`{fingerprint}`") == F.col(fp))
             .select(*[F.col(f"`{c}`") for c in prints.columns], F.col(cid).alias(component)))
 
 
