@@ -115,3 +115,10 @@ def test_growing_tables_are_never_broadcast(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert {r.component_id for r in out.collect()} == {0}
     assert len(plans) > 6 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_rows_to_keep_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"one two three {i // 2}") for i in range(8)], "doc_id long, text string")
+    out = one_of_each(docs)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 6]

@@ -156,4 +156,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     ids = near_duplicates(prints, row, fp, max_bits, component=cid)
     first = F.min(F.struct(F.col(key).isNull(), F.col(key), F.col(row))).getField(row)
     keep = written(spark, ids.groupBy(cid).agg(first.alias(row)).select(row), "keep")
-    return rows.join(keep, row, "left_semi").drop(row)
+    return rows.join(keep.hint("shuffle_hash"), row, "left_semi").drop(row)  # texts are dealt once, not sorted
