@@ -123,3 +123,12 @@ def test_constant_ids_get_keys_split_and_pair(spark):
     runs = OP.long_rows(OP.crossed(ex, [("char_swap", 0.1)], ps), [("char_swap", 0.1)], ps)
     assert PR.pair_join(runs).count() == 2 * len(rows)
     assert {r.id for r in tables.standardize(bare, "bare").select("id").distinct().collect()} == {"-1"}
+
+
+def test_stream_reads_a_folder_of_files(spark, sf_small, tmp_path):
+    """A table may be one file or a folder of files; both are streamed."""
+    tables.table(spark, sf_small, "documents").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out, ckpt = scratch_path(spark, "t-stream-out"), scratch_path(spark, "t-stream-ckpt")
+    labels = tables.table(spark, sf_small, "labels")
+    ST.run_available(ST.scored_stream(ST.document_stream(spark, str(tmp_path)), labels, "char_swap", 0.1, "m", 0.2), out, ckpt)
+    assert spark.read.parquet(out).count() == labels.join(tables.table(spark, sf_small, "documents"), "doc_id").count() > 0
