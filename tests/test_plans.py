@@ -98,3 +98,30 @@ def test_low_cardinality_joins_are_broadcast(spark, sf_small):
         p = df._jdf.queryExecution().executedPlan().toString()
         for keys in re.findall(r"SortMergeJoin \[([^\]]*)\]", p):
             assert re.search(r"\bid#", keys), keys
+
+
+def test_stored_writes_are_not_sorted(spark):
+    """A bucket is a task: perturbed text is not sorted (and spilled) on its way to the stored table."""
+    from tremor import session
+
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    with session.unsorted_writes(spark):
+        spark.sql("CREATE TABLE t_unsorted (k INT, v INT) USING parquet CLUSTERED BY (k) INTO 2 BUCKETS")
+        p = spark.sql("EXPLAIN INSERT INTO t_unsorted SELECT 1, 2").first()[0]
+    spark.sql("DROP TABLE t_unsorted")
+    assert "Sort" not in p and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_predictions_are_stored_without_texts(spark, sf_small):
+    """Metrics and roll-ups write no text, unless a table with texts is there: then that one is read."""
+    from tremor.plans import stored
+
+    key = (spark.sparkContext.applicationId, sf_small)
+    stored.forget(spark, sf_small)
+    narrow = stored_runs(spark, sf_small, text=False)
+    assert key not in stored._examples and "texts" not in stored.stored_examples(spark, sf_small, text=False).columns
+    wide = stored_runs(spark, sf_small)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.drop("text").collect()))
+    assert "texts" in stored.stored_examples(spark, sf_small, text=False).columns
+    stored.forget(spark, sf_small)
+    assert key not in stored._narrow and key not in stored._examples

@@ -93,7 +93,7 @@ METRICS_SCHEMA = ("model string, task string, perturbation string, level double,
 @register("sink_metrics", lambda: QA._runs_sql(QA.MATRIX_SQL, QA._metrics_sql_ctes() + QA.MATRIX_CTES))
 def sink_metrics(spark, sf_dir):
     """Per-language metrics with their confusion matrix written as JSON and read back (A5)."""
-    met = M.with_matrix(M.all_metrics(stored_runs(spark, sf_dir), REPORT_KEYS), REPORT_KEYS)
+    met = M.with_matrix(M.all_metrics(stored_runs(spark, sf_dir, text=False), REPORT_KEYS), REPORT_KEYS)
     path = files.write_jsonl(met, scratch_path(spark, "metrics"))
     return rounded(files.read_jsonl(spark, path, METRICS_SCHEMA))
 
@@ -210,7 +210,7 @@ FLIP_SCHEMA = ("model string, task string, language string, perturbation string,
 @register("sink_flips", _flips_sql)
 def sink_flips(spark, sf_dir):
     """Flip report with its samples written as JSON and read back."""
-    r = stored_runs(spark, sf_dir)
+    r = stored_runs(spark, sf_dir, text=False)
     rep = RP.flip_report(M.stats_from_counts(PR.comparison_counts(r)), RP.sampled_flips(PR.pair_join(r)))
     path = files.write_jsonl(rep, scratch_path(spark, "flips"))
     return rounded(files.read_jsonl(spark, path, FLIP_SCHEMA).withColumn("samples", F.to_json("samples")))
@@ -241,11 +241,11 @@ STATS_SCHEMA = ("model string, task string, language string, perturbation string
     [QA.PJ, QA.CMP]))
 def sink_consistency(spark, sf_dir):
     """Consistency report: summary table and every compared example, two writes, joined back on read."""
-    pj = PR.pair_join(stored_runs(spark, sf_dir))
+    pj = PR.pair_join(stored_runs(spark, sf_dir, text=False))
     detail = pj.select(*QA.GROUP, "id", F.col("label_clean").alias("label"), "prediction_clean", "prediction_pert",
                        F.coalesce(F.col("prediction_clean") == F.col("prediction_pert"), F.lit(False))
                        .alias("is_consistent"))
-    stats = M.stats_from_counts(PR.comparison_counts(stored_runs(spark, sf_dir)))
+    stats = M.stats_from_counts(PR.comparison_counts(stored_runs(spark, sf_dir, text=False)))
     root = scratch_path(spark, "consistency")
     files.write_jsonl(detail, f"{root}/details")
     files.write_jsonl(stats, f"{root}/summary")
