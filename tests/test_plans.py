@@ -125,3 +125,27 @@ def test_predictions_are_stored_without_texts(spark, sf_small):
     assert "texts" in stored.stored_examples(spark, sf_small, text=False).columns
     stored.forget(spark, sf_small)
     assert key not in stored._narrow and key not in stored._examples
+
+
+def test_pairs_with_texts_sort_no_text(spark, sf_small):
+    from tremor.plans import q_analysis as QA
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QA.pair_join(spark, sf_small)
+        p = executed(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p and exchanges(p) == 0
+
+
+def test_sink_of_predictions_moves_no_text(spark, sf_small, monkeypatch):
+    """The runs go from the crossing into their files; only raw examples are dealt (the label and turn joins)."""
+    from tremor.plans import q_files as QF
+
+    plans, write = [], QF.files.write_predictions
+    monkeypatch.setattr(QF.files, "write_predictions", lambda runs, *a, **k: (plans.append(plan(runs)), write(runs, *a, **k))[1])
+    monkeypatch.setattr(QF.files, "balanced", None)  # (would range the perturbed texts)
+    out = QF.sink_preds(spark, sf_small)
+    assert sorted(map(str, out.collect())) == sorted(map(str, QF.scan_preds(spark, sf_small).select(*out.columns).collect()))
+    assert len(plans) == 2 and all("MapInArrow" in p and "Exchange" not in p.split("MapInArrow")[0] for p in plans)

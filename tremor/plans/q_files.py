@@ -13,6 +13,7 @@ from tremor.operators import sampling
 from tremor.operators.stats import dataset_stats
 from tremor.plans import oracle as O
 from tremor.plans import q_analysis as QA
+from tremor.plans import views as V
 from tremor.plans.catalog import register, rounded
 from tremor.plans.experiment import experiment_report
 from tremor.plans.stored import REPORT_SCHEMA as STORED_REPORT
@@ -73,14 +74,14 @@ _RUNS_OUT = "SELECT model, task, perturbation, level, language, id, text, label,
 @register("sink_preds", lambda: QA._runs_sql(_RUNS_OUT))
 def sink_preds(spark, sf_dir):
     """Prediction table written as CSV partitioned by model/task/perturbation (quotes escaped); read back (A4)."""
-    path = files.write_predictions(stored_runs(spark, sf_dir), scratch_path(spark, "preds"), "csv")
+    path = files.write_predictions(V.runs(spark, sf_dir), scratch_path(spark, "preds"), "csv", as_they_lie=True, compression="gzip")
     return rounded(files.read_predictions(spark, path, "csv"))
 
 
 @register("scan_preds", lambda: QA._runs_sql(_RUNS_OUT))
 def scan_preds(spark, sf_dir):
     """Recursive scan of stored prediction CSVs with id forced to string; metadata from file paths."""
-    path = files.write_predictions(stored_runs(spark, sf_dir), scratch_path(spark, "preds"), "csv")
+    path = files.write_predictions(V.runs(spark, sf_dir), scratch_path(spark, "preds"), "csv", as_they_lie=True, compression="gzip")
     df = files.scan_predictions(spark, path)
     return rounded(df.select("model", "task", "perturbation", "level", "language", "id", "text", "label",
                              "prediction", "score"))

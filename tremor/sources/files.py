@@ -13,6 +13,8 @@ import urllib.parse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.session import unsorted_writes
+
 EXAMPLE_SCHEMA = ("id string, language string, text string, premise string, hypothesis string, label string, "
                   "task string, split string")
 # CSV columns are positional: the written order is fixed here (id, text, label, prediction, score first, as
@@ -60,18 +62,24 @@ CSV_OPTS = {"header": "true", "quote": "\"", "escape": "\"", "multiLine": "true"
 CSV_READ = {**CSV_OPTS, "nullValue": "\u0000"}
 
 
-def write_predictions(runs: DataFrame, path: str, fmt: str = "csv") -> str:
+def write_predictions(runs: DataFrame, path: str, fmt: str = "csv", as_they_lie: bool = False, compression: str | None = None) -> str:
     """Predictions partitioned by model/task/perturbation; text keeps quotes and newlines (escape '"').
 
     A CSV file whose texts may hold newlines is read by one task, so files are kept to the advisory partition size.
+    With `as_they_lie` every task writes its own rows, for runs straight from the crossing: an input split gives each
+    run one file of about its own size, and no perturbed text is shuffled or sorted.
     """
     cols = [c.split()[0] for c in PRED_SCHEMA.split(", ")]
     keys = ["model", "task", "perturbation"]
-    w = balanced(runs.select(*cols), keys).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*keys)
-    if fmt == "csv":
-        w.options(**CSV_OPTS).csv(path)
-    else:
-        w.parquet(path)
+    rows = runs.select(*cols)
+    w = (rows if as_they_lie else balanced(rows, keys)).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*keys)
+    if compression:
+        w = w.option("compression", compression).option("zlib.compress.level", "BEST_SPEED")
+    with unsorted_writes(runs.sparkSession):
+        if fmt == "csv":
+            w.options(**CSV_OPTS).csv(path)
+        else:
+            w.parquet(path)
     return path
 
 
@@ -98,7 +106,7 @@ def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Recursive scan of stored prediction CSVs (no partition inference); id forced to string and metadata
     recovered from each file's path via the hidden `_metadata.file_path` column."""
     df = (spark.read.schema(PRED_DATA).options(**CSV_READ).option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", "*.csv").csv(path))
+          .option("pathGlobFilter", "*.csv{,.gz}").csv(path))
     fp = F.col("_metadata.file_path")
     return df.select("*", *[_dir_value(fp, k).alias(k) for k in ("model", "task", "perturbation")])
 
