@@ -44,3 +44,19 @@ def test_odd_tables(spark):
     with pytest.raises(ValueError, match="unknown kind"):
         LX.substituted(df, twice, "other", 1.0)
     assert K.steps_of("clean") == [] and fixed.CODEMIX_STRIP
+
+
+@pytest.mark.parametrize("kind", ["codemix", "paraphrase"])
+def test_words_are_not_searched_for_in_a_map(spark, kind):
+    """A text of many distinct words costs as much a word as a short one: no map or list is looked through by word."""
+    words = [f"w{i}," for i in range(3000)]
+    lexicon = spark.range(3000).selectExpr("'en' AS lang", "concat('w', id) AS key", "array(concat('a', id, '/b'), concat('c', id)) AS replacements")
+    df = spark.createDataFrame([("1", "en", " ".join(words)), (None, "en", "w1  w2"), ("3", "en", " w1 ")], "id string, language string, text string")
+    out = LX.substituted(df, lexicon, kind, 0.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "map_from_entries" not in plan and "map<" not in plan
+    p = make_perturber(codemix={"en": {f"w{i}": f"a{i}/b" for i in range(3000)}}, synonyms={"en": {f"w{i}": [f"a{i}/b", f"c{i}"] for i in range(3000)}})
+    got = {r.id: r.text_perturbed for r in out.collect()}
+    assert got == {"1": p.apply(" ".join(words), "1", "en", kind, 0.5), None: "w1 w2", "3": p.apply(" w1 ", "3", "en", kind, 0.5)}
+    with pytest.raises(Exception, match="two rows with one key"):
+        LX.substituted(df.filter("id = '1'").union(df.filter("id = '1'")), lexicon, kind, 1.0).collect()

@@ -1,10 +1,10 @@
 """Word substitution from a lexicon that is a table of any size (B11, B12), in DataFrame operations only.
 
-Dictionary coding: the distinct trimmed tokens of every text are joined to the lexicon, and what is found comes back
-to its text as a small map, applied word by word at the words' places.  The lexicon meets every distinct token once,
-whatever the number of texts that hold it.  What was found is brought back by a join on the token; a token that more
-than 1 / HOT of all (text, token) rows hold would fill one task there, but there are fewer than HOT of these, so they
-are broadcast and the others are joined.
+The words that a text's draws choose are exploded to (key, place, trimmed word) rows and joined to the lexicon; the
+replacements come back to their text as one array in the order of their places, between which its words are sliced.
+No word is searched for in a list or a map of its text, so the work grows with the words alone.  The rows are written
+once, as they are read three times.  A frequent token would fill one task of the join: the HOT most frequent are
+broadcast and the others, none of which more than 1 / HOT of the rows hold, are joined.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from tremor.functions import fixed, rng
 from tremor.functions.text import WS_RUN
 from tremor.operators.sampling import fresh
+from tremor.session import written
 
 HOT = 1000
+#: The token first: its leading bytes tell rows apart in a sort.
+ON = ["_t", "_l"]
 #: Languages that a lexicon may have; their names are configuration.
 LANGUAGES = 10_000
 STRIP = {"codemix": fixed.CODEMIX_STRIP, "paraphrase": fixed.PARAPHRASE_STRIP}
@@ -40,18 +43,15 @@ def _language(lang: Column, kind: str, known: list[str]) -> Column:
     return expr
 
 
-def found_tokens(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(key, _l, _t) rows that the lexicon knows, with their replacements `_r`."""
+def replacements(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The rows of `tokens`, which has columns _l and _t, that the lexicon knows, with their replacements `_r`."""
     lex = lexicon.select(F.col("lang").alias("_l"), F.col("key").alias("_t"), F.col("replacements").alias("_r"))
-    lex = lex.filter(F.size("_r") > 0).dropDuplicates(["_l", "_t"])
-    counts = tokens.groupBy("_l", "_t").agg(F.count(F.lit(1)).alias("_n"))
-    hits = counts.join(lex, ["_l", "_t"])
-    total = counts.agg(F.sum("_n").alias("_all"))  # one row
-    sized = hits.join(F.broadcast(total)).withColumn("_hot", F.col("_n") * HOT > F.col("_all"))
-    hot = F.broadcast(sized.filter("_hot").select("_l", "_t", "_r"))  # fewer than HOT rows
-    x = tokens.join(hot, ["_l", "_t"], "left")
-    cold = sized.filter("not _hot").select("_l", "_t", "_r")
-    return x.filter("_r is not null").unionByName(x.filter("_r is null").drop("_r").join(cold, ["_l", "_t"]))
+    lex = lex.filter(F.size("_r") > 0).dropDuplicates(ON)
+    often = tokens.groupBy(*ON).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *ON).limit(HOT)
+    hot = F.broadcast(often.join(lex, ON, "left").select(*ON, "_r", F.lit(True).alias("_hot")))  # HOT rows
+    x = tokens.join(hot, ON, "left")
+    return (x.filter("_hot and _r is not null").drop("_hot")
+            .unionByName(x.filter("_hot is null").drop("_hot", "_r").join(lex, ON)))
 
 
 def substituted(df: DataFrame, lexicon: DataFrame, kind: str, level: float, key: str = "id", text: str = "text", lang: str = "language",
@@ -68,22 +68,35 @@ def substituted(df: DataFrame, lexicon: DataFrame, kind: str, level: float, key:
     if kind == "paraphrase" and strategy != "synonym":
         return df.withColumn(out, F.col(text))
     known = languages(lexicon)
-    k, p, words, m, own = fresh(df, "k", "p", "words", "map", "lang")
+    (found,) = fresh(df, "found")
     op = f"text:{kind}"
-    x = df.withColumn(own, F.when(F.length(text) > 0, _language(F.col(lang), kind, known)))
-    x = x.withColumns({k: rng.row_key(seed, op, key), p: rng.row_key(seed, op + ".pick", key),
-                       words: F.when(F.col(own).isNotNull(), F.filter(F.split(F.col(text), WS_RUN), lambda w: w != ""))})
-    strip = F.lit(STRIP[kind])
-    tokens = x.select(F.col(key).alias("_key"), F.col(own).alias("_l"),
-                      F.explode(F.array_distinct(F.transform(words, lambda w: F.btrim(w, strip)))).alias("_t"))
-    maps = (found_tokens(tokens, lexicon).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_t", "_r"))).alias(m)))
-    y = x.join(maps, x[key] == maps["_key"], "left").drop("_key")
-    limit = rng.threshold(level)
-
-    def word(w: Column, i: Column) -> Column:
-        r = F.col(m)[F.btrim(w, strip)]
-        new = F.split(r[0], "/")[0] if kind == "codemix" else F.get(r, (rng.draw(F.col(p), i) % F.size(r)).cast("int"))
-        return F.when(r.isNotNull(), F.when(rng.draw(F.col(k), i) < limit, new).otherwise(w)).otherwise(w)
-
-    swapped = F.when(F.col(m).isNull(), F.array_join(F.col(words), " ")).otherwise(F.array_join(F.transform(words, word), " "))
-    return y.withColumn(out, F.when(F.col(words).isNull(), F.col(text)).otherwise(swapped)).drop(k, p, words, m, own)
+
+    def split(c: str) -> Column:
+        return F.filter(F.split(F.col(c), WS_RUN), lambda w: w != "")
+
+    # outer: what an inner explode (or a filter on the words) tells of its array is evaluated again, text and all
+    of_lexicon = _language(F.col(lang), kind, known)
+    tokens = (df.filter(F.col(key).isNotNull())
+              .select(F.col(key).alias("_key"), of_lexicon.alias("_l"), rng.row_key(seed, op, key).alias("_k"), F.when(of_lexicon.isNotNull(), split(text)).alias("_words"))
+              .select("_key", "_l", "_k", F.posexplode_outer("_words").alias("_i", "_w"))
+              .filter(rng.draw(F.col("_k"), F.col("_i")) < rng.threshold(level))
+              .select("_key", "_l", F.btrim("_w", F.lit(STRIP[kind])).alias("_t"), "_i"))
+    hits = replacements(written(tokens, "tokens"), lexicon)
+    pick = rng.draw(rng.row_key(seed, op + ".pick", "_key"), F.col("_i"))
+    new = F.split(F.col("_r")[0], "/")[0] if kind == "codemix" else F.get("_r", (pick % F.size("_r")).cast("int"))
+    hits = hits.select("_key", F.struct(F.col("_i").alias("i"), new.alias("w")).alias("_h"))
+    hits = hits.repartition("_key").groupBy("_key").agg(F.sort_array(F.collect_list("_h")).alias(found))
+    y = df.join(hits, df[key] == hits["_key"], "left").drop("_key")
+
+    def merged(words: Column) -> Column:
+        """The words between one replacement and the next, and the replacement; then the words behind the last."""
+        def piece(hit: Column, j: Column) -> Column:
+            before = F.when(j > 0, F.get(F.col(found), j - 1)["i"]).otherwise(F.lit(-1))
+            gap = hit["i"] - before - 1
+            gap = F.when(gap < 0, F.raise_error(F.lit("two rows with one key")).cast("int")).otherwise(gap)
+            return F.concat(F.slice(words, before + 2, gap), F.array(hit["w"]))
+        rest = F.slice(words, F.element_at(found, -1)["i"] + 2, F.size(words))
+        return F.array_join(F.concat(F.flatten(F.transform(found, piece)), rest), " ")
+
+    swapped = F.when(F.col(found).isNull(), F.array_join(split(text), " ")).otherwise(F.get(F.transform(F.array(split(text)), merged), F.lit(0)))
+    return y.withColumn(out, F.when((F.length(text) > 0) & of_lexicon.isNotNull(), swapped).otherwise(F.col(text))).drop(found)

@@ -13,6 +13,7 @@ from tremor.operators.config import dealt
 from tremor.plans import oracle as O
 from tremor.plans import views as V
 from tremor.plans.catalog import register
+from tremor.session import written
 from tremor.sources import tables
 
 
@@ -203,7 +204,7 @@ def corpus_lexicon(docs, kind: str):
     """A lexicon as large as the corpus' vocabulary: half of its trimmed words (those of even length), with
     replacements made from the word."""
     strip = F.lit(fixed.CODEMIX_STRIP if kind == "codemix" else fixed.PARAPHRASE_STRIP)
-    w = docs.select(F.lower("language").alias("lang"), F.explode(F.array_distinct(F.transform(F.split("text", " "), lambda x: F.btrim(x, strip)))).alias("key"))
+    w = docs.select(F.lower("language").alias("lang"), F.explode_outer(F.array_distinct(F.transform(F.split("text", " "), lambda x: F.btrim(x, strip)))).alias("key"))
     w = w.filter((F.length("key") > 0) & (F.length("key") % 2 == 0)).distinct()
     made = [F.concat("key", F.lit("_x/"), "key")] if kind == "codemix" else [F.concat("key", F.lit(e)) for e in ("_a", "_b", "_c")]
     return w.select("lang", "key", F.array(*made).alias("replacements"))
@@ -223,8 +224,8 @@ def _table_sql(kind: str, strip: str) -> str:
 
 def _reg_table(kind: str, strip: str, doc: str):
     def q(spark, sf_dir):
-        d = documents(spark, sf_dir)
-        return LX.substituted(d, corpus_lexicon(d, kind), kind, TABLE_LEVEL).select("id", "language", "text_perturbed")
+        d = written(documents(spark, sf_dir), "documents")  # read three times, the lexicon too
+        return LX.substituted(d, written(corpus_lexicon(d, kind), "lexicon"), kind, TABLE_LEVEL).select("id", "language", "text_perturbed")
     q.__doc__ = doc
     register(f"{kind}_table", lambda: _table_sql(kind, strip))(q)
 
