@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -137,3 +138,30 @@ def test_draws_are_uniform_enough():
 def test_stopword_stats():
     assert K.stopword_stats("The cat, of.", frozenset(fixed.RULE_STOPWORDS)) == (3, 2)
     assert K.stopword_stats("", frozenset(fixed.RULE_STOPWORDS)) == (1, 0)
+
+
+def test_stop_words_are_counted_without_looking_at_every_token(monkeypatch):
+    """Counts of many texts equal those of the tokens one by one, and no token is trimmed on its own."""
+    rnd = random.Random(5)
+    parts = [" ", " ", "the", "DIE", "a", "und", ".", ",", "é", "Σ", "İ", "\0", "x", "\n", "longerword"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(3000)] + ["", "...", "." * 50 + "the" + "," * 50 + " a", "the " * 90_000]
+    words = frozenset(fixed.RULE_STOPWORDS)
+    want = [(len(t.lower().split(" ")), sum(w.strip(".,") in words for w in t.lower().split(" "))) for t in texts]
+    for some in (words, words | {"longerword"}, words | {""}):
+        want_some = [(n, sum(w.strip(".,") in some for w in t.lower().split(" "))) for (n, _), t in zip(want, texts)]
+        assert list(zip(*K.StopWords(some).counts(texts))) == want_some
+    monkeypatch.setattr(K, "stopword_stats", None)
+    assert list(zip(*K.StopWords(words).counts(texts))) == want and K.StopWords(words).counts([]) == ([], [])
+
+
+def test_draws_at_places_and_vowels():
+    k = rng.py_row_key(1, "op", "x")
+    assert (rng.np_draws_at(k, np.array([0, 7, 30])) == rng.np_draws(k, 31)[[0, 7, 30]]).all()
+    cps = np.array([ord(c) for c in "aeb\U0001f600xé"], np.uint32)
+    assert K.members(cps, np.array([ord("a"), ord("é")], np.uint32)).tolist() == [True, False, False, False, False, True]
+    assert not K.members(cps, np.array([], np.uint32)).any()
+    text, shared = "banane und äpfel " * 20, K.Shared("banane und äpfel " * 20)
+    vowels = np.array(sorted(map(ord, "aeuä")), np.uint32)
+    for level in (0.2, 0.7, 1.0):
+        drawn = rng.np_draws(k, len(text)) < rng.py_threshold(level)
+        assert K.drop_vowels(text, level, k, vowels, shared) == "".join(c for c, d in zip(text, drawn) if not (d and c in "aeuä"))
