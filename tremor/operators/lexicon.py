@@ -72,7 +72,7 @@ def substituted(df: DataFrame, lexicon: DataFrame, kind: str, level: float, key:
     op = f"text:{kind}"
 
     def split(c: str) -> Column:
-        return F.filter(F.split(F.col(c), WS_RUN), lambda w: w != "")
+        return F.array_remove(F.split(F.col(c), WS_RUN), "")
 
     # outer: what an inner explode (or a filter on the words) tells of its array is evaluated again, text and all
     of_lexicon = _language(F.col(lang), kind, known)
