@@ -1,13 +1,17 @@
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tremor.llm import token_files
 from tremor.llm.queries import op10_token_files
-from tremor.llm.token_files import WordEncoder, read_token_files, token_digests, write_token_files
+from tremor.llm.token_files import WordEncoder, chunks, read_token_files, token_digests, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
@@ -81,3 +85,54 @@ def test_equal_rows_are_spread_over_files(spark, tmp_path):
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) <= 2 * 9000 / len(sizes)
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_digests(files).collect())
     assert got == sorted(want(sorted(rows)))
+
+
+LINES = ["a\n\n<|endoftext|>", "a\n<|endoftext|>\nb", "a\n\n", "\n\nb", "\nb", "a\n\nb", "a\n\n\nb", "\n", "a\n", "a\r\n\r\nb, c", "\u0120 \u010a x\u0120\u010a",
+         "don't, 12. 12., x1! \u0301, e\u0301, \u01bb.", "  a, b\n c", "...\n...", "a\u3000b c, d"]
+
+
+@pytest.mark.parametrize("words, joined", [(900_000, 2048), (4, 8)])
+def test_lines_marks_and_a_full_memory(monkeypatch, words, joined):
+    monkeypatch.setattr(token_files, "MEMORY_WORDS", words)
+    monkeypatch.setattr(token_files, "JOINED_BYTES", joined)
+    for i in range(len(LINES)):
+        check(LINES[i:] + LINES[:i:2])
+        check(LINES[i:i + 1])
+
+
+def test_words_do_not_show_where_they_begin():
+    """A vocabulary without tokens of spaces or line feeds: words are encoded one by one."""
+    lib = '{"version":"1.0","truncation":null,"padding":null,"added_tokens":[],"normalizer":null,"pre_tokenizer":%s,"post_processor":null,"decoder":null,"model":%s}' % (
+        '{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":true}',
+        '{"type":"BPE","dropout":null,"unk_token":null,"continuing_subword_prefix":null,"end_of_word_suffix":null,"fuse_unk":false,"byte_fallback":false,'
+        '"ignore_merges":false,"vocab":{"a":0,"b":1,"ab":2,",":3},"merges":[["a","b"]]}')
+    texts = ["ab, ba\nab", "", "a  b", " ab\n\n"]
+    want = [[*Tokenizer.from_str(lib).encode(t, add_special_tokens=False).ids, 9] for t in texts]
+    assert [np.frombuffer(b, "<i4").tolist() for b in WordEncoder(lib).encode_texts(texts, 9)] == want
+
+
+def test_repeated_words_are_not_handled_one_by_one():
+    """Python's work follows the distinct words of a chunk, long ones too, not their occurrences."""
+    def calls(n):
+        seen, texts = [0], [" ".join(f"{'x' * 60}{'abcdefg'[i % 7]}," for i in range(n))]
+
+        def count(frame, event, arg):
+            seen[0] += event in ("call", "c_call")
+        sys.setprofile(count)
+        try:
+            OWN.encode_texts(texts, 2)
+        finally:
+            sys.setprofile(None)
+        return seen[0]
+    calls(10)
+    assert calls(20_000) < 2 * calls(200)
+
+
+def test_chunks_hold_every_row_in_order():
+    texts = ["x" * n for n in (0, 5, 900, 3, 3, 40, 40, 0, 2000, 1)] * 5 + [None]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts)})
+    for step in (1, 7, len(texts)):
+        got = list(chunks((rows.slice(i, step) for i in range(0, len(texts), step)), "text", 1000))
+        assert pa.Table.from_batches(got).to_pylist() == rows.to_pylist()
+        assert all(sum(len(t or "") for t in b.column(1).to_pylist()[:-1]) < 1000 for b in got) and len(got) < len(texts) / 2
+    assert list(chunks(iter([rows.slice(0, 0)]), "text")) == []

@@ -13,57 +13,53 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tremor.llm.common import slices
-
-#: Words a worker remembers in each of its two generations; results do not depend on it.
-MEMORY_WORDS = 450_000
-MEMORY_WORD_CHARS = 48
+#: Bytes of text encoded at once: each distinct word among them is looked up once.
+CHUNK_BYTES = 16 << 20
+#: Words a worker remembers from chunk to chunk, and the longest of them; results do not depend on it.
+MEMORY_WORDS = 900_000
+MEMORY_WORD_BYTES = 48
+#: Bytes of words put together into one text for the library (longer texts cost it more a byte), and such texts in one call.
+JOINED_BYTES = 2048
+JOINED_CALLS = 16
 #: Where blanks stand alone a text is cut at every space and line feed; elsewhere only at lone spaces.
 _BLANK = r"[\s\x1c-\x1f\x85\u180e\u200b]"
 _CUT = re.compile(rf"(?<!^)(?<!{_BLANK}) (?!{_BLANK}|$)")
+#: The same blanks but space and line feed, for Arrow's expressions (RE2).
+_OTHER_BLANK = (r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+#: Texts with blanks in which not every space and line feed begins a token of its own.
+_UNEVEN = rf"^ | \z|  | \n|\n |\n\n\n|\n\n\z|{_OTHER_BLANK}"
+#: Words with a blank behind their first character.
+_ODD = rf"(?s).[ \n]|{_OTHER_BLANK}"
 _MARKS = ".,!?;:"
-#: Letters below are letters in every version of Unicode.
-_LATIN = "\u0250"
-
-
-def _byte_table() -> dict[int, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
-
+_BEFORE_MARKS = rf"(?s)^.*[^{_MARKS}]"
+#: Digits, and letters below U+0250: letters in every version of Unicode.
+_ENDS_ALNUM = r"[0-9A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]\z"
+_STRING, _IDS = pa.large_string(), pa.large_list(pa.int32())
 
-class Memory(dict):
-    """Word to its ids; a word that is not there is encoded.  `before`: the generation before this one."""
 
-    def __init__(self, encode, before: dict[str, bytes]):
-        super().__init__()
-        self.encode, self.before = encode, before
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.before.get(word)
-        if ids is None:
-            ids = self.encode(word)
-        if len(word) <= MEMORY_WORD_CHARS:
-            self[word] = ids
-        return ids
+def _lists(ids: np.ndarray, lens: np.ndarray) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), pa.array(ids, pa.int32()))
 
 
 class WordEncoder:
     """The tokenizers library over words, each distinct word encoded once while it is remembered.
 
     The byte-level pre-tokenizer always begins a token at a space, or ends one at a line feed, that stands alone
-    between two non-blanks, so cutting a text there changes no id.  Nor does cutting between a letter and the
-    marks that end a word.  A word of letters is one pre-token: the library's model is asked for it directly.
+    between two non-blanks, so cutting a text there changes no id (nor between two line feeds, or before one that
+    ends the text).  Nor does cutting between a letter or digit and the marks that end a word.
+
+    A word stands for itself with a space before it; one that begins with a line feed stands for itself alone.
+    The first word of a text is taken as one behind a line feed, whose ids are left out afterwards.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -74,66 +70,132 @@ class WordEncoder:
         pre = getattr(self.tokenizer.pre_tokenizer, "__getstate__", lambda: b"")()
         if b"ByteLevel" not in bytes(pre) or b'"use_regex":true' not in bytes(pre) or self.tokenizer.normalizer is not None:
             raise ValueError("a byte-level tokenizer without normalisation is needed")
-        self.model, self.byte_table = self.tokenizer.model.tokenize, _byte_table()
-        self.space = chr(self.byte_table[ord(" ")])
-        self.marks: dict[str, bytes] = {}
-        self.memory = Memory(self._word, {})
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Parts of the text; all but the first begin with a line feed, or with a space that is left out."""
-        parts = text.replace("\n", " ").split(" ")
-        if parts != text.split() or "\u180e" in text or "\u200b" in text:
-            return _CUT.split(text)
-        return text.replace("\n", " \n").split(" ") if "\n" in text else parts
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Ids whose token begins with a space or a line feed (byte-level alphabet): no other byte is shown as these.
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t[:1] in ("\u0120", "\u010a")]] = True
+        added = (re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.uneven = "|".join([_UNEVEN, *added])  # two line feeds before an added token are one token
+        self.line_feed = self._whole("\n")
+        self.known, self.known_ids = pa.array([], _STRING), pa.array([], _IDS)
 
     def encode_texts(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of whole texts (little-endian 32-bit), `end_id` behind each."""
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory.before = {}
-            self.memory = Memory(self._word, self.memory)
-        tail, get, out = np.array([end_id], "<i4").tobytes(), self.memory.__getitem__, []
-        for text in texts:
-            words = self.words(text)
-            head = self._first(words[0])
-            out.append(head + b"".join(map(get, words[1:])) + tail)
+        ids, ends = self.encode(pa.array(texts, _STRING), end_id)
+        return [part.astype("<i4").tobytes() for part in np.split(ids, ends[:-1])] if len(texts) else []
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, `end_id` behind each text's (a null text is empty), and where each text's end."""
+        parts = self._cut(pc.fill_null(texts.cast(_STRING), ""))
+        words, row_ends = parts.flatten().dictionary_encode(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        del parts
+        taken = self._word_ids(words.dictionary).take(words.indices)
+        ids, bounds = taken.flatten().to_numpy(), taken.offsets.to_numpy() - taken.offsets[0].as_py()
+        row_bounds = bounds[row_ends]
+        keep = np.ones(len(ids), bool)
+        for i in range(len(self.line_feed)):
+            keep[row_bounds[:-1] + i] = False
+        lens = np.diff(row_bounds) - len(self.line_feed)
+        ends = np.cumsum(lens)
+        return np.insert(ids[keep], ends, np.int32(end_id)), ends + np.arange(1, len(ends) + 1)
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """Every text's words."""
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        even = texts.filter(pc.invert(uneven))
+        line, none = pa.scalar("\n", _STRING), pa.scalar("", _STRING)
+        parts = pc.split_pattern(pc.binary_join_element_wise(line, pc.replace_substring(even, "\n", " \n"), none), " ")
+        if len(even) == len(texts):
+            return parts
+        others = [_CUT.split(t) for t in texts.filter(uneven).to_pylist()]
+        others = pa.array([["\n" + first, *rest] for first, *rest in others], parts.type)
+        mask = uneven.to_numpy(zero_copy_only=False)
+        place = np.where(mask, len(even) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+        return pa.concat_arrays([parts, others]).take(pa.array(place))
+
+    def _word_ids(self, words: pa.Array) -> pa.LargeListArray:
+        """Ids of distinct words, from those of the words without the marks that end them and those of the marks."""
+        bases = pc.ascii_rtrim(words, _MARKS)
+        cut = pc.and_(pc.match_substring_regex(bases, _ENDS_ALNUM), pc.invert(pc.match_substring_regex(words, _ODD)))
+        bases = pc.if_else(cut, bases, words).dictionary_encode()
+        n_marks = pc.subtract(pc.binary_length(words), pc.binary_length(bases.dictionary.take(bases.indices))).to_numpy()
+        marked = np.flatnonzero(n_marks)
+        tails = pc.replace_substring_regex(words.take(pa.array(marked)), _BEFORE_MARKS, "").dictionary_encode()
+        mark_ids = [[], *map(self._whole, tails.dictionary.to_pylist())]
+        pool = pa.concat_arrays([self._remembered(bases.dictionary), pa.array(mark_ids, _IDS)])
+        place = np.full((len(words), 2), len(bases.dictionary), np.int64)
+        place[:, 0] = bases.indices.to_numpy()
+        place[marked, 1] += tails.indices.to_numpy() + 1
+        both = pool.take(pa.array(place.ravel()))
+        return pa.LargeListArray.from_arrays(both.offsets[::2], both.values)
+
+    def _remembered(self, words: pa.Array) -> pa.LargeListArray:
+        """Ids of distinct words, new ones encoded.  When the memory is full only the words at hand stay in it."""
+        if len(words) * 8 < len(self.known):  # few words: looking all the others through costs more than encoding these
+            return self._encoded(words)
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(at))
+        ids = pa.concat_arrays([self.known_ids, self._encoded(new)])
+        known = pa.concat_arrays([self.known, new])
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[pc.is_null(at).to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(known))
+        out = ids.take(pa.array(place))
+        if len(known) > MEMORY_WORDS:
+            known, ids = words.slice(0, MEMORY_WORDS), out.slice(0, MEMORY_WORDS)
+        short = pc.less_equal(pc.binary_length(known), MEMORY_WORD_BYTES)
+        self.known, self.known_ids = known.filter(short), ids.filter(short)
         return out
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word and the space before it, or of a line feed and the word behind it."""
-        if word.isalpha() and (word.isascii() or max(word) < _LATIN):
-            return self._run(" " + word)
-        base = word.rstrip(_MARKS)
-        if base and len(base) < len(word) and base[-1] < _LATIN and base[-1].isalpha():
-            return self.memory[base] + self._mark(word[len(base):])
-        if word[0] == "\n":
-            return self._mark("\n") + self._first(word[1:])
-        return self._whole(" " + word)
-
-    def _first(self, word: str) -> bytes:
-        """Ids of a word without a space before it."""
-        base = word.rstrip(_MARKS)
-        if base and base.isalpha() and (base.isascii() or max(base) < _LATIN):
-            return self._run(base) + (self._mark(word[len(base):]) if len(base) < len(word) else b"")
-        return self._whole(word)
-
-    def _run(self, letters: str) -> bytes:
-        """Ids of one pre-token: letters, with or without a space before them."""
-        if letters.isascii():
-            shown = self.space + letters[1:] if letters[0] == " " else letters
+    def _encoded(self, words: pa.Array) -> pa.LargeListArray:
+        """Ids of words from the library, many words to a call; words with blanks inside one by one."""
+        if not len(words):
+            return pa.array([], _IDS)
+        odd = pc.match_substring_regex(words, _ODD)
+        plain = words.filter(pc.invert(odd))
+        group = np.cumsum(pc.binary_length(plain).to_numpy().astype(np.int64) + 1) // JOINED_BYTES
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(plain)]])
+        joined = pc.binary_join(pa.ListArray.from_arrays(bounds.astype(np.int32), plain), pa.scalar(" ", _STRING)).to_pylist()
+        joined, found = [f" {j}".replace(" \n", "\n") for j in joined], []
+        for at in range(0, len(joined), JOINED_CALLS):  # the library's results are large
+            found += [np.array(f.ids, np.int32) for f in self.tokenizer.encode_batch_fast(joined[at:at + JOINED_CALLS], add_special_tokens=False)]
+        if any(np.count_nonzero(self.begins[f]) != n for f, n in zip(found, np.diff(bounds).tolist(), strict=True)):
+            found = [self._one(w) for w in plain.to_pylist()]  # a vocabulary that does not show where words begin
+            lens = np.array([len(f) for f in found], np.int64)
+            ids = np.concatenate([np.empty(0, np.int32), *found])
         else:
-            shown = letters.encode().decode("latin-1").translate(self.byte_table)
-        return array("i", [t.id for t in self.model(shown)]).tobytes()
-
-    def _mark(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            if len(self.marks) > MEMORY_WORDS:
-                self.marks.clear()
-            self.marks[marks] = self._whole(marks)
-        return self.marks[marks]
-
-    def _whole(self, text: str) -> bytes:
-        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            ids = np.concatenate([np.empty(0, np.int32), *found])
+            lens = np.diff(np.flatnonzero(self.begins[ids]), append=len(ids))
+        out = _lists(ids, lens)
+        mask = odd.to_numpy(zero_copy_only=False)
+        if not mask.any():
+            return out
+        others = pa.array([self._one(w) for w in words.filter(odd).to_pylist()], _IDS)
+        place = np.where(mask, len(plain) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+        return pa.concat_arrays([out, others]).take(pa.array(place))
+
+    def _one(self, word: str) -> np.ndarray:
+        return np.array(self.line_feed + self._whole(word[1:]) if word[:1] == "\n" else self._whole(" " + word), np.int32)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches of about `limit` bytes of text: larger ones cut, smaller ones put together."""
+    held, size = [], 0
+    for batch in batches:
+        lens = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy()
+        upto, at = np.cumsum(lens.astype(np.int64) + 16), 0
+        while at < len(upto):
+            before = int(upto[at - 1]) if at else 0
+            end = min(int(np.searchsorted(upto, before + limit - size)) + 1, len(upto))
+            held.append(batch.slice(at, end - at))
+            size, at = size + int(upto[end - 1]) - before, end
+            if size >= limit:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -162,14 +224,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file_no, before = _encoder(model.value), TaskContext.get().partitionId(), 0
-        for batch, texts in slices(batches, "text"):
-            encoded = encoder.encode_texts(texts, end_id)
-            lens = np.array([len(e) // 4 for e in encoded], np.int64)
-            ends = np.cumsum(lens)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(encoded))])
+        for batch in chunks(batches, "text"):
+            ids, ends = encoder.encode(batch.column(1), end_id)
+            lens = np.diff(ends, prepend=0)
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, values), pa.array(lens),
+                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(lens),
                  pa.array(np.full(len(lens), file_no, np.int32)), pa.array(before + ends - lens)], names=schema.names)
             before += int(ends[-1])
 
