@@ -149,3 +149,22 @@ def test_sink_of_predictions_moves_no_text(spark, sf_small, monkeypatch):
     out = QF.sink_preds(spark, sf_small)
     assert sorted(map(str, out.collect())) == sorted(map(str, QF.scan_preds(spark, sf_small).select(*out.columns).collect()))
     assert len(plans) == 2 and all("MapInArrow" in p and "Exchange" not in p.split("MapInArrow")[0] for p in plans)
+
+
+def test_stored_texts_are_packed_together(spark, tmp_path):
+    """The versions of a text lie in one page, and the page's codec finds one in the other."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tremor.plans import stored
+
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
+    rows = [("quality", "en", str(i), " ".join(words[(i * k) % 14] + str(i * k) for k in range(1, 300)), None, None, "1") for i in range(20)]
+    df = spark.createDataFrame(rows, "task string, language string, id string, text string, premise string, hypothesis string, label string")
+    name = stored.write_examples(spark, df.repartition(1), [("codemix", 0.5), ("paraphrase", 0.5), ("vowel_drop", 0.0)], V.rule_models(), f"{tmp_path}/t", 1)
+    files = glob.glob(f"{tmp_path}/t/*.parquet")
+    text = [pq.ParquetFile(f).metadata.row_group(0).column(j) for f in files for j in range(9) if pq.ParquetFile(f).metadata.row_group(0).column(j).path_in_schema.endswith(".text")]
+    assert spark.table(name).count() == 20 and {c.compression for c in text} == {"ZSTD"}
+    assert 3 * sum(c.total_compressed_size for c in text) < sum(c.total_uncompressed_size for c in text)
+    spark.sql(f"DROP TABLE {name}")
