@@ -151,6 +151,47 @@ def test_sink_of_predictions_moves_no_text(spark, sf_small, monkeypatch):
     assert len(plans) == 2 and all("MapInArrow" in p and "Exchange" not in p.split("MapInArrow")[0] for p in plans)
 
 
+def test_stored_texts_are_dealt_once_and_unsorted(spark, sf_small):
+    """On the way to their bucket documents meet one exchange and no sort; their labels come to them as narrow rows."""
+    from tremor.plans import stored
+
+    crossed, plans = stored.OP.crossed, []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    stored.forget(spark, sf_small)
+    try:
+        stored.OP.crossed = lambda x, *a, **k: (plans.append(plan(x)), crossed(x, *a, **k))[1]
+        stored.stored_examples(spark, sf_small, text=False)
+    finally:
+        stored.OP.crossed = crossed
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        stored.forget(spark, sf_small)
+    above, found = [], []
+    for line in plans[0].splitlines():
+        depth = len(re.match(r"[\s:+-]*", line)[0])
+        above = [(d, x) for d, x in above if d < depth] + [(depth, line[depth:])]
+        if "documents.parquet" in line and "text:string" in line and "IsNull(lang)" not in line:
+            found.append([x.split()[0] for _, x in above])
+    assert len(found) == 1 and found[0].count("Exchange") == 1 and "Sort" not in found[0] and "SortMergeJoin" not in found[0]
+
+
+def test_dealt_examples_are_the_raw_ones(spark, tmp_path):
+    """Null and repeated ids, languages and labels: the rows of the plain joins, each in the partition of its bucket."""
+    from pyspark.sql import functions as F
+
+    docs = [(1, "a", "en"), (1, "a", "en"), (1, "b", "de"), (2, "c", None), (2, "c", "fr"), (3, None, "en"), (None, "d", "en"), (None, "e", None), (4, "f", ""), (5, "g", "es")]
+    labels = [(1, 0), (1, 1), (2, 1), (3, None), (4, 0), (9, 1), (None, 1)]
+    turns = [(1, 0, "user", "x"), (1, 1, "assistant", "yy"), (2, 0, "user", None), (2, 1, "assistant", "z"), (None, 0, "user", "n"), (None, 1, "assistant", "n")]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string"), ("labels", labels, "doc_id long, quality long"),
+                               ("conversations", turns, "conv_id long, turn long, role string, text string"), ("benchmark", [(1, "q"), (None, None)], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    keys = ["task", "language", "id"]
+    raw, dealt = V.raw_examples(spark, str(tmp_path)), V.dealt_examples(spark, str(tmp_path), keys)
+    assert dealt.select(*raw.columns).schema.simpleString() == raw.schema.simpleString()
+    assert sorted(map(str, dealt.select(*raw.columns).collect())) == sorted(map(str, raw.collect())) and raw.count() == 17
+    at = dealt.select("*", F.spark_partition_id().alias("p")).groupBy("p").agg(F.collect_set(F.pmod(F.hash(*keys), F.lit(8))).alias("b")).collect()
+    assert all(len(r.b) == 1 for r in at)
+
+
 def test_stored_texts_are_packed_together(spark, tmp_path):
     """The versions of a text lie in one page, and the page's codec finds one in the other."""
     import glob
