@@ -93,3 +93,23 @@ def test_confusion_counts_nulls(spark):
     df = spark.createDataFrame([("m", "1", None), ("m", None, "1"), ("m", "1", "1"), (None, "0", "0")], "model string, label string, prediction string")
     got = {(r.model, r.true_label, r.pred_label): r.n for r in M.confusion(df, ["model"]).collect()}
     assert got == {("m", "1", None): 1, ("m", None, "1"): 1, ("m", "1", "1"): 1, ("m", None, None): 0, (None, "0", "0"): 1}
+
+
+def test_prediction_files_are_packed_tighter_than_at_best_speed(spark, tmp_path):
+    """gzip files of texts are smaller than zlib's first level makes them, and read back whole."""
+    import glob
+    import gzip
+    import os
+    import random
+
+    draw = random.Random(7)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(400)]
+    rows = [("m", "t", "clean", 0.0, "en", str(i), " ".join(draw.choices(words, k=150)), "0", "1", 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "model string, task string, perturbation string, level double, language string, id string, text string, label string, "
+                                     "prediction string, score double")
+    path = files.write_predictions(df.coalesce(1), str(tmp_path / "p"), as_they_lie=True, compression="gzip")
+    part, = glob.glob(f"{path}/model=m/task=t/perturbation=clean/*.csv.gz")
+    with gzip.open(part) as f:
+        fast = gzip.compress(f.read(), 1)
+    assert os.path.getsize(part) < 0.98 * len(fast)
+    assert sorted(map(str, files.read_predictions(spark, path).select(*df.columns).collect())) == sorted(map(str, df.collect()))
